@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, langid, tokens
+from pagemill.llm import decontaminate, jaccard, langid, tokens
 from pagemill.llm.common import sha256_of, table
 
 
@@ -25,10 +25,15 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keeper")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_token_ids": op6_token_ids,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -51,4 +56,18 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join h using (r) left join it using (r)""",
+    "op10_jaccard_join": r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents where doc_id is not null),
+s as (
+  select distinct doc_id, list_aggregate(w[i : i + least(5, len(w)) - 1], 'string_agg', ' ') as g
+  from d, unnest(range(1, len(w) - least(5, len(w)) + 2)) as t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n as nx on x = nx.doc_id join n as ny on y = ny.doc_id where 9 * k >= 4 * (nx.n + ny.n)),
+r(x, y) as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+c as (select x, least(x, min(y)) as class_id from r group by x),
+m as (select x, count(*) as n_links from l group by x)
+select doc_id, coalesce(class_id, doc_id) as class_id, cast(coalesce(n_links, 0) as bigint) as n_links, coalesce(class_id, doc_id) = doc_id as keeper
+from d left join c on doc_id = c.x left join m on doc_id = m.x""",
 }
