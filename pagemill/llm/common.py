@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +40,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; call only when no result that reads them is still wanted."""
+@contextlib.contextmanager
+def tracked(paths: list[str]) -> Iterator[None]:
+    """Adds to paths the scratch paths that are made inside."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        paths += _made[before:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these scratch paths and forget them; no result may still need them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

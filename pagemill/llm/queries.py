@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, jaccard, langid, tokens
+from pagemill.llm import decontaminate, jaccard, langid, mixing, tokens
 from pagemill.llm.common import sha256_of, table
 
 
@@ -25,6 +25,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keeper")
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_token_ids": op6_token_ids,
+    "op9_mixture": op9_mixture,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -56,6 +61,40 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join h using (r) left join it using (r)""",
+    "op9_mixture": r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    cast('0x' || substr(md5('doc:' || coalesce(cast(doc_id as varchar), 'null')), 1, 15) as bigint) as key
+  from documents),
+s0 as (
+  select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as number,
+    cast(sum(sum(size)) over () as bigint) as total
+  from d group by source),
+s1 as (select *, [3, 1, 2][cast(number % 3 + 1 as int)] as weight, 2 * source_size as most from s0),
+s2 as (
+  select *, cast(coalesce(sum(most) over (order by most / weight, number rows between unbounded preceding and 1 preceding), 0) as double) as full_before,
+    cast(sum(weight) over (order by most / weight, number rows between current row and unbounded following) as double) as open
+  from s1),
+s3 as (select *, (total * 1.5e0 - full_before) / open as lev from s2),
+s4 as (select *, (select arg_min(lev, (most / weight, number)) from s3 where most >= weight * lev) as level from s3),
+s5 as (select *, least(cast(most as double), weight * level) as target from s4),
+s6 as (
+  select *, case when source_size = 0 then 0 else cast(least(2, floor(target / source_size)) as bigint) end as passes,
+    case when total = 0 then 1 else greatest(1, (4096 * source_size + total - 1) // total) end as blocks
+  from s5),
+k as (
+  select d.*, number, target, source_size, passes, target - passes * source_size as rest, key % blocks as block
+  from d join s6 on d.source is not distinct from s6.source),
+b0 as (select number, block, rest, sum(size) as words, substr(md5('block:' || number || ':' || block), 1, 15) as rank from k group by all),
+b as (select *, sum(words) over (partition by number order by rank, block rows unbounded preceding) as after from b0),
+c0 as (
+  select k.number, k.block, k.key, b.rest - (b.after - b.words) as want, sum(k.size) as w
+  from k join b on k.number = b.number and k.block = b.block where b.after - b.words < b.rest and b.after > b.rest group by all),
+c1 as (select *, sum(w) over (partition by number, block order by key rows unbounded preceding) as upto from c0),
+c as (select number, block, max(key) as cut from c1 where upto - w / 2 <= want group by all)
+select doc_id, size, source_size, target,
+  size * (passes + case when b.after <= k.rest then 1 when key <= c.cut then 1 else 0 end) as taken
+from k join b on k.number = b.number and k.block = b.block left join c on k.number = c.number and k.block = c.block""",
     "op10_jaccard_join": r"""
 with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents where doc_id is not null),
 s as (
