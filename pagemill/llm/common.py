@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_process(key: tuple, make: Callable):
+    """What make() gave first in this process: Python workers serve many tasks, and functions shipped by value share no globals."""
+    kept = sys.modules.setdefault("_pagemill_kept", types.ModuleType("_pagemill_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 @contextlib.contextmanager
 def tracked(paths: list[str]) -> Iterator[None]:
     """Adds to paths the scratch paths that are made inside."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, jaccard, langid, mixing, tokens
+from pagemill.llm import decontaminate, jaccard, langid, license, mixing, pii, search, substring, tokens, warc
 from pagemill.llm.common import sha256_of, table
 
 
@@ -17,6 +17,27 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), sha256_of(listed).alias("items_sha256"), "contaminated")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = (F.size(F.filter("base", lambda s, n=n: s["rank"] == n)).cast("bigint").alias(f"n_{k}") for n, k in enumerate(pii.KINDS))
+    every = pii.written_out(F.array_sort(F.concat("base", "added")))
+    return found.select("doc_id", *counts, sha256_of(pii.written_out(F.col("base"))).alias("base_sha256"), every.alias("spans"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: ten to a directory, the first of them its LICENSE; ten directories to one above, below the source."""
+    d = table(spark, sf_dir, "documents")
+    n = F.coalesce("doc_id", F.lit(0))
+    name = F.when(n % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(n / 100).cast("string"), F.floor(n / 10).cast("string"), name)
+    found = license.scan(d.select(F.col("doc_id").alias("key"), path.alias("path"), "text"))
+    return found.select(F.col("key").alias("doc_id"), "path", "own_license", "own_score", "license", "inherited_from")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -25,6 +46,17 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
+
+
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    found = search.search(d, d.where("doc_id % 20 = 0"))
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,14 +67,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_personal_data": op2_personal_data,
+    "op3_warc": op3_warc,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_token_ids": op6_token_ids,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_bm25_search": op8_bm25_search,
     "op9_mixture": op9_mixture,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER.format('unit')}, '{license.TERM}')"
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license.TEMPLATES))
+
 SQL: dict[str, str] = {
     "op1_decontaminate": f"""
 with d as (select row_number() over () as r, doc_id, {_FOLDED} as w from documents),
@@ -61,6 +102,66 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join h using (r) left join it using (r)""",
+    "op3_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+q as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from q where payload_bytes >= 100 group by all having count(*) > 1 and min(page_id) is not null)
+select page_id, payload_bytes, payload_digest,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from q left join f using (payload_digest)""",
+    "op4_license_scan": rf"""
+with f as (
+  select doc_id as key, coalesce(text, '') as text, coalesce(source, 'none') || '/' || (doc_id // 100) || '/' || (doc_id // 10) as dir,
+    case when doc_id % 10 = 0 then 'LICENSE' else doc_id || '.txt' end as name
+  from documents),
+u as (
+  select key, 0 as part, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{license.MENTION}')), chr(10)) as unit
+  from f where regexp_matches(text, '{license.MENTION}')
+  union all select key, 1, text from f where name = 'LICENSE' and text <> ''),
+t(template, license, unit) as (values {_TEMPLATES}),
+ut as (select key, part, term, count(*) as tf from (select key, part, unnest({_TERMS}) as term from u) group by all),
+tt as (select template, license, term, count(*) as tf from (select template, license, unnest({_TERMS}) as term from t) group by all),
+n as (select count(*) as n from u),
+idf as (
+  select term, ln((1 + n) / cast(1 + coalesce(df, 0) as double)) + 1 as idf
+  from (select term, count(*) as df from ut group by term) full join (select distinct term from tt) using (term), n),
+w as (select key, part, term, tf * idf as w from ut join idf using (term)),
+v as (select template, license, term, tf * idf as v from tt join idf using (term)),
+wn as (select key, part, sqrt(sum(w * w)) as norm from w group by all),
+vn as (select template, sqrt(sum(v * v)) as norm from v group by all),
+dot as (select key, part, template, license, sum(w * v / vn.norm) as dot from w join v using (term) join vn using (template) group by all),
+c as (select key, license, round(dot / norm, 6) as score from dot join wn using (key, part) where round(dot / norm, 6) >= {license.LEAST}e0),
+own as (select key, arg_min(license, (-score, license)) as license, max(score) as score from c group by key),
+dl as (select dir, arg_min(license, (-score, license)) as given from f join own using (key) where name = 'LICENSE' group by dir),
+up as (
+  select dir, array_to_string(string_split(dir, '/')[1 : k], '/') as above
+  from (select distinct dir from f), unnest(range(0, 4)) as r(k)),
+near as (select up.dir, arg_max(up.above, len(up.above)) as above, arg_max(given, len(up.above)) as given from up join dl on up.above = dl.dir group by up.dir)
+select f.key as doc_id, f.dir || '/' || name as path, own.license as own_license, own.score as own_score, coalesce(own.license, near.given) as license,
+  case when own.license is null then near.above end as inherited_from
+from f left join own using (key) left join near on f.dir = near.dir""",
+    "op7_substring_dedup": r"""
+with d as (select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as oid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select r, oid, i, list_aggregate(w[i : i + 12], 'string_agg', ' ') as g from d, unnest(range(1, len(w) - 11)) as t(i) where len(w) >= 13),
+f as (select g, min(oid) as first from win group by g),
+cov as (select distinct r, i + k as i from win join f using (g), unnest(range(0, 13)) as t(k) where first < oid),
+word as (select r, i, w[i] as x from d, unnest(range(1, len(w) + 1)) as t(i)),
+kept as (select r, count(*) as n, string_agg(x, ' ' order by i) as s from word anti join cov using (r, i) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join kept using (r)""",
+    "op8_bm25_search": f"""
+with d as (select doc_id, {_FOLDED} as w from documents where doc_id is not null),
+t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) group by all),
+s as (select count(*) as n, sum(len(w)) / cast(count(*) as double) as mean from d where len(w) > 0),
+i as (select term, ln(1 + (n - count(*) + 0.5e0) / (count(*) + 0.5e0)) as idf from t, s group by term, n),
+p as (
+  select t.doc_id, term, idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len(w) / mean)) as x
+  from t join d using (doc_id) join i using (term), s),
+q as (select doc_id as query_id, term from t where doc_id % 20 = 0),
+r as (select query_id, doc_id, round(sum(x), 6) as score from q join p using (term) group by all),
+k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r)
+select query_id, rank, doc_id, round(score, 4) as score from k where rank <= 10""",
     "op9_mixture": r"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
