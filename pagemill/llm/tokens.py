@@ -5,7 +5,8 @@ Each task tokenises its rows, fills a file of at most FILE_IDS ids (more only if
 file's ids in full for the table its blocks share, and writes it. The manifest has one row for each file.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its space-separated words in turn;
-each task encodes every distinct word once. A run of Latin letters with one stop or comma behind splits there, too.
+each Python worker encodes a distinct word once. A run of Latin letters is encoded in lower case, as the tokenizer does, and
+splits from punctuation behind it, also as the tokenizer does; texts for which that isn't sure are split at spaces only.
 
 Defined cases: a null or empty text has only the end id; documents that share an id are in order of their texts; null
 doc_ids come first; an empty table makes no file and no row.
@@ -15,9 +16,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -27,16 +30,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import files, rans
-from pagemill.llm.common import materialise, scratch_path
+from pagemill.llm.common import materialise, per_process, scratch_path
 
 END = 2
+_END = struct.pack("<I", END)
 FILE_IDS = 1 << 23
-#: Words one task remembers before it starts anew.
+#: Words one worker remembers (some 200 bytes each) before it starts anew.
 REMEMBERED = 1 << 20
 
 #: str.split() splits at these, the tokenizer doesn't.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-_STOPPED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
+_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: UTF-8 bytes as a letter or digit, stop or comma, space, other punctuation, or (letters beyond Latin-1 and all else) unsure.
+_KINDS = bytes(
+    97 if 0x80 <= c < 0xC0 or c == 0xC3 or chr(c).isalnum() and c < 0x80 else 46 if c in b".," else 32 if c in b" \t\n\v\f\r" else 33 if 33 <= c < 127 else 63
+    for c in range(256)
+)
 
 
 def default_tokenizer() -> str:
@@ -46,35 +55,74 @@ def default_tokenizer() -> str:
 
 
 def spaced(text: str | None) -> list[str]:
+    """Parts of text that the tokenizer encodes one by one, in order: words, with a stop or comma behind one apart if that is sure."""
     if not text:
         return []
+    low = text.lower()
+    kinds = low.encode("utf-8", "surrogatepass").translate(_KINDS)
+    if b"?" not in kinds and b"!. " not in kinds and b".. " not in kinds and "×" not in low and "÷" not in low:
+        return low.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").split()
     return text.split() if not any(c in text for c in _SEPARATORS) else re.findall(r"[^ \t-\r]+", text)
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself where printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32).tobytes()
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, byte_letters()
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(64)]
+        # One run of Latin letters may skip the steps before the model, if they only fold it to lower case and byte letters.
+        probe = ["Straße", "ÉCOLE", "naïveté", "q", "Abcdefghijklmnopqrstuvwxyz", "çà", "aaaaaaaaaaaa", "s", "LL"]
+        self.direct = all(self.run(w.lower()) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+
+    def run(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+
+    def packed(self, ids: list[int]) -> bytes:
+        return self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[str]) -> None:
+        known, tokenize, letters, latin, packed = self.known, self.tokenizer.model.tokenize, self.letters, _LATIN.fullmatch, self.packed
+        rest, parted = [], []
+        for w in words:
+            if not self.direct:
+                rest.append(w)
+            elif w.isascii() and w.isalpha() and w.islower():
+                known[w] = packed([t.id for t in tokenize(w)])
+            elif m := latin(w):
+                parted.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append(w)
+        rest += {stop for _, _, stop in parted if stop}.difference(known)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = packed(e.ids)
+        for w, core, stop in parted:
+            if (ids := known.get(core)) is None:
+                ids = known[core] = packed([t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(letters))])
+            known[w] = ids + known[stop] if stop else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, with the end id, as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [spaced(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        stopped = [w for w in new if _STOPPED.fullmatch(w)]
-        cores = {w[:-1] for w in stopped}
-        self.learn(list((new.difference(stopped) | cores | {".", ","} if stopped else new).difference(self.known)))
-        for w in stopped:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
-        get, end = self.known.__getitem__, np.uint32(END).tobytes()
-        return [b"".join(map(get, w)) + end for w in split]
+            self.known.clear()
+        known, split = self.known, [spaced(t) for t in texts]
+        found, new = [list(map(known.get, w)) for w in split], set()
+        for w, ids in zip(split, found, strict=True):
+            new.update(compress(w, map(not_, ids)))
+        self.learn(new)
+        for w, ids in zip(split, found, strict=True):
+            for i in list(compress(range(len(w)), map(not_, ids))):
+                ids[i] = known[w[i]]
+            ids.append(_END)
+        return [b"".join(ids) for ids in found]
 
 
 MANIFEST = "part int, file int, path string, ids bigint, documents bigint"
@@ -85,13 +133,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, file_ids:
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, k = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, k = per_process(("tokens", tokenizer), lambda: Encoder(tokenizer)), TaskContext.get().partitionId(), 0
         ids, doc_ids, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             path = files.task_file(folder, k, ".pmtok")
             with files.writing(path) as out:
-                rans.pack_file(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), doc_ids, [len(x) // 4 for x in ids], out.write)
+                rans.pack_file(np.frombuffer(b"".join(ids), "<u4"), doc_ids, [len(x) // 4 for x in ids], out.write)
             return pa.RecordBatch.from_pylist([{"part": part, "file": k, "path": path, "ids": size, "documents": len(ids)}], schema)
 
         schema = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("ids", pa.int64()), ("documents", pa.int64())])
@@ -136,7 +184,7 @@ def read(manifest: DataFrame) -> DataFrame:
             out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
             yield out
 
-    return placed.repartition("path").mapInPandas(run, READ)
+    return placed.repartition(max(1, manifest.count()), "path").mapInPandas(run, READ)
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
