@@ -130,7 +130,7 @@ _PRIORITY = "(case when list_position({0}, {1}.type) > 0 then {2} - list_positio
 _RANK = {s: _PRIORITY.format(list(B.LABEL_PRIORITY), s, len(B.LABEL_PRIORITY) + 1) for s in "ab"}
 _WINS = f"""case when abs(a.score - b.score) + 1e-9 >= 0.3e0 and a.score <> b.score then a.score > b.score
     when {_RANK['a']} <> {_RANK['b']} then {_RANK['a']} > {_RANK['b']} when a.score <> b.score then a.score > b.score else a.source_index < b.source_index end"""
-_PAIRS = f"""
+PAIRS_SQL = f"""
 pairs as (
   select a.doc_id, a.source_index as i, b.source_index as j, {_IOU} as iou, {_WINS} as a_wins
   from boxes a join boxes b on a.doc_id = b.doc_id and a.source_index < b.source_index)"""
@@ -168,9 +168,9 @@ select doc_id, source_index, case when score > 1 then 'score out of range' when
     "q_dense_source_index": f"""{_WITH},
 k as (select doc_id, row_number() over (partition by doc_id order by source_index) - 1 as n, source_index, type, score from boxes where score >= 0.5e0)
 select doc_id, n as source_index, type, score, cast(case when source_index % 3 <> 2 then source_index else n end as int) as reading_order from k""",
-    "q_iou_pairs": f"{_WITH}, {_PAIRS} select doc_id, i as a_source_index, j as b_source_index, iou from pairs where iou >= 0.5e0",
-    "q_overlap_winner": f"{_WITH}, {_PAIRS} select doc_id, i as a_source_index, j as b_source_index, a_wins from pairs where iou >= 0.3e0",
-    "q_overlap_dedup": f"""{_WITH}, {_PAIRS},
+    "q_iou_pairs": f"{_WITH}, {PAIRS_SQL} select doc_id, i as a_source_index, j as b_source_index, iou from pairs where iou >= 0.5e0",
+    "q_overlap_winner": f"{_WITH}, {PAIRS_SQL} select doc_id, i as a_source_index, j as b_source_index, a_wins from pairs where iou >= 0.3e0",
+    "q_overlap_dedup": f"""{_WITH}, {PAIRS_SQL},
 n as (select doc_id, i, j, case when a_wins then j else i end as loser, row_number() over (partition by doc_id order by i, j) as k from pairs where iou >= 0.5e0),
 fold(doc_id, k, gone) as (
   select distinct doc_id, cast(0 as bigint), cast([] as bigint[]) from n
