@@ -175,8 +175,8 @@ select model, count(*) as completed, count(*) filter (failed) as failed_requests
     "q_histogram": f"with {REQUESTS_SQL} select model, cast(least(1048576, pow(2, ceil(log2(cast(visual * visual as double)) - 1e-12))) as bigint) as bin, count(*) as n from requests group by all",
     "q_peak_inflight": """
 with t as (select event_type as model, epoch_us(ts) as a, epoch_us(ts) + cast(floor(coalesce(value, 0e0) * 60000000) as bigint) as b, user_id + 1 as w from events),
-e as (select model, a as at, 1 as n, w from t where b > a union all select model, b, -1, -w from t where b > a),
-s as (select model, at, n, sum(n) over (partition by model order by at, n) as r, sum(w) over (partition by model order by at, n) as x from e)
+e as (select model, a as m, 1 as n, w from t where b > a union all select model, b, -1, -w from t where b > a),
+s as (select model, sum(n) over (partition by model order by m, n) as r, sum(w) over (partition by model order by m, n) as x from e)
 select model, cast(max(r) as bigint) as peak_requests, cast(max(x) as bigint) as peak_weight from s group by model""",
     "q_latency_percentiles": f"with {COMPLETIONS_SQL} select model, count(*) as n, quantile_disc(latency_ms, 0.5) as p50, quantile_disc(latency_ms, 0.95) as p95, quantile_disc(latency_ms, 0.99) as p99 from done where not failed group by model",
     "q_throughput": f"with {COMPLETIONS_SQL}, t as (select count(*) filter (not failed) as successful, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as seconds from done) select successful, seconds, round(successful / seconds, 9) as per_second from t",
