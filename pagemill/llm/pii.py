@@ -72,7 +72,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_ip", F.expr(f"filter(_ip, x -> x.value rlike r'^{IP_PART}(?:\\.{IP_PART}){{3}}$')"))
     df = df.withColumn("_card", F.expr(f"filter(_card, x -> {LUHN})"))
     df = df.withColumn("_phone", F.expr(f"filter(_phone, x -> length({DIGITS}) between 10 and 15)"))
-    base = F.concat(*(F.transform(f"_{k}", lambda x, n=n: F.struct(x["start"].alias("start"), F.lit(n).alias("rank"), x["end"].alias("end"))) for n, k in enumerate(KINDS)))
+    base = F.concat(*(F.expr(f"transform(_{k}, x -> named_struct('start', x.start, 'rank', {n}, 'end', x.end))") for n, k in enumerate(KINDS)))
     df = df.withColumn("base", F.array_sort(base))
     # Contexts: gaps around each written string; the gaps of _p are those of WRITTEN, the last regex located.
     df = located(df, "_written", WRITTEN, F.col("_digit"))

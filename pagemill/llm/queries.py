@@ -19,7 +19,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
-    counts = (F.size(F.filter("base", lambda s, n=n: s["rank"] == n)).cast("bigint").alias(f"n_{k}") for n, k in enumerate(pii.KINDS))
+    counts = (F.expr(f"cast(size(filter(base, s -> s.rank = {n})) as bigint)").alias(f"n_{k}") for n, k in enumerate(pii.KINDS))
     every = pii.written_out(F.array_sort(F.concat("base", "added")))
     return found.select("doc_id", *counts, sha256_of(pii.written_out(F.col("base"))).alias("base_sha256"), every.alias("spans"))
 
