@@ -67,28 +67,28 @@ class Resize:
         return out
 
 
-def fast_size(width: Column, height: Column, r: Resize) -> Column:
-    """Struct (w, h) of the scaled and rounded input size, null where rounding left the pixel bounds."""
+def fast_size(df: DataFrame, width: Column, height: Column, r: Resize, name: str = "size") -> DataFrame:
+    """df with a struct (w, h) of the scaled and rounded input size, null where rounding left the pixel bounds.
+
+    Steps are columns, so each is computed once.
+    """
     lo_w, hi_w, lo_h, hi_h = r.bounds()
     f = float(r.factor)
-    w, h = width.cast("double"), height.cast("double")
-    half_up = lambda x: F.floor(x + 0.5).cast("double")
-    w1 = F.when(h < f, half_up(w * f / h)).otherwise(w)
-    h1 = F.when(h < f, F.lit(f)).otherwise(h)
-    h2 = F.when(w1 < f, half_up(h1 * f / w1)).otherwise(h1)
-    w2 = F.when(w1 < f, F.lit(f)).otherwise(w1)
-    least = F.greatest(lo_w / w2, lo_h / h2, F.sqrt(r.min_pixels / (w2 * h2)))
-    most = F.least(hi_w / w2, hi_h / h2, F.sqrt(r.max_pixels / (w2 * h2)))
-    scale = F.greatest(F.least(least, most), F.least(F.lit(1.0), F.greatest(least, most)))
-
-    def quantised(size: Column, low: int, high: int) -> Column:
-        units = size * scale / f
-        n = F.when(scale < 1, F.floor(units + 1e-10)).when(scale > 1, F.ceil(units - 1e-10)).otherwise(F.floor(units + 0.5))
-        return F.greatest(F.lit(low), F.least(F.lit(high), (F.greatest(F.lit(0), F.least(F.lit(100_000), n)) * r.factor))).cast("int")
-
-    a, b = quantised(w2, lo_w, hi_w), quantised(h2, lo_h, hi_h)
-    area = a.cast("bigint") * b.cast("bigint")
-    return F.when(area.between(r.min_pixels, r.max_pixels), F.struct(a.alias("w"), b.alias("h")))
+    w, h, s, a, b = (F.col(f"_{c}") for c in "whsab")
+    df = df.withColumns({"_w": width.cast("double"), "_h": height.cast("double")})
+    df = df.withColumns({"_w": F.when(h < f, F.floor(w * f / h + 0.5).cast("double")).otherwise(w), "_h": F.greatest(h, F.lit(f))})
+    df = df.withColumns({"_h": F.when(w < f, F.floor(h * f / w + 0.5).cast("double")).otherwise(h), "_w": F.greatest(w, F.lit(f))})
+    df = df.withColumns({"_a": F.greatest(lo_w / w, lo_h / h, F.sqrt(r.min_pixels / (w * h))), "_b": F.least(hi_w / w, hi_h / h, F.sqrt(r.max_pixels / (w * h)))})
+    df = df.withColumn("_s", F.greatest(F.least(a, b), F.least(F.lit(1.0), F.greatest(a, b))))
+
+    def quantised(units: Column, low: int, high: int) -> Column:
+        n = F.when(s < 1, F.floor(units + 1e-10)).when(s > 1, F.ceil(units - 1e-10)).otherwise(F.floor(units + 0.5))
+        return F.greatest(F.lit(low), F.least(F.lit(high), F.greatest(F.lit(0), F.least(F.lit(100_000), n)) * r.factor)).cast("int")
+
+    df = df.withColumns({"_a": w * s / f, "_b": h * s / f})
+    df = df.withColumns({"_a": quantised(a, lo_w, hi_w), "_b": quantised(b, lo_h, hi_h)})
+    fits = (a.cast("bigint") * b.cast("bigint")).between(r.min_pixels, r.max_pixels)
+    return df.withColumn(name, F.when(fits, F.struct(a.alias("w"), b.alias("h")))).drop("_w", "_h", "_s", "_a", "_b")
 
 
 def grid_size(width: int, height: int, r: Resize) -> tuple[int, int]:
@@ -110,16 +110,25 @@ def grid_size(width: int, height: int, r: Resize) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def input_size(width: Column, height: Column, r: Resize) -> Column:
-    """Struct (w, h): column functions, and an Arrow function for rows that need the grid only."""
+def input_size(df: DataFrame, width: Column, height: Column, r: Resize, name: str = "size") -> DataFrame:
+    """df with a struct (w, h): column functions, and an Arrow function for the rows that need the grid only."""
 
     @F.pandas_udf("w int, h int")
     def searched(ws: pd.Series, hs: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if pd.isna(w) else grid_size(int(w), int(h), r) for w, h in zip(ws, hs, strict=True)]
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+        rows = []
+        for w, h in zip(ws, hs, strict=True):
+            if pd.isna(w):
+                rows.append((None, None))
+                continue
+            if (w, h) not in known:
+                known[w, h] = grid_size(int(w), int(h), r)
+            rows.append(known[w, h])
         return pd.DataFrame(rows, columns=["w", "h"])
 
-    fast = fast_size(width, height, r)
-    return F.coalesce(fast, searched(F.when(fast.isNull(), width), F.when(fast.isNull(), height)))
+    df = fast_size(df, width, height, r, name)
+    missing = F.col(name).isNull()
+    return df.withColumn(name, F.coalesce(name, searched(F.when(missing, width), F.when(missing, height))))
 
 
 def window_sums(requests: DataFrame, widths: tuple[int, ...], group: tuple[str, ...] = ("model",)) -> DataFrame:

@@ -21,13 +21,13 @@ def _dims(t: DataFrame) -> tuple[F.Column, F.Column]:
 def input_size(spark: SparkSession, d: str) -> DataFrame:
     t = layout_boxes(spark, d)
     w, h = _dims(t)
-    return t.select("doc_id", "source_index", S.fast_size(w, h, SIZE).alias("s")).select("doc_id", "source_index", "s.w", "s.h")
+    return S.fast_size(t, w, h, SIZE).select("doc_id", "source_index", "size.w", "size.h")
 
 
 def input_size_grid(spark: SparkSession, d: str) -> DataFrame:
     t = layout_boxes(spark, d)
     w, h = _dims(t)
-    return t.select("doc_id", "source_index", S.input_size(w * 3, h, SIZE).alias("s")).select("doc_id", "source_index", "s.w", "s.h")
+    return S.input_size(t, w * 3, h, SIZE).select("doc_id", "source_index", "size.w", "size.h")
 
 
 def token_cost(spark: SparkSession, d: str) -> DataFrame:

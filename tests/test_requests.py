@@ -17,7 +17,7 @@ from pagemill.streaming import files as stream
 
 
 def size_of(spark, w, h, **r):
-    out = spark.range(1).select(S.input_size(F.lit(w), F.lit(h), S.Resize(**r)).alias("s")).first().s
+    out = S.input_size(spark.range(1), F.lit(w), F.lit(h), S.Resize(**r)).first()["size"]
     return out.w, out.h
 
 
