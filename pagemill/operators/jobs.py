@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import file_extension, under_root
+from pagemill.sources.files import EXTENSIONS
+
 STATES = ("queued", "reading", "processing", "finalizing", "succeeded", "failed", "cancelling", "cancelled")
 TERMINAL = ("succeeded", "failed", "cancelled")
 
@@ -29,6 +32,18 @@ def by_priority(jobs: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     return placed.withColumn("turn", F.col("before") + inside).drop("cell", "p", "c", "before")
 
 
+def submitted(arrivals: DataFrame, root: str, first: int = 0) -> DataFrame:
+    """Arrivals (arrival, path, priority) as queued jobs, or with the reason why they are refused. sequence: from first, by arrival."""
+    bad = (
+        F.when(~F.coalesce(under_root(F.col("path"), F.lit(root)), F.lit(False)), "path outside the allowed root")
+        .when(~file_extension(F.col("path")).isin(*EXTENSIONS), "unsupported extension")
+        .when(F.abs(F.coalesce("priority", F.lit(0))) > 1_000_000, "priority out of range")
+    )
+    good = F.col("error").isNull()
+    out = arrivals.withColumn("error", bad).withColumn("job_id", new_job_id()).withColumn("state", F.when(good, "queued").otherwise("failed"))
+    return out.withColumn("sequence", F.col("arrival") + first)
+
+
 def listing(jobs: DataFrame, state: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of jobs in order of sequence."""
     if state is not None and state not in STATES:

@@ -197,6 +197,47 @@ def admission(log: DataFrame, max_active: int, max_bytes: int, total_bytes: int
     return log.groupBy(shard).applyInPandas(replay, ADMITTED)
 
 
+POOLED = "request bigint, started_ms double, outcome string"
+
+
+def recognition_pool(log: DataFrame, workers: int = 128, max_requests: int = 256, max_bytes: int = 1 << 28, timeout_ms: float = 600_000.0, group: str = "server") -> DataFrame:
+    """Replay of a bounded pool (server, request, arrival_ms, service_ms, bytes), each server by itself.
+
+    A request waits, first come first served, until count and bytes in the pool leave room; `oversize` never fits, `timeout`
+    waited too long, `done` ran from started_ms on the first free worker. Credits come back when a request ends.
+    """
+
+    def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        inside: list[tuple[float, int]] = []  # ends and bytes of admitted requests
+        free, held, now, out = [0.0] * workers, 0, 0.0, []
+        for r in rows.sort_values(["arrival_ms", "request"]).itertuples(index=False):
+            if r.bytes > max_bytes:
+                out.append((r.request, None, "oversize"))
+                continue
+            at = now = max(now, r.arrival_ms)
+            while inside and (inside[0][0] <= at or len(inside) >= max_requests or held + r.bytes > max_bytes):
+                end, size = heapq.heappop(inside)
+                held, at = held - size, max(at, end)
+            if at - r.arrival_ms > timeout_ms:
+                out.append((r.request, None, "timeout"))
+                continue
+            now = at
+            start = max(at, heapq.heappop(free))
+            heapq.heappush(free, start + r.service_ms)
+            heapq.heappush(inside, (start + r.service_ms, r.bytes))
+            held += r.bytes
+            out.append((r.request, start, "done"))
+        return pd.DataFrame(out, columns=["request", "started_ms", "outcome"])
+
+    return log.groupBy(group).applyInPandas(replay, POOLED)
+
+
+def best_static_bucket(requests: DataFrame, bounds: tuple[int, ...], group: tuple[str, ...] = ("model",)) -> DataFrame:
+    """For each group the static bucket of most requests, then of most work, then the lowest."""
+    t = requests.withColumn("bucket", static_bucket(F.col("visual"), bounds)).groupBy(*group, "bucket").agg(F.count("*").alias("count"), F.sum("prefill").alias("work"))
+    return t.groupBy(*group).agg(F.max(F.struct("count", "work", (-F.col("bucket")).alias("minus"))).alias("b")).select(*group, (-F.col("b.minus")).cast("bigint").alias("bucket"), F.col("b.count").alias("count"))
+
+
 @dataclass
 class Controller:
     """An adaptive token budget that learns from windows of finished work.

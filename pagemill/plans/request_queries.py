@@ -56,6 +56,10 @@ def next_wave(spark: SparkSession, d: str) -> DataFrame:
     return S.next_wave(t, 1.0, 10.0).select(F.col("model").alias("user_id"), "bucket", "aged")
 
 
+def static_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return S.best_static_bucket(_pending(spark, d), BOUNDS).select(F.col("model").alias("user_id"), "bucket", "count")
+
+
 def priority_order(spark: SparkSession, d: str) -> DataFrame:
     return J.by_priority(jobs(spark, d)).select("sequence", "priority", F.col("turn").cast("bigint").alias("turn"))
 
@@ -115,7 +119,7 @@ def controller_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "q_input_size": input_size, "q_input_size_grid": input_size_grid, "q_token_cost": token_cost, "q_visual_windows": visual_windows, "q_visual_buckets": visual_buckets, "q_next_wave": next_wave,
+    "q_input_size": input_size, "q_input_size_grid": input_size_grid, "q_token_cost": token_cost, "q_visual_windows": visual_windows, "q_visual_buckets": visual_buckets, "q_next_wave": next_wave, "q_static_bucket": static_bucket,
     "q_priority_order": priority_order, "q_job_list": job_list, "q_job_states": job_states, "q_job_cancel": job_cancel, "q_metrics": metrics, "q_failure_counts": failure_counts,
     "q_histogram": histogram, "q_peak_inflight": peak_inflight, "q_latency_percentiles": latency_percentiles, "q_throughput": throughput, "q_token_scale": token_scale,
     "q_admission_replay": admission_replay, "q_controller_replay": controller_replay,
@@ -159,6 +163,9 @@ o as (select user_id, arg_min(bucket, ticket) as bucket, min(ticket) % 5 >= 4 as
 g as (select user_id, bucket, count(*) as n, sum(prefill) as work from bucketed group by all),
 m as (select user_id, arg_max(bucket, (n, work, -bucket)) as bucket from g group by user_id)
 select user_id, cast(case when aged then o.bucket else m.bucket end as bigint) as bucket, aged from o join m using (user_id)""",
+    "q_static_bucket": f"""with {REQUESTS_SQL},
+g as (select user_id, (visual >= 16)::int + (visual >= 32)::int + (visual >= 64)::int as bucket, count(*) as n, sum(prefill) as work from requests group by all)
+select user_id, cast(arg_max(bucket, (n, work, -bucket)) as bigint) as bucket, max(n) as count from g group by user_id""",
     "q_priority_order": f"with {JOBS_SQL} select sequence, priority, row_number() over (order by priority desc, sequence) as turn from jobs",
     "q_job_list": f"with {JOBS_SQL} select sequence, priority, state, upload_bytes from jobs where state = 'queued' order by sequence limit 50 offset 20",
     "q_job_states": f"""with {JOBS_SQL}

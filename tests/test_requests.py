@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pagemill.functions import images as I
 from pagemill.operators import jobs as J
 from pagemill.operators import scheduling as S
+from pagemill.operators import tensors as TN
+from pagemill.operators.models import ModelError
 from pagemill.sources import files
 from pagemill.streaming import files as stream
 
@@ -76,6 +78,37 @@ def test_admission_conserves_jobs(spark):
     assert {r.decision for r in S.admission(log.where("server = 'b'"), 2, 1000, 20).collect()} == {"202", "503"}
 
 
+def test_recognition_pool(spark):
+    rows = [("a", i, 0.0, 100.0, 10) for i in range(6)] + [("a", 10, 1.0, 1.0, 1000), ("a", 11, 2.0, 1.0, 10), ("b", 20, 5.0, 1.0, 100)]
+    log = spark.createDataFrame(rows, "server string, request bigint, arrival_ms double, service_ms double, bytes bigint")
+    got = {r.request: (r.outcome, r.started_ms) for r in S.recognition_pool(log, workers=2, max_requests=4, max_bytes=100, timeout_ms=150.0).collect()}
+    assert [got[i] for i in range(4)] == [("done", 0.0), ("done", 0.0), ("done", 100.0), ("done", 100.0)] and got[4] == got[5] == ("done", 200.0)
+    assert got[10] == ("oversize", None) and got[11] == ("timeout", None) and got[20] == ("done", 5.0)
+
+
+def test_tensor_models():
+    labels = ["", "A", "中"]
+
+    def engine(inputs):
+        assert inputs["x"].shape == (2, 3, 4, 5) and inputs["shape"].shape == (2, 2)
+        return [np.tile(np.eye(3, dtype=np.float32)[[1, 1, 0, 1, 2]], (2, 1, 1))]
+
+    m = TN.TensorModel({"engine": engine, "inputs": [{"name": "x", "shape": (2, 3, 4, 5)}, {"name": "shape", "shape": (-1, 2), "kind": "original_shape"}], "static_batch": 2, "vocabulary": labels})
+    assert m.infer_batch([(I.encode_png(PICTURE), "")] * 3) == ["AA中"] * 3
+    for bad in ({"y": np.zeros((1, 2), np.float32)}, {"x": np.zeros((1, 2))}, {"x": np.zeros((1, 3), np.float32)}):
+        with pytest.raises(ModelError):
+            TN.bound([TN.Input("x", (1, 2))], bad)
+    assert TN.layout_items(np.array([[0, 0.9, 0, 0, 2, 2]]), ["t"], 0.5, 10, 5)[0]["coordinate"] == [0, 0, 20, 10] and TN.layout_items(np.zeros((0, 6)), ["t"], 0.5, 1, 1) == []
+    with pytest.raises(ModelError):
+        TN.ctc(np.zeros((1, 2, 2)), labels)
+
+
+def test_submission(spark):
+    t = spark.createDataFrame([(0, "/in/a.png", 1), (1, "/inside/a.png", 1), (2, "/in/../x.png", 1), (3, "/in/a.exe", 1), (4, "/in/b/c.PDF", 2_000_000)], "arrival bigint, path string, priority int")
+    got = [(r.sequence, r.state, r.error) for r in J.submitted(t, "/in", 7).orderBy("arrival").collect()]
+    assert got == [(7, "queued", None), (8, "failed", "path outside the allowed root"), (9, "failed", "path outside the allowed root"), (10, "failed", "unsupported extension"), (11, "failed", "priority out of range")]
+
+
 def test_controller():
     c = S.Controller(budget=1000, window_ms=100, min_samples=2, cooldown_ms=50)
     for k, work in enumerate([10, 10, 30, 30]):
