@@ -1,20 +1,25 @@
 """Box post-processing on tables keyed by (doc_id, page): filters, overlap elimination, containment, composites, order.
 
-All steps share one distribution by (doc_id, page), so Spark shuffles the boxes once. Errors are columns, not exceptions.
+Overlaps, forests and composites gather a page's boxes in one row (a page has at most max_boxes of them), work on the array
+and write the boxes out again, so boxes are shuffled once by (doc_id, page) and not again by the next step. Errors are columns,
+not exceptions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import SIDES, area, clamp, contains, intersection, iou, rect
 
 PAGE = ["doc_id", "page"]
+#: Types that are dropped, outer types of composites, and types that open them.
 HEADER_FOOTER = ("header", "footer", "page_header", "page_footer", "ignored_header", "ignored_footer")
+OUTER, EXPAND = ("chart", "figure", "table"), ("table", "formula", "equation", "title", "heading")
 #: Strongest first.
 LABEL_PRIORITY = ("table", "chart", "figure", "title", "heading", "formula", "equation", "text", "header", "page_header", "footer", "page_footer")
-OUTER, EXPAND = ("chart", "figure", "table"), ("table", "formula", "equation", "title", "heading")
 
 
 def with_type(boxes: DataFrame, type_map: dict[str, str]) -> DataFrame:
@@ -97,63 +102,102 @@ def priority(kind: Column, labels: tuple[str, ...] = LABEL_PRIORITY) -> Column:
     return F.when(at > 0, len(labels) + 1 - at).otherwise(0)
 
 
-def a_wins(margin: float = 0.3, labels: tuple[str, ...] = LABEL_PRIORITY) -> Column:
-    """Of boxes a_ and b_: a clear score difference decides, then the label, the score, the index."""
-    sa, sb = F.col("a_score"), F.col("b_score")
-    pa, pb = priority(F.col("a_type"), labels), priority(F.col("b_type"), labels)
-    return F.when((F.abs(sa - sb) + 1e-9 >= margin) & (sa != sb), sa > sb).when(pa != pb, pa > pb).when(sa != sb, sa > sb).otherwise(F.col("a_source_index") < F.col("b_source_index"))
+def wins(a: Column | None = None, b: Column | None = None, margin: float = 0.3, labels: tuple[str, ...] = LABEL_PRIORITY) -> Column:
+    """Of two boxes, structs or columns a_ and b_: a clear score difference decides, then the label, the score, the index."""
+    one = lambda side, x, c: F.col(f"{side}_{c}") if x is None else x[c]
+    (sa, ta, ia), (sb, tb, ib) = (tuple(one(side, x, c) for c in ("score", "type", "source_index")) for side, x in (("a", a), ("b", b)))
+    pa, pb = priority(ta, labels), priority(tb, labels)
+    return F.when((F.abs(sa - sb) + 1e-9 >= margin) & (sa != sb), sa > sb).when(pa != pb, pa > pb).when(sa != sb, sa > sb).otherwise(ia < ib)
+
+
+def gathered(boxes: DataFrame, *order: Column) -> DataFrame:
+    """One row a page with rows, an array of its boxes' structs by order, then source_index."""
+    rest = [c for c in boxes.columns if c not in (*PAGE, "source_index")]
+    keys = [o.alias(f"_o{k}") for k, o in enumerate(order)]
+    return boxes.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*keys, "source_index", *rest))).alias("rows"))
+
 
+def scattered(pages: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The boxes of rows again, each with the columns that more gives for a box `box` at place `at`."""
+    out = pages.select("*", F.posexplode("rows").alias("at", "box"))
+    return out.select(*(F.col(c) if c in PAGE else F.col(f"box.{c}") for c in columns), *more)
 
-def removed_by_overlap(boxes: DataFrame, threshold: float = 0.5, margin: float = 0.3, labels: tuple[str, ...] = LABEL_PRIORITY, related: Column | None = None) -> DataFrame:
-    """For each page with conflicts, removed: positions of boxes that lose.
 
-    Conflicts are taken in the order of (a, b) positions; one whose sides are both there removes the loser. related: a
-    condition on a_ and b_ columns under which two boxes don't conflict.
+def corners(box: Column) -> tuple[Column, ...]:
+    return tuple(box[s] for s in SIDES)
+
+
+def removed_by_overlap(rows: Column, threshold: float = 0.5, margin: float = 0.3, labels: tuple[str, ...] = LABEL_PRIORITY, related: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Places in rows, an ordered array of boxes, of those that lose a conflict of overlap.
+
+    Conflicts are taken in the order of their places; one whose sides are both still there removes the loser. Boxes for which
+    related holds don't conflict.
     """
-    extra = ("provisional_children",) if "provisional_children" in boxes.columns else ()
-    pairs = iou_pairs(boxes, threshold, "position", ("source_index", "type", "score", *extra))
-    if related is not None:
-        pairs = pairs.where(~F.coalesce(related, F.lit(False)))
-    loser = F.when(a_wins(margin, labels), F.col("b_position")).otherwise(F.col("a_position"))
-    conflicts = pairs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("a_position").alias("i"), F.col("b_position").alias("j"), loser.alias("loser")))).alias("pairs"))
-    fold = F.aggregate("pairs", F.array().cast("array<int>"), lambda gone, p: F.when(F.array_contains(gone, p["i"]) | F.array_contains(gone, p["j"]), gone).otherwise(F.array_append(gone, p["loser"])))
-    return conflicts.select(*PAGE, fold.alias("removed"))
+
+    def with_later(a: Column, i: Column) -> Column:
+        def meets(b: Column, j: Column) -> Column:
+            # The rectangle test needs no division and rules most pairs out.
+            near = (j > i) & (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+            both = near & (iou(corners(a), corners(b)) >= threshold)
+            return both if related is None else both & ~F.coalesce(related(a, b), F.lit(False))
+
+        found = F.transform(rows, lambda b, j: F.when(meets(b, j), F.struct(i.alias("i"), j.alias("j"), F.when(wins(a, b, margin, labels), j).otherwise(i).alias("loser"))))
+        return F.filter(found, lambda p: p.isNotNull())
+
+    conflicts = F.flatten(F.transform(rows, with_later))
+    lost = lambda gone, p: F.array_contains(gone, p["i"]) | F.array_contains(gone, p["j"])
+    return F.aggregate(conflicts, F.array().cast("array<int>"), lambda gone, p: F.when(lost(gone, p), gone).otherwise(F.array_append(gone, p["loser"])))
 
 
 def without_overlaps(boxes: DataFrame, **options) -> DataFrame:
     """boxes (with reading_order) without those that lose a conflict of overlap."""
-    placed = boxes if "position" in boxes.columns else ordered(boxes)
-    out = placed.join(removed_by_overlap(placed, **options), PAGE, "left")
-    out = out.where(F.col("removed").isNull() | ~F.array_contains("removed", F.col("position"))).drop("removed")
-    return out if "position" in boxes.columns else out.drop("position")
+    pages = gathered(boxes, F.col("reading_order").isNull(), F.col("reading_order"))
+    pages = pages.withColumn("gone", F.when(F.size("rows") > 1, removed_by_overlap(F.col("rows"), **options)).otherwise(F.array().cast("array<int>")))
+    kept = pages.withColumn("rows", F.filter("rows", lambda r, i: ~F.array_contains("gone", i)))
+    return scattered(kept, boxes.columns)
 
 
-def parents(boxes: DataFrame, share: float = 0.9) -> DataFrame:
-    """boxes with parent: source_index of the smallest box that contains them, then the first; null without one."""
-    some = ["source_index", *SIDES]
-    inside = _sided(boxes, "a", some).join(_sided(boxes, "b", some), PAGE).where((F.col("a_source_index") != F.col("b_source_index")) & contains(rect("b_"), rect("a_"), share))
-    least = inside.groupBy(*PAGE, F.col("a_source_index").alias("source_index")).agg(F.min(F.struct(area(rect("b_")).alias("area"), F.col("b_source_index").alias("at"))).alias("p"))
-    return boxes.join(least, [*PAGE, "source_index"], "left").withColumn("parent", F.col("p.at")).drop("p")
+def parents_of(rows: Column, share: float = 0.9) -> Column:
+    """For each box of rows the source_index of the smallest box that contains it, then the first; null without one."""
 
+    def parent(a: Column) -> Column:
+        outer = F.filter(rows, lambda b: (b["source_index"] != a["source_index"]) & contains(corners(b), corners(a), share))
+        return F.array_min(F.transform(outer, lambda b: F.struct(area(corners(b)).alias("area"), b["source_index"].alias("at"))))["at"]
 
-def forest(boxes: DataFrame) -> DataFrame:
-    """boxes (with parent) with ancestors, nearest first, and children, the number of direct children.
+    return F.transform(rows, parent)
 
-    A page's parent links are gathered once (a page has at most max_boxes boxes) and each chain is walked in the row.
-    """
-    links = boxes.where("parent is not null").groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("source_index", "parent"))).alias("links"))
-    walk = F.expr("""
-        IF(parent IS NULL OR links IS NULL, cast(array() as array<bigint>),
-          aggregate(sequence(1, cardinality(links)), named_struct('at', parent, 'out', cast(array() as array<bigint>)),
-            (a, i) -> IF(a.at IS NULL, a, named_struct('at', try_element_at(links, a.at), 'out', array_append(a.out, a.at))),
-            a -> a.out))""")
-    count = F.coalesce(F.size(F.filter(F.map_values("links"), lambda p: p == F.col("source_index"))), F.lit(0))
-    return boxes.join(links, PAGE, "left").withColumn("ancestors", walk).withColumn("children", F.when(F.col("links").isNull(), 0).otherwise(count)).drop("links")
+
+#: The chain of ancestors of each box, nearest first, walked over the page's links of children with their parents.
+CHAINS = """
+    transform(up, p -> IF(p IS NULL, cast(array() as array<bigint>),
+      aggregate(sequence(1, cardinality(links)), named_struct('at', p, 'out', cast(array() as array<bigint>)),
+        (a, i) -> IF(a.at IS NULL, a, named_struct('at', try_element_at(links, a.at), 'out', array_append(a.out, a.at))),
+        a -> a.out)))"""
+
+
+def trees(boxes: DataFrame, share: float = 0.9) -> DataFrame:
+    """One row a page: rows, and aligned with them up (parents) and above (ancestors, nearest first); inner: all parents."""
+    pages = gathered(boxes).withColumn("up", parents_of(F.col("rows"), share))
+    pages = pages.withColumn("links", F.map_from_entries(F.filter(F.transform("rows", lambda r, i: F.struct(r["source_index"].alias("child"), F.get("up", i).alias("parent"))), lambda e: e["parent"].isNotNull())))
+    return pages.withColumn("above", F.expr(CHAINS)).withColumn("inner", F.map_values("links")).drop("links")
+
+
+def forest(boxes: DataFrame, share: float = 0.9) -> DataFrame:
+    """boxes with parent, ancestors, nearest first, and children, the number of direct children."""
+    children = F.size(F.filter("inner", lambda p: p == F.col("box.source_index"))).alias("children")
+    return scattered(trees(boxes, share), boxes.columns, F.get("up", "at").alias("parent"), F.get("above", "at").alias("ancestors"), children)
 
 
-def semantic_ancestors(placed: DataFrame, expand: tuple[str, ...] = EXPAND) -> DataFrame:
-    """(doc_id, page, source_index) of boxes above one of an expand type, from boxes with ancestors."""
-    return placed.where(F.col("type").isin(*expand)).select(*PAGE, F.explode("ancestors").alias("source_index")).distinct()
+SEMANTIC = "array_distinct(flatten(transform(filter(arrays_zip(rows, above), z -> z.rows.type IN ({})), z -> z.above)))"
+
+
+def listed(names: tuple[str, ...]) -> str:
+    return ", ".join("'" + n.replace("'", "\\'") + "'" for n in names)
+
+
+def semantic_ancestors(boxes: DataFrame, expand: tuple[str, ...] = EXPAND, share: float = 0.9) -> DataFrame:
+    """(doc_id, page, source_index) of boxes that hold one of an expand type at any depth."""
+    return trees(boxes, share).select(*PAGE, F.explode(F.expr(SEMANTIC.format(listed(expand)))).alias("source_index"))
 
 
 def composites(boxes: DataFrame, outer: tuple[str, ...] = OUTER, expand: tuple[str, ...] = EXPAND, share: float = 0.9, least_score: float = 0.7, inspect: bool = False) -> DataFrame:
@@ -162,27 +206,22 @@ def composites(boxes: DataFrame, outer: tuple[str, ...] = OUTER, expand: tuple[s
     An outer box with children is kept if its score is high enough and nothing below it is of an expand type; else it goes and
     its direct children name it. What lies below a kept outer box is listed by the nearest one, and goes unless inspect.
     """
-    placed = forest(parents(boxes, share))
-    semantic = semantic_ancestors(placed, expand).withColumn("semantic", F.lit(True))
-    placed = placed.join(semantic, [*PAGE, "source_index"], "left")
-    holds = F.col("type").isin(*outer) & (F.col("children") > 0)
-    retain = holds & (F.col("score") >= least_score) & F.col("semantic").isNull()
-    placed = placed.withColumn("retain", retain).withColumn("dropped", holds & ~retain)
-    flags = placed.where("retain or dropped").groupBy(*PAGE).agg(
-        F.collect_list(F.when(F.col("retain"), F.col("source_index"))).alias("retained"), F.collect_list(F.when(F.col("dropped"), F.col("source_index"))).alias("gone")
-    )
-    placed = placed.join(flags, PAGE, "left")
-    nearest = F.get(F.filter("ancestors", lambda a: F.array_contains("retained", a)), F.lit(0))
-    placed = placed.withColumn("holder", nearest).withColumn("parent_source_index", F.when(F.array_contains("gone", F.col("parent")), F.col("parent")))
-    listed = placed.where("holder is not null").groupBy(*PAGE, F.col("holder").alias("source_index")).agg(F.array_sort(F.collect_list(F.col("source_index"))).alias("listed"))
+    pages = trees(boxes, share).withColumn("semantic", F.expr(SEMANTIC.format(listed(expand))))
+    pages = pages.withColumn("holders", F.expr(f"filter(rows, r -> r.type IN ({listed(outer)}) AND array_contains(inner, r.source_index))"))
+    good = lambda r: (r["score"] >= least_score) & ~F.array_contains("semantic", r["source_index"])
+    index = lambda r: r["source_index"]
+    pages = pages.withColumns({"retained": F.transform(F.filter("holders", good), index), "gone": F.transform(F.filter("holders", lambda r: ~good(r)), index)})
+    pages = pages.withColumn("holder", F.transform("above", lambda a: F.get(F.filter(a, lambda x: F.array_contains("retained", x)), F.lit(0))))
+    box, mine = F.col("box.source_index"), F.expr("array_sort(transform(filter(arrays_zip(rows, holder), z -> z.holder = box.source_index), z -> z.rows.source_index))")
     name = "provisional_children" if inspect else "composite_children"
-    out = placed.join(listed, [*PAGE, "source_index"], "left").withColumnRenamed("listed", name).where(~F.col("dropped"))
-    out = out if inspect else out.where("holder is null")
-    return out.drop("parent", "ancestors", "children", "semantic", "retain", "dropped", "retained", "gone", "holder")
+    freed = F.when(F.array_contains("gone", F.get("up", "at")), F.get("up", "at")).alias("parent_source_index")
+    stays = ~F.array_contains("gone", box) & (F.lit(True) if inspect else F.get("holder", "at").isNull())
+    out = scattered(pages, boxes.columns, freed, F.when(F.size(mine) > 0, mine).alias(name), stays.alias("_stays"))
+    return out.where("_stays").drop("_stays")
 
 
 def masks(boxes: DataFrame, outer: tuple[str, ...] = OUTER) -> DataFrame:
-    """Rectangles of outer boxes with children, from boxes with children."""
+    """Rectangles of outer boxes with children, from boxes of forest()."""
     return boxes.where(F.col("type").isin(*outer) & (F.col("children") > 0)).select(*PAGE, *(F.col(s).alias(f"m_{s}") for s in SIDES))
 
 

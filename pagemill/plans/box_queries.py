@@ -48,7 +48,7 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_winner(spark: SparkSession, d: str) -> DataFrame:
-    return B.iou_pairs(layout_boxes(spark, d), 0.3).select("doc_id", "a_source_index", "b_source_index", B.a_wins().alias("a_wins"))
+    return B.iou_pairs(layout_boxes(spark, d), 0.3).select("doc_id", "a_source_index", "b_source_index", B.wins().alias("a_wins"))
 
 
 def overlap_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -56,16 +56,16 @@ def overlap_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def containment_parent(spark: SparkSession, d: str) -> DataFrame:
-    return B.forest(B.parents(layout_boxes(spark, d))).select("doc_id", "source_index", "parent", F.col("children").cast("bigint").alias("children"))
+    return B.forest(layout_boxes(spark, d)).select("doc_id", "source_index", "parent", F.col("children").cast("bigint").alias("children"))
 
 
 def ancestor_closure(spark: SparkSession, d: str) -> DataFrame:
-    t = B.forest(B.parents(layout_boxes(spark, d)))
+    t = B.forest(layout_boxes(spark, d))
     return t.select("doc_id", "source_index", F.posexplode("ancestors").alias("depth", "ancestor")).withColumn("depth", (F.col("depth") + 1).cast("bigint"))
 
 
 def semantic_descendant(spark: SparkSession, d: str) -> DataFrame:
-    return B.semantic_ancestors(B.forest(B.parents(layout_boxes(spark, d)))).select("doc_id", "source_index")
+    return B.semantic_ancestors(layout_boxes(spark, d)).select("doc_id", "source_index")
 
 
 def composite_keep(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def composite_keep(spark: SparkSession, d: str) -> DataFrame:
 def recovered_filter(spark: SparkSession, d: str) -> DataFrame:
     t = layout_boxes(spark, d).drop("raw_type", "reading_order")
     moved = t.withColumn("x0", F.col("x0") + 300).withColumn("x1", F.col("x1") + 300).where(F.col("doc_id") % 3 == 0)
-    masked = B.masks(B.forest(B.parents(t)))
+    masked = B.masks(B.forest(t))
     return B.recovered(t, moved, masked, most=3).select("doc_id", "source_index", "type", "x0", "score", "recovered")
 
 

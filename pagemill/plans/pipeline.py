@@ -38,7 +38,7 @@ class Pipeline:
         if s := self.on("overlap"):
             related = None
             if "provisional_children" in t.columns:
-                related = F.array_contains("a_provisional_children", F.col("b_source_index")) | F.array_contains("b_provisional_children", F.col("a_source_index"))
+                related = lambda a, b: F.array_contains(a["provisional_children"], b["source_index"]) | F.array_contains(b["provisional_children"], a["source_index"])
             t = B.without_overlaps(t, threshold=s["iou_threshold"], margin=s["score_margin"], labels=tuple(s.get("label_priority", B.LABEL_PRIORITY)), related=related)
         return B.ordered(t)
 

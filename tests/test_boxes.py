@@ -107,7 +107,7 @@ def test_random_pages_agree_with_the_plain_models(spark, seed):
     for r in B.without_overlaps(t).collect():
         kept[r.doc_id].add(r.source_index)
     assert all(kept[p[0]["doc_id"]] == plain_dedup(p) for p in all_pages)
-    parents = {(r.doc_id, r.source_index): r.parent for r in B.parents(t).collect()}
+    parents = {(r.doc_id, r.source_index): r.parent for r in B.forest(t).collect()}
     assert parents == {(p[0]["doc_id"], i): v for p in all_pages for i, v in plain_parents(p).items()}
     for inspect, name in ((False, "composite_children"), (True, "provisional_children")):
         got = B.composites(t, inspect=inspect).collect()
@@ -141,7 +141,7 @@ def test_finalisation(spark, outer, inner, kept):
 def test_recovered_boxes(spark):
     boxes = make(spark, [{"i": 0, "type": "chart", "box": (10, 10, 70, 70)}, {"i": 4, "type": "text", "box": (20, 20, 30, 30)}])
     found = make(spark, [{"i": 0, "type": "text", "box": (80, 80, 90, 90)}, {"i": 1, "type": "text", "box": (60, 60, 72, 72)}, {"i": 2, "type": "header", "box": (80, 0, 90, 9)}, {"i": 3, "type": "text", "box": (80, 20, 90, 30), "score": 0.2}, {"i": 5, "type": "text", "box": (80, 40, 80, 50)}])
-    masked = B.masks(B.forest(B.parents(boxes)))
+    masked = B.masks(B.forest(boxes))
     out = B.recovered(boxes, found, masked).collect()
     assert sorted((r.source_index, r.x0) for r in out if r.recovered) == [(5, 80.0)]
 
@@ -155,6 +155,11 @@ def test_validation_and_page_limit(spark):
 
 
 def test_plans_shuffle_boxes_once(spark):
-    t = make(spark, pages(3, 5, 4)[0]).repartition("doc_id", "page")
-    plan = B.without_overlaps(t)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    t = make(spark, [r for p in pages(3, 5, 4) for r in p]).repartition("doc_id", "page")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = B.without_overlaps(B.composites(B.header_footer(B.low_score(t))))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
