@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import x_overlap
-from pagemill.functions.text import columns_of, compact, is_table, table_close, table_open, table_rows
+from pagemill.functions.text import columns_of, compact, table_close, table_open, table_rows
 
 PAGE = ["doc_id", "page"]
 ROUTES = "type string, action string, models array<string>"
@@ -64,27 +64,32 @@ def edges(regions: DataFrame) -> DataFrame:
     return shown.groupBy(*PAGE, "width", "height").agg(F.min_by(what, place).alias("first"), F.max_by(what, place).alias("last"))
 
 
-def mergeable(a: Column, b: Column, size_a: tuple[Column, Column], size_b: tuple[Column, Column], margin: float = 0.1, alignment: float = 0.75, header: bool = False) -> Column:
+def table_shape(region: Column) -> Column:
+    """Of a region that is a table: cells of a row (null unless all rows have as many and none spans), rows, and the first row without white space and case."""
+    rows = F.when(region["type"] == "table", table_rows(region["text"]))
+    parts = F.transform(rows, lambda r: F.struct(columns_of(r).alias("cells"), compact(r).alias("text")))
+    first = F.get(parts, F.lit(0))
+    even = F.forall(parts, lambda p: (p["cells"] == first["cells"]) & (p["cells"] > 0) & ~p["text"].rlike("colspan|rowspan"))
+    return F.struct(F.when(even, first["cells"]).alias("cells"), F.size(parts).alias("rows"), first["text"].alias("head"))
+
+
+def mergeable(a: Column, b: Column, shape_a: Column, shape_b: Column, size_a: tuple[Column, Column], size_b: tuple[Column, Column], margin: float = 0.1, alignment: float = 0.75, header: bool = False) -> Column:
     """Whether table b at the top of a page continues table a at the end of the page before."""
     tables = (a["type"] == "table") & (b["type"] == "table") & (a["error"] == "") & (b["error"] == "") & (a["asset"] == "") & (b["asset"] == "")
     sized = (size_a[0] > 0) & (size_a[1] > 0) & (size_b[0] > 0) & (size_b[1] > 0)
     placed = (a["y1"] / size_a[1] >= 1 - margin) & (b["y0"] / size_b[1] <= margin)
     aligned = x_overlap(a["x0"] / size_a[0], a["x1"] / size_a[0], b["x0"] / size_b[0], b["x1"] / size_b[0]) >= alignment
-    rows_a, rows_b = table_rows(a["text"]), table_rows(b["text"])
-    n = columns_of(F.element_at(rows_a, -1))
-    simple = lambda rows: F.forall(rows, lambda r: (columns_of(r) == n) & ~compact(r).rlike("colspan|rowspan"))
-    fits = is_table(a["text"]) & is_table(b["text"]) & (n > 0) & simple(rows_a) & simple(rows_b)
-    repeated = (F.size(rows_b) > 1) & (compact(F.get(rows_a, F.lit(0))) == compact(F.get(rows_b, F.lit(0))))
-    return F.coalesce(sized & tables & placed & aligned & fits & (repeated if header else F.lit(True)), F.lit(False))
+    repeated = (shape_b["rows"] > 1) & (shape_a["head"] == shape_b["head"])
+    return F.coalesce(sized & tables & placed & aligned & (shape_a["cells"] == shape_b["cells"]) & (repeated if header else F.lit(True)), F.lit(False))
 
 
 def page_links(regions: DataFrame, **options) -> DataFrame:
     """For each page with an edge: whether its first region continues the last of the page before."""
-    e = edges(regions)
+    e = edges(regions).withColumns({"first_shape": table_shape(F.col("first")), "last_shape": table_shape(F.col("last"))})
     w = Window.partitionBy("doc_id").orderBy("page")
     before = lambda c: F.lag(c).over(w)
-    near = e.withColumns({"p_last": before("last"), "p_page": before("page"), "p_width": before("width"), "p_height": before("height")})
-    joins = (F.col("p_page") == F.col("page") - 1) & mergeable(F.col("p_last"), F.col("first"), (F.col("p_width"), F.col("p_height")), (F.col("width"), F.col("height")), **options)
+    near = e.withColumns({"p_last": before("last"), "p_shape": before("last_shape"), "p_page": before("page"), "p_width": before("width"), "p_height": before("height")})
+    joins = (F.col("p_page") == F.col("page") - 1) & mergeable(F.col("p_last"), F.col("first"), F.col("p_shape"), F.col("first_shape"), (F.col("p_width"), F.col("p_height")), (F.col("width"), F.col("height")), **options)
     return near.withColumn("joins", F.coalesce(joins, F.lit(False)))
 
 
