@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import ctypes
+import shutil
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.gettempdir()}/pagemill-scratch"
+        own = tempfile.mkdtemp(prefix="pagemill-scratch-")  # one machine: no cluster is without the setting
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -50,6 +56,13 @@ def per_process(key: tuple, make: Callable):
     return kept[key]
 
 
+def trim() -> None:
+    """At the end of a task: give memory that Arrow and the C library hold back to the system, for the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def tracked(paths: list[str]) -> Iterator[None]:
     """Adds to paths the scratch paths that are made inside."""

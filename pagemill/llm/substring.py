@@ -13,25 +13,26 @@ empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise
+from pagemill.llm.common import materialise, trim
 
 WINDOW, MINIMISER = 13, 3
 #: Text bytes for each bucket (its super-k-mers are about three times as long), and packed bytes a task holds.
-BUCKET_BYTES, HELD_BYTES = 4 << 20, 48 << 20
-REMEMBERED = 1 << 19
-#: Documents with removed runs (some 100 bytes each) up to which they are broadcast rather than shuffled.
-BROADCAST_ROWS = 200_000
+BUCKET_BYTES, HELD_BYTES = 3 << 20, 24 << 20
+REMEMBERED = 1 << 17
+#: Removed runs (16 bytes each, and some 100 for each document) up to which they are broadcast rather than shuffled.
+BROADCAST_RUNS = 1_000_000
 NO_ID = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,7 +62,7 @@ class Packer:
 
     def __init__(self, buckets: int):
         self.buckets, self.known, self.size = buckets, {}, 0
-        self.held: dict[int, tuple[dict[bytes, int], list[int]]] = {}
+        self.held: dict[int, tuple[dict[bytes, int], array]] = {}
 
     def add(self, oid: int, key: int, words: list[bytes]) -> None:
         if len(words) < WINDOW:
@@ -79,18 +80,18 @@ class Packer:
         begins = np.where(cuts > 0, places[cuts - 1], 0).tolist()
         for bucket, first, a, b in zip((least[cuts] % np.uint64(self.buckets)).tolist(), cuts.tolist(), begins, (places[ends - 1] - 1).tolist(), strict=True):
             if (held := self.held.get(bucket)) is None:
-                held = self.held[bucket] = ({}, [])
+                held = self.held[bucket] = ({}, array("q"))
             strings, marks = held
             s = line[a:b]
             n = strings.setdefault(s, len(strings))
             if n == len(strings) - 1:
                 self.size += b - a
-            marks += (n, oid, key, first)
+            marks.extend((n, oid, key, first))
             self.size += 32
 
     def packed(self) -> pd.DataFrame:
         z = zstd.ZstdCompressor(level=3)
-        rows = [(k, z.compress(b"\n".join(strings)), z.compress(np.array(marks, "<i8").reshape(-1, 4).T.tobytes())) for k, (strings, marks) in self.held.items()]
+        rows = [(k, z.compress(b"\n".join(strings)), z.compress(np.frombuffer(marks, "<i8").reshape(-1, 4).T.tobytes())) for k, (strings, marks) in self.held.items()]
         self.held, self.size = {}, 0
         return pd.DataFrame(rows, columns=["bucket", "strings", "places"])
 
@@ -106,7 +107,7 @@ def equal_groups(ids: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray
     a, b = starts[order[:-1][same]], starts[order[1:][same]]
     if any((ids[a + k] != ids[b + k]).any() for k in range(window)):  # hashes that collide: sort the words themselves
         return np.unique(np.stack([ids[starts + k] for k in range(window)], axis=1), axis=0, return_inverse=True)[1].ravel()
-    out = np.empty(len(starts), np.int64)
+    out = np.empty(len(starts), np.int32)
     out[order] = np.concatenate(([0], np.cumsum(~same)))
     return out
 
@@ -116,11 +117,10 @@ RUNS = "oid bigint, tkey bigint, first bigint, last bigint"
 
 def removed(strings: list[bytes], places: np.ndarray, window: int = WINDOW) -> pd.DataFrame:
     """Runs of words to remove; places: string, oid, tkey, first word of each super-k-mer."""
-    split = [s.split(b" ") for s in strings]
-    lengths = np.array([len(w) for w in split])
+    lengths = np.array([s.count(b" ") + 1 for s in strings])
     number = defaultdict(count().__next__)
-    ids = np.fromiter((number[w] for words in split for w in words), np.int64, int(lengths.sum()))
-    del split
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(s.split(b" ") for s in strings)), np.int32, int(lengths.sum()))
+    del number
     windows = lengths - window + 1
     begin = np.cumsum(windows) - windows
     starts = np.arange(int(windows.sum())) + np.repeat((np.cumsum(lengths) - lengths) - begin, windows)
@@ -157,6 +157,7 @@ def covered(docs: DataFrame) -> DataFrame:
                     yield packer.packed()
         if packer.size:
             yield packer.packed()
+        trim()
 
     def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
@@ -170,7 +171,18 @@ def covered(docs: DataFrame) -> DataFrame:
         return removed(list(number), np.concatenate(places, axis=1))
 
     packed = docs.where("text is not null").mapInPandas(pack, "bucket bigint, strings binary, places binary")
-    return packed.groupBy("bucket").applyInPandas(judge, RUNS)
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(judge, RUNS)
+
+
+def joined(runs: Column) -> Column:
+    """Sorted runs (first, last), those that touch joined."""
+
+    def step(a: Column, r: Column) -> Column:
+        top = F.element_at(a, -1)
+        grown = F.array_append(F.slice(a, 1, F.size(a) - 1), F.struct(top["first"].alias("first"), F.greatest(top["last"], r["last"]).alias("last")))
+        return F.when(F.element_at(a, -1)["last"] >= r["first"], grown).otherwise(F.array_append(a, r))
+
+    return F.aggregate(F.slice(runs, 2, 1 << 30), F.slice(runs, 1, 1), step)
 
 
 KEPT = "n_words bigint, n_removed bigint, kept string"
@@ -180,8 +192,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id of each row of docs with n_words, n_removed and kept, its kept words joined by one space."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("oid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
     runs = covered(rows.select("oid", "tkey", "text")).groupBy("oid", "tkey").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    runs = materialise(runs, "runs")
-    runs = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
+    runs = materialise(runs.select("oid", "tkey", joined(F.array_sort("runs")).alias("runs")), "runs")
+    size = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
+    runs = F.broadcast(runs) if size <= BROADCAST_RUNS else runs
 
     @F.pandas_udf(KEPT)
     def keep(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
