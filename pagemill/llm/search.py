@@ -2,12 +2,13 @@
 
 Documents are dealt to shards by a hash of doc_id. One pass counts document frequencies and lengths over all documents;
 query terms are joined with them, so every shard scores with the same global idf and mean length and the merge is exact.
+A task takes its shards one after the other and keeps each query's best so far, whose k-th score prunes the next shard.
 A shard's index keeps, for each term, postings in order of documents and the greatest impact in each block of BLOCK
 documents. For a batch of queries the sum of block maxima bounds every block; the best blocks of a query are scored first,
 and then only blocks whose bound reaches its k-th score so far. Terms that a tenth of a shard's documents hold are kept as
 rows of a matrix, so bounds and scores of a batch are matrix products; the others are postings lists.
 
-Queries are streamed from a table in the shared folder, a batch at a time, so their number doesn't bound memory.
+Queries are streamed from a table in the shared folder, a batch at a time; a task holds 16 * k bytes a query for its best.
 
 Defined cases: null or word-less texts match nothing and ask nothing; rows without doc_id are neither indexed nor asked;
 repeated rows are documents of their own and one query; equal scores (to six places) are in order of doc_id; a query that
@@ -33,10 +34,10 @@ from pagemill.llm.files import open_fs
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_DOCS = 1 << 14
-BLOCK, BATCH, FIRST_BLOCKS = 64, 256, 4
-COMMON, MOST_COMMON = 0.1, 512
-REMEMBERED = 1 << 19
+SHARD_DOCS = 1 << 13
+BLOCK, BATCH, FIRST_BLOCKS = 64, 128, 4
+COMMON, MOST_COMMON = 0.1, 256
+REMEMBERED = 1 << 18
 
 
 class Hasher:
@@ -91,12 +92,12 @@ class Index:
         order = np.argsort(doc_ids, kind="stable")
         self.doc_ids = doc_ids[order]
         self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        terms, counts = [terms[i] for i in order], [counts[i] for i in order]
-        size = np.array([c.sum() for c in counts])
-        doc, tf = np.repeat(np.arange(self.n), [len(t) for t in terms]), np.concatenate(counts)
-        term = np.concatenate(terms)
+        size = np.array([counts[i].sum() for i in order])
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(terms[i]) for i in order])
+        term, tf = np.concatenate([terms[i] for i in order]), np.concatenate([counts[i] for i in order])
         by = np.argsort(term, kind="stable")
         term, doc, tf = term[by], doc[by], tf[by]
+        del by
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         common = np.flatnonzero(df >= max(2, COMMON * self.n))
@@ -122,9 +123,10 @@ class Index:
         which = np.repeat(np.arange(len(n)), n)
         return np.arange(int(n.sum())) + (first - (np.cumsum(n) - n))[which], which
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], top: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """doc_ids and scores of each query's best documents, ties at the end included in order of doc_id."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], top: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """doc_ids and scores of each query's best documents that reach its floor, ties in order of doc_id."""
         m = len(queries)
+        floor = np.zeros(m) if floor is None else floor
         weight, rare = np.zeros((m, len(self.dense))), []
         bound = np.zeros((m, self.blocks))
         for q, (terms, idf) in enumerate(queries):
@@ -143,14 +145,15 @@ class Index:
         first = np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
         wanted = np.zeros_like(done)
         np.put_along_axis(wanted, first, True, axis=1)
+        wanted &= bound >= floor[:, None] - 1e-6
         for _ in range(2):
             self.score(wanted, weight, rare, scores)
             done |= wanted
             least = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top] if scores.shape[1] > top else np.zeros(m)
-            wanted = (bound >= least[:, None] - 1e-6) & ~done
+            wanted = (bound >= np.maximum(least, floor)[:, None] - 1e-6) & ~done
         out = []
         for q in range(m):
-            cut = np.partition(scores[q], -top)[-top] if scores.shape[1] > top else 0.0
+            cut = max(floor[q], np.partition(scores[q], -top)[-top] if scores.shape[1] > top else 0.0)
             best = np.flatnonzero(scores[q, : self.n] >= max(cut - 1e-6, 1e-12))
             value = np.round(scores[q, best], 6)
             best = best[np.lexsort((self.doc_ids[best], -value))][:top]
@@ -199,22 +202,44 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     asked(queries.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text"), stats.where("term >= 0"), n).write.parquet(path)
     shards = max(1, -(-n // SHARD_DOCS))
 
+    def better(best: tuple, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Merge found into the best so far: keys, doc_ids and scores of a batch, a row a query, best first."""
+        _, ids, scores = best
+        for q, (d, s) in enumerate(found):
+            if len(d):
+                d, s = np.concatenate([ids[q], d]), np.concatenate([scores[q], s])
+                order = np.lexsort((d, -np.round(s, 6)))[:top]
+                ids[q], scores[q] = d[order], s[order]
+
+    def into(best: list[tuple], ids: list[int], terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        index = Index(np.array(ids, np.int64), terms, counts, mean)
+        terms.clear()
+        counts.clear()
+        for k, some in enumerate(batches_of(path)):
+            if k == len(best):
+                best.append(([q for q, _, _ in some], np.zeros((len(some), top), np.int64), np.zeros((len(some), top))))
+            better(best[k], index.search([(t, i) for _, t, i in some], top, best[k][2][:, -1]))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, ids, terms, counts = Hasher(), {}, {}, {}
-        for batch in batches:
+        hashed, ids, terms, counts, now, best = Hasher(), [], [], [], None, []
+        for batch in batches:  # sorted by shard: one index in memory
             for shard, doc, text in zip(batch["shard"], batch["doc_id"], batch["text"], strict=True):
+                if shard != now and ids:
+                    into(best, ids, terms, counts)
+                    ids = []
+                now = shard
                 if found := folded(text):
                     t, c = np.unique(hashed(found), return_counts=True)
-                    ids.setdefault(shard, []).append(doc)
-                    terms.setdefault(shard, []).append(t)
-                    counts.setdefault(shard, []).append(c.astype(np.int32))
-        for shard in list(ids):
-            index = Index(np.array(ids.pop(shard), np.int64), terms.pop(shard), counts.pop(shard), mean)
-            for some in batches_of(path):
-                found = index.search([(t, i) for _, t, i in some], top)
-                yield pd.DataFrame({"query": np.repeat([q for q, _, _ in some], [len(d) for d, _ in found]), "doc_id": np.concatenate([d for d, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(shards, "shard")
+                    ids.append(doc)
+                    terms.append(t)
+                    counts.append(c.astype(np.int32))
+        if ids:
+            into(best, ids, terms, counts)
+        for keys, docs_, scores in best:
+            q, k = np.nonzero(scores > 0)
+            yield pd.DataFrame({"query": np.array(keys, np.int64)[q], "doc_id": docs_[q, k], "score": scores[q, k]})
+
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartitionByRange(min(shards, 2 * spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
     found = dealt.mapInPandas(run, FOUND).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query", "rank", "doc_id", "score")
