@@ -15,6 +15,7 @@ Lanes are interleaved: id i of a block belongs to lane i mod LANES, and all lane
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,49 +45,52 @@ def quantised(counts: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
     return out
 
 
-def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray, bits: int = TABLE_BITS) -> bytes:
+def encode_block(ids: np.ndarray, table: Table, bits: int = TABLE_BITS) -> bytes:
     lanes = min(LANES, len(ids))
     if not lanes:
         return b""
-    steps = -(-len(ids) // lanes)
     state, words = np.full(lanes, LOW, np.uint64), []
-    f_all, s_all = freq[ids].astype(np.uint64), start[ids].astype(np.uint64)
-    top, shift, low32 = np.uint64(63 - bits), np.uint64(bits), np.uint64(32)
-    for k in range(steps - 1, -1, -1):
-        f, s = f_all[k * lanes : (k + 1) * lanes], s_all[k * lanes : (k + 1) * lanes]
+    freq, start = table.freq[ids], table.start[ids]
+    room, most, low32 = np.uint64(1 << bits) - freq, freq << np.uint64(63 - bits), np.uint64(32)
+    for at in range((len(ids) - 1) // lanes * lanes, -1, -lanes):
+        some = slice(at, at + lanes)
+        f = freq[some]
         x = state[: len(f)]
-        over = x >= (f << top)
-        if over.any():
-            words.append(x[over].astype(np.uint32))
-            x = np.where(over, x >> low32, x)
-        q = x // f
-        state[: len(f)] = (q << shift) + (x - q * f) + s
+        over = np.flatnonzero(x >= most[some])
+        if len(over):
+            y = x[over]
+            words.append(y.astype(np.uint32))
+            x[over] = y >> low32
+        q = x // f  # the new state is (q << bits) + x - q * f + start
+        q *= room[some]
+        x += q
+        x += start[some]
     return state.astype("<u8").tobytes() + b"".join(w.astype("<u4").tobytes() for w in reversed(words))
 
 
-def decode_block(data: bytes, n: int, freq: np.ndarray, start: np.ndarray, symbol: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+def decode_block(data: bytes, n: int, table: Table, bits: int = TABLE_BITS) -> np.ndarray:
     lanes = min(LANES, n)
-    out = np.empty(n, np.int64)
+    slots = np.empty(n, np.uint64)
     if not lanes:
-        return out
+        return slots.astype(np.uint32)
     state = np.frombuffer(data, "<u8", lanes).astype(np.uint64)
     words, at = np.frombuffer(data, "<u4", offset=8 * lanes).astype(np.uint64), 0
-    mask, shift, low32 = np.uint64((1 << bits) - 1), np.uint64(bits), np.uint64(32)
+    mask, shift, low32, half = np.uint64((1 << bits) - 1), np.uint64(bits), np.uint64(32), np.uint64(0xFFFFFFFF)
     for k in range(0, n, lanes):
-        m = min(lanes, n - k)
-        x = state[:m]
-        slot = x & mask
-        s = symbol[slot]
-        out[k : k + m] = s
-        x = freq[s] * (x >> shift) + slot - start[s]
+        x = state[: min(lanes, n - k)]
+        slot = slots[k : k + len(x)]
+        np.bitwise_and(x, mask, out=slot)
+        step = table.steps[slot]
+        x >>= shift
+        x *= step >> low32
+        x += step & half
         under = np.flatnonzero(x < LOW)
         if len(under):
             x[under] = (x[under] << low32) | words[at : at + len(under)]
             at += len(under)
-        state[:m] = x
     if at != len(words) or (state != LOW).any():
         raise ValueError("a block doesn't end in its first state")
-    return out
+    return table.symbol[slots]
 
 
 class Table:
@@ -97,7 +101,18 @@ class Table:
         self.freq[ids] = freqs
         self.start = np.zeros(size, np.uint64)
         self.start[ids] = np.cumsum(freqs) - freqs
-        self.symbol = np.repeat(ids, freqs).astype(np.int64)
+
+    @functools.cached_property
+    def symbol(self) -> np.ndarray:
+        """The id of each slot."""
+        return np.repeat(self.ids, self.freqs).astype(np.uint32)
+
+    @functools.cached_property
+    def steps(self) -> np.ndarray:
+        """For each slot its id's frequency, in the high half, and the slot's place among the id's."""
+        f = np.repeat(self.freqs, self.freqs).astype(np.uint64)
+        first = np.repeat(np.cumsum(self.freqs) - self.freqs, self.freqs).astype(np.uint64)
+        return (f << np.uint64(32)) | (np.arange(len(f), dtype=np.uint64) - first)
 
     def pack(self) -> bytes:
         return zlib.compress(struct.pack("<I", len(self.ids)) + np.diff(self.ids, prepend=0).astype("<u4").tobytes() + self.freqs.astype("<u4").tobytes())
@@ -121,9 +136,9 @@ def pack_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], wr
     at, marks = len(MAGIC) + len(packed), []
     for k in range(0, len(ids), block_ids):
         block = ids[k : k + block_ids]
-        data = encode_block(block, t.freq, t.start)
+        data = encode_block(block, t)
         write(data)
-        marks.append((at, len(data), len(block), k, zlib.crc32(block.astype("<u4"))))
+        marks.append((at, len(data), len(block), k, zlib.crc32(block.astype("<u4", copy=False))))
         at += len(data)
     docs = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + np.array(lengths, "<i8").tobytes())
     index = zlib.compress(b"".join(struct.pack("<QIIQI", *m) for m in marks))
@@ -155,14 +170,14 @@ class Reader:
 
     def block(self, k: int) -> np.ndarray:
         at, length, n, _, crc = self.checkpoints[k]
-        ids = decode_block(self.read_at(at, length), n, self.table.freq, self.table.start, self.table.symbol)
-        if zlib.crc32(ids.astype("<u4")) != crc:
+        ids = decode_block(self.read_at(at, length), n, self.table)
+        if zlib.crc32(ids.astype("<u4", copy=False)) != crc:
             raise ValueError(f"block {k}: the ids' checksum is wrong")
         return ids
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of each document, in order; one block and one document in memory."""
-        have, k = np.zeros(0, np.int64), 0
+        have, k = np.zeros(0, np.uint32), 0
         for doc, n in zip(self.doc_ids, self.lengths, strict=True):
             parts, size = [have], len(have)
             while size < n:

@@ -20,7 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain, compress
-from operator import not_
+from operator import attrgetter, not_
 
 import numpy as np
 import pandas as pd
@@ -91,12 +91,13 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         known, tokenize, letters, latin, packed = self.known, self.tokenizer.model.tokenize, self.letters, _LATIN.fullmatch, self.packed
+        ident = attrgetter("id")
         rest, parted = [], []
         for w in words:
             if not self.direct:
                 rest.append(w)
             elif w.isascii() and w.isalpha() and w.islower():
-                known[w] = packed([t.id for t in tokenize(w)])
+                known[w] = packed(list(map(ident, tokenize(w))))
             elif m := latin(w):
                 parted.append((w, m[1].lower(), m[2]))
             else:
@@ -106,12 +107,12 @@ class Encoder:
             known[w] = packed(e.ids)
         for w, core, stop in parted:
             if (ids := known.get(core)) is None:
-                ids = known[core] = packed([t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(letters))])
+                ids = known[core] = packed(list(map(ident, tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(letters)))))
             known[w] = ids + known[stop] if stop else ids
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None], remembered: int = REMEMBERED) -> list[bytes]:
         """The ids of each text, with the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > remembered:
             self.known.clear()
         known, split = self.known, [spaced(t) for t in texts]
         found, new = [list(map(known.get, w)) for w in split], set()
@@ -119,8 +120,9 @@ class Encoder:
             new.update(compress(w, map(not_, ids)))
         self.learn(new)
         for w, ids in zip(split, found, strict=True):
-            for i in list(compress(range(len(w)), map(not_, ids))):
-                ids[i] = known[w[i]]
+            missing = list(compress(range(len(w)), map(not_, ids)))
+            for i, coded in zip(missing, map(known.__getitem__, map(w.__getitem__, missing)), strict=True):
+                ids[i] = coded
             ids.append(_END)
         return [b"".join(ids) for ids in found]
 
@@ -128,7 +130,7 @@ class Encoder:
 MANIFEST = "part int, file int, path string, ids bigint, documents bigint"
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, file_ids: int = FILE_IDS, remembered: int = REMEMBERED) -> DataFrame:
     """Write docs' ids to files in folder; returns the manifest, already run and kept in the shared folder."""
     tokenizer = tokenizer or default_tokenizer()
 
@@ -146,7 +148,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, file_ids:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                for doc, coded in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+                for doc, coded in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), remembered), strict=True):
                     if ids and size + len(coded) // 4 > file_ids:
                         yield flush()
                         ids, doc_ids, size, k = [], [], 0, k + 1
@@ -178,7 +180,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     return f.read(n)
 
                 for doc, ids in rans.Reader(read_at, size).documents():
-                    rows.append((doc, int(start), len(ids), zlib.crc32(ids.astype("<u4"))))
+                    rows.append((doc, int(start), len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                     start += len(ids)
             out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
             out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
