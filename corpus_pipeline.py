@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.round_trip(docs)
+    return tokens.round_trip(docs, file_ids=1 << 22, remembered=1 << 18)  # workers of earlier stages hold memory, too
 
 
 STAGES = [

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise
+from pagemill.llm.common import materialise, trim
 from pagemill.llm.components import components
 
 WORDS = 5
@@ -38,7 +38,7 @@ TARGET_RECALL = 0.999
 RESEMBLANCE = 0.62
 #: Most sets in a block of a large group: bytes of embeddings or of whole texts for two blocks must fit a task.
 BLOCK, TEXT_BLOCK = 1024, 256
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 #: Rows (some 50 bytes each) up to which the documents of components are broadcast rather than shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -101,6 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 some = [len(s) > 0 for s in sets]
                 sets = [s for s in sets if len(s)]
                 yield part.loc[some, ["doc_id", "tkey"]].assign(digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], sketch=[row.tobytes() for row in embedded(sets)])
+        trim()
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), tkey().alias("tkey"), "text").mapInPandas(run, SKETCH)
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import trim
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 1000
 TRAIN_CHARS = 64
@@ -29,7 +31,7 @@ ROUNDS = 3
 #: Pseudo-count of every piece, and probability of a character that no piece covers.
 SMOOTHING, STRANGE = 0.05, 1e-7
 CELLS = 1 << 18
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: A model is languages x pieces; more languages than this are refused.
 MOST_LANGUAGES = 500
 
@@ -236,6 +238,8 @@ def predictor(docs: DataFrame, langs: list[str], probs: np.ndarray, vocabulary:
         for texts in parts:
             rows = [r for at in range(0, len(texts), 500) for r in scorer.predict(texts.iloc[at : at + 500].tolist())]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        del scorer
+        trim()
 
     return run.asNondeterministic()
 
