@@ -68,11 +68,11 @@ def owned(files: DataFrame, least: float = LEAST) -> DataFrame:
     units = materialise(units.select("key", "u.part", "u.unit").distinct(), "units")
     spark = files.sparkSession
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, unit string")
-    n = F.broadcast(units.agg(F.count("*").alias("n")))
+    n = units.count()
     df = units.select("key", "part", F.explode(F.array_distinct(terms(F.col("unit")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     known = templates.select(F.explode(terms(F.col("unit"))).alias("term")).distinct()
     # Terms of no template only count in norms; terms of templates that no text has keep their greatest idf.
-    idf = df.join(known, "term", "full").crossJoin(n).select("term", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    idf = df.join(known, "term", "full").select("term", (F.log((1 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
     idf = materialise(idf, "idf")
     w, norms = weighted(units, idf, "key", "part")
     v, sizes = weighted(templates, idf.join(F.broadcast(known), "term"), "template", "license")

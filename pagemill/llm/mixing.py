@@ -24,7 +24,7 @@ from pagemill.llm.common import SPACED_WORD, materialise
 SHARE, MOST_PASSES = 1.5, 2
 WEIGHTS = (3, 1, 2)
 BLOCKS, SHARDS = 4096, 16
-#: Rows of the table of blocks up to which it is broadcast (some 100 bytes each); BLOCKS and the sources bound it.
+#: Rows of the tables of blocks and of sources up to which they are broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 ALL = (1 << 62) - 1
 
@@ -70,7 +70,8 @@ def sources(sized: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
 
 def drawn(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     """Block copies that the mix takes: source number, block, pass, and cut, the greatest document key that is taken."""
-    keyed = sized.join(F.broadcast(by_source.select(F.col("source").alias("s"), "number", "blocks", "rest")), F.col("source").eqNullSafe(F.col("s")))
+    hinted = F.broadcast if by_source.count() <= BROADCAST_ROWS else lambda df: df  # none has more rows than by_source
+    keyed = sized.join(hinted(by_source.select(F.col("source").alias("s"), "number", "blocks", "rest")), F.col("source").eqNullSafe(F.col("s")))
     keyed = keyed.withColumn("key", doc_key(F.col("doc_id"))).withColumn("block", F.col("key") % F.col("blocks"))
     in_order = Window.partitionBy("number").orderBy("rank", "block")
     sums = (
@@ -84,14 +85,14 @@ def drawn(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     last = sums.where("before < rest and after > rest").select("number", "block", (F.col("rest") - F.col("before")).alias("want"))
     by_key = Window.partitionBy("number", "block").orderBy("key")
     cuts = (
-        keyed.drop("rest").join(F.broadcast(last), ["number", "block"])  # a row for each source at most
+        keyed.drop("rest").join(hinted(last), ["number", "block"])
         .groupBy("number", "block", "want", "key").agg(F.sum("size").alias("words"))
         .withColumn("after", F.sum("words").over(by_key))
         .where(F.col("after") - F.col("words") / 2 <= F.col("want"))
         .groupBy("number", "block").agg(F.max("key").alias("cut"))
     )
-    partial = whole.unionByName(cuts).join(F.broadcast(by_source.select("number", "passes")), "number").select("number", "block", F.col("passes").alias("pass"), "cut")
-    full = sums.select("number", "block").join(F.broadcast(by_source.select("number", "passes").where("passes > 0")), "number")
+    partial = whole.unionByName(cuts).join(hinted(by_source.select("number", "passes")), "number").select("number", "block", F.col("passes").alias("pass"), "cut")
+    full = sums.select("number", "block").join(hinted(by_source.select("number", "passes").where("passes > 0")), "number")
     full = full.select("number", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"), F.lit(ALL).alias("cut"))
     return full.unionByName(partial)
 
@@ -141,7 +142,7 @@ class Mix:
         self.sizes = sized(docs)
         self.sources = materialise(sources(self.sizes, share, weights, blocks), "sources")
         self.blocks = materialise(placed(materialise(drawn(self.sizes, self.sources), "copies"), shards, seed), "placed")
-        self.small = self.blocks.count() <= BROADCAST_ROWS
+        self.small = max(self.blocks.count(), self.sources.count()) <= BROADCAST_ROWS
 
     def assigned(self, docs: DataFrame) -> DataFrame:
         """docs with source_size, target and copies: an array of (pass, cut, shard), one for each time the row is taken."""
@@ -165,4 +166,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     inner = docs.select("doc_id", "source", F.struct("*").alias("_row"))
     rows = Mix(docs, **options).assigned(inner).select("_row", "doc_id", F.explode("copies").alias("_c"))
     rows = rows.withColumn("_o", order_key(F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_c")["pass"], F.col("_c")["shard"]))
-    return rows.repartition(F.col("_c")["shard"], F.col("_o") % 64).sortWithinPartitions(F.col("_c")["shard"], "_o").select("_row.*")
+    pieces = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS)  # of a shard, so that tasks stay small
+    return rows.repartition(F.col("_c")["shard"], F.col("_o") % pieces).sortWithinPartitions(F.col("_c")["shard"], "_o").select("_row.*")
