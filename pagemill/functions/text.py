@@ -30,28 +30,28 @@ def base64_plain(x: Column) -> Column:
     return F.regexp_replace(F.base64(x), "[\r\n]", "")
 
 
-#: Parts of a text that is one HTML table of rows only; nested tables make table_rows null.
-WHOLE_TABLE = r"(?is)^\s*(<table\b[^>]*>)(.*)(</table>)\s*$"
 ROW = r"(?is)<tr\b[^>]*>.*?</tr>"
+#: What is left of a simple table without its rows.
+SHELL = r"(?is)^\s*<table\b[^>]*>\s*</table>\s*$"
 
 
-def is_table(x: Column) -> Column:
-    body = F.regexp_extract(x, WHOLE_TABLE, 2)
-    rest = F.regexp_replace(body, ROW, "")
-    return F.coalesce(x.rlike(WHOLE_TABLE) & (F.regexp_count(x, F.lit(r"(?i)<table\b")) == 1) & body.rlike(ROW) & rest.rlike(r"^\s*$"), F.lit(False))
+def table_rows(x: Column) -> Column:
+    """Row strings of a text that is one HTML table of rows only, or null; nested tables and text between rows make it null."""
+    rows = F.regexp_extract_all(x, F.lit(ROW), F.lit(0))
+    simple = F.regexp_replace(x, ROW, "").rlike(SHELL) & (F.regexp_count(x, F.lit(r"(?i)<table\b")) == 1)
+    return F.when(F.contains(x, F.lit("<")) & simple & (F.size(rows) > 0), rows)
 
 
-def table_rows(x: Column) -> Column:
-    """Row strings of a simple table, or null."""
-    return F.when(is_table(x), F.regexp_extract_all(F.regexp_extract(x, WHOLE_TABLE, 2), F.lit(ROW), F.lit(0)))
+def is_table(x: Column) -> Column:
+    return table_rows(x).isNotNull()
 
 
 def table_open(x: Column) -> Column:
-    return F.regexp_extract(x, WHOLE_TABLE, 1)
+    return F.regexp_extract(x, r"(?i)^\s*(<table\b[^>]*>)", 1)
 
 
 def table_close(x: Column) -> Column:
-    return F.regexp_extract(x, WHOLE_TABLE, 3)
+    return F.regexp_extract(x, r"(?i)(</table>)\s*$", 1)
 
 
 def columns_of(row: Column) -> Column:

@@ -19,30 +19,27 @@ def items(answers: DataFrame) -> DataFrame:
     return answers.select(*(c for c in answers.columns if c != "response"), F.posexplode(F.coalesce(parsed["res"]["boxes"], parsed["boxes"])).alias("at", "item"))
 
 
-def order_of(item: Column, default: Column) -> Column:
+def order_of(item: Column, given: Column, default: Column) -> Column:
     """(order, reading_order): a missing order takes the default and is read; null keeps the default but isn't read."""
-    has = F.array_contains(F.json_object_keys(item), "order")
-    given = F.get_json_object(item, "$.order").try_cast("int")
-    return F.struct(F.coalesce(given, default.cast("int")).alias("order"), F.when(~has, default.cast("int")).otherwise(given).alias("reading_order"))
+    missing = given.isNull() & ~F.array_contains(F.json_object_keys(item), "order")
+    return F.struct(F.coalesce(given, default.cast("int")).alias("order"), F.when(missing, default.cast("int")).otherwise(given).alias("reading_order"))
 
 
 def from_json_boxes(answers: DataFrame, adapter: str = "paddle", threshold: float = 0.0, type_map: dict[str, str] | None = None) -> DataFrame:
     """Boxes of answers (doc_id, page, width, height, response): checked, clamped, filtered, with dense source_index."""
     label, corners, unit = ADAPTERS[adapter]
-    t = items(answers)
-    given = F.from_json(F.get_json_object("item", f"$.{corners}"), "array<double>")
+    t = items(answers).withColumn("j", F.from_json("item", f"{label} string, {corners} array<double>, score double, rotation int, `order` int"))
+    given = F.col(f"j.{corners}")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     for i, s in enumerate(SIDES):
         v = F.get(given, F.lit(i))
         t = t.withColumn(s, v * (w if i % 2 == 0 else h) if unit == "normalized" else v)
-    t = t.withColumn("score", F.coalesce(F.get_json_object("item", "$.score").try_cast("double"), F.lit(1.0)))
-    t = t.withColumn("rotation", F.coalesce(F.get_json_object("item", "$.rotation").try_cast("int"), F.lit(0)))
-    t = t.withColumn("raw_type", F.get_json_object("item", f"$.{label}"))
+    t = t.withColumn("score", F.coalesce("j.score", F.lit(1.0))).withColumn("rotation", F.coalesce("j.rotation", F.lit(0))).withColumn("raw_type", F.col(f"j.{label}"))
     error = F.when(F.col("raw_type").isNull(), F.lit(f"no {label}")).otherwise(geometry_error(F.col("width"), F.col("height")))
     t = t.withColumn("error", error).where(F.col("error").isNotNull() | (F.col("score") >= threshold))
     kept = Window.partitionBy("doc_id", "page", F.col("error").isNull()).orderBy("at")
     t = t.withColumn("source_index", F.when(F.col("error").isNull(), F.row_number().over(kept) - 1).cast("bigint"))
-    t = t.withColumn("o", order_of(F.col("item"), F.coalesce("source_index", F.col("at").cast("bigint"))))
+    t = t.withColumn("o", order_of(F.col("item"), F.col("j.order"), F.coalesce("source_index", F.col("at").cast("bigint"))))
     for i, s in enumerate(SIDES):
         t = t.withColumn(s, clamp(F.col(s), 0.0, w if i % 2 == 0 else h))
     pairs = [F.lit(x) for kv in (type_map or {}).items() for x in kv]
@@ -81,7 +78,7 @@ def from_polygon_boxes(answers: DataFrame, matrix: tuple[float, ...] = (1, 0, 0,
     )
     union = F.struct(F.least("box.x0", "hull.x0").alias("x0"), F.least("box.y0", "hull.y0").alias("y0"), F.greatest("box.x1", "hull.x1").alias("x1"), F.greatest("box.y1", "hull.y1").alias("y1"))
     t = t.withColumn("error", error).withColumn("crop_bbox", F.when(F.col("hull").isNotNull() & (union != F.col("box")), union))
-    t = t.withColumn("o", order_of(F.col("item"), F.col("at"))).where(F.col("error").isNotNull() | (F.col("score") >= threshold))
+    t = t.withColumn("o", order_of(F.col("item"), F.get_json_object("item", "$.order").try_cast("int"), F.col("at"))).where(F.col("error").isNotNull() | (F.col("score") >= threshold))
     return t.select("doc_id", "page", F.col("at").cast("bigint").alias("source_index"), "raw_type", "box.*", "score", "polygon", "crop_bbox", "o.order", "o.reading_order", "error")
 
 

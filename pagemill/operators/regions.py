@@ -85,7 +85,9 @@ def mergeable(a: Column, b: Column, shape_a: Column, shape_b: Column, size_a: tu
 
 def page_links(regions: DataFrame, **options) -> DataFrame:
     """For each page with an edge: whether its first region continues the last of the page before."""
-    e = edges(regions).withColumns({"first_shape": table_shape(F.col("first")), "last_shape": table_shape(F.col("last"))})
+    e = edges(regions).withColumn("first_shape", table_shape(F.col("first")))
+    alone = F.col("first.source_index") == F.col("last.source_index")
+    e = e.withColumn("last_shape", F.when(alone, F.col("first_shape")).otherwise(table_shape(F.col("last"))))
     w = Window.partitionBy("doc_id").orderBy("page")
     before = lambda c: F.lag(c).over(w)
     near = e.withColumns({"p_last": before("last"), "p_shape": before("last_shape"), "p_page": before("page"), "p_width": before("width"), "p_height": before("height")})
