@@ -64,13 +64,15 @@ def edges(regions: DataFrame) -> DataFrame:
     return shown.groupBy(*PAGE, "width", "height").agg(F.min_by(what, place).alias("first"), F.max_by(what, place).alias("last"))
 
 
-def table_shape(region: Column) -> Column:
-    """Of a region that is a table: cells of a row (null unless all rows have as many and none spans), rows, and the first row without white space and case."""
-    rows = F.when(region["type"] == "table", table_rows(region["text"]))
-    parts = F.transform(rows, lambda r: F.struct(columns_of(r).alias("cells"), compact(r).alias("text")))
-    first = F.get(parts, F.lit(0))
-    even = F.forall(parts, lambda p: (p["cells"] == first["cells"]) & (p["cells"] > 0) & ~p["text"].rlike("colspan|rowspan"))
-    return F.struct(F.when(even, first["cells"]).alias("cells"), F.size(parts).alias("rows"), first["text"].alias("head"))
+def with_shape(df: DataFrame, region: str, name: str) -> DataFrame:
+    """df with the shape of a region that is a table: cells of a row (null unless all rows have as many and none spans), rows, and the first row without white space and case.
+
+    Steps are columns, so that no expression is computed anew for each row of a table.
+    """
+    df = df.withColumn("_rows", F.when(F.col(region)["type"] == "table", table_rows(F.col(region)["text"])))
+    df = df.withColumn("_parts", F.transform("_rows", lambda r: F.struct(columns_of(r).alias("cells"), compact(r).alias("text")))).withColumn("_first", F.get("_parts", F.lit(0)))
+    even = F.forall("_parts", lambda p: (p["cells"] == F.col("_first")["cells"]) & (p["cells"] > 0) & ~p["text"].rlike("colspan|rowspan"))
+    return df.withColumn(name, F.struct(F.when(even, F.col("_first")["cells"]).alias("cells"), F.size("_parts").alias("rows"), F.col("_first")["text"].alias("head"))).drop("_rows", "_parts", "_first")
 
 
 def mergeable(a: Column, b: Column, shape_a: Column, shape_b: Column, size_a: tuple[Column, Column], size_b: tuple[Column, Column], margin: float = 0.1, alignment: float = 0.75, header: bool = False) -> Column:
@@ -85,9 +87,9 @@ def mergeable(a: Column, b: Column, shape_a: Column, shape_b: Column, size_a: tu
 
 def page_links(regions: DataFrame, **options) -> DataFrame:
     """For each page with an edge: whether its first region continues the last of the page before."""
-    e = edges(regions).withColumn("first_shape", table_shape(F.col("first")))
-    alone = F.col("first.source_index") == F.col("last.source_index")
-    e = e.withColumn("last_shape", F.when(alone, F.col("first_shape")).otherwise(table_shape(F.col("last"))))
+    e = with_shape(edges(regions), "first", "first_shape")
+    alone = F.col("first.source_index") == F.col("last.source_index")  # its shape is known
+    e = with_shape(e.withColumn("other", F.when(~alone, F.col("last"))), "other", "last_shape").withColumn("last_shape", F.when(alone, F.col("first_shape")).otherwise(F.col("last_shape"))).drop("other")
     w = Window.partitionBy("doc_id").orderBy("page")
     before = lambda c: F.lag(c).over(w)
     near = e.withColumns({"p_last": before("last"), "p_shape": before("last_shape"), "p_page": before("page"), "p_width": before("width"), "p_height": before("height")})
@@ -110,14 +112,10 @@ def stitched(regions: DataFrame, **options) -> DataFrame:
         F.min_by(F.struct(F.col("p_page").alias("page"), F.col("p_last.source_index").alias("source_index"), F.col("p_last.text").alias("text")), "page").alias("root"),
         F.array_sort(F.collect_list(F.struct("page", F.col("first.source_index").alias("source_index"), F.col("first.text").alias("text")))).alias("more"),
     )
-    head = compact(F.get(table_rows(F.col("root.text")), F.lit(0)))
-
-    def added(m: Column) -> Column:
-        rows = table_rows(m["text"])
-        drop = (F.size(rows) > 1) & (compact(F.get(rows, F.lit(0))) == head)
-        return F.when(drop, F.slice(rows, 2, 1 << 20)).otherwise(rows)
-
-    rows = F.concat(table_rows(F.col("root.text")), F.flatten(F.transform("more", added)))
+    parts = parts.withColumns({"own": table_rows(F.col("root.text")), "others": F.transform("more", lambda m: table_rows(m["text"]))})
+    parts = parts.withColumn("head", compact(F.get("own", F.lit(0))))
+    cut = lambda rows: F.when((F.size(rows) > 1) & (compact(F.get(rows, F.lit(0))) == F.col("head")), F.slice(rows, 2, 1 << 20)).otherwise(rows)
+    rows = F.concat("own", F.flatten(F.transform("others", cut)))
     text = F.concat(table_open(F.col("root.text")), F.lit("\n"), F.array_join(F.transform(rows, lambda r: F.concat(r, F.lit("\n"))), ""), table_close(F.col("root.text")))
     parts = parts.withColumn("joined", text)
     roots = parts.select("doc_id", "root.page", "root.source_index", "joined", F.transform("more", lambda m: m["page"]).alias("merged_pages"), F.lit(None).cast("struct<page:int,source_index:bigint>").alias("merged_into"))
