@@ -239,7 +239,7 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
             q, k = np.nonzero(scores > 0)
             yield pd.DataFrame({"query": np.array(keys, np.int64)[q], "doc_id": docs_[q, k], "score": scores[q, k]})
 
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartitionByRange(min(shards, 2 * spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(min(shards, 2 * spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
     found = dealt.mapInPandas(run, FOUND).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query", "rank", "doc_id", "score")
