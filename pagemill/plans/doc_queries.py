@@ -150,7 +150,7 @@ def document_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_json_v2(spark: SparkSession, d: str) -> DataFrame:
-    return R.document_json(conversation_blocks(spark, d).where("doc_id % 2 = 0"), 2)
+    return R.document_json(conversation_blocks(spark, d), 2)
 
 
 def page_pipeline(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pagemill.operators import layout as L
 from pagemill.operators import models as M
 from pagemill.operators import regions as R
 from pagemill.operators import sinks
+from pagemill.plans import doc_queries
 from pagemill.plans.config import ConfigError, normalised, validated
 from pagemill.plans.pipeline import Pipeline
 
@@ -202,3 +203,10 @@ def test_configuration():
     ):
         with pytest.raises(ConfigError):
             validated(bad)
+
+
+def test_schema_2_json_of_every_conversation(spark, tmp_path):
+    rows = [(c, n, ("user", "assistant", "system")[(c + n) % 3], f"text {c} {n}") for c in range(9) for n in range(3)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.doc_id: json.loads(r.json) for r in doc_queries.document_json_v2(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(9)) and all(d["schema_version"] == 2 and len(d["pages"][0]["blocks"]) == 3 for d in got.values())
