@@ -42,13 +42,13 @@ def first_success(regions: DataFrame, responses: DataFrame, keys: list[str]) ->
 
 
 def document_status(regions: DataFrame, on_error: str = "record") -> DataFrame:
-    """For each doc_id: blocks, failed blocks, status and exit_code. on_error fail makes a failed block the document's failure."""
-    failed = F.count_if(F.col("error") != "")
-    out = regions.groupBy("doc_id").agg(F.count("*").alias("blocks"), failed.alias("failed_blocks"), F.min(F.when(F.col("error") != "", F.struct("page", "source_index", "error"))).alias("first"))
-    bad = F.col("failed_blocks") > 0
-    if on_error == "fail":
-        return out.select("doc_id", "blocks", "failed_blocks", F.when(bad, "failed").otherwise("succeeded").alias("status"), F.when(bad, 1).otherwise(0).alias("exit_code"), F.col("first.error").alias("document_error"))
-    return out.select("doc_id", "blocks", "failed_blocks", F.lit("succeeded").alias("status"), F.when(bad, 2).otherwise(0).alias("exit_code"), F.lit(None).cast("string").alias("document_error"))
+    """For each doc_id: blocks, failed blocks, status and exit_code. on_error fail makes a failed block the document's failure; a layout_error always is."""
+    layout = F.col("layout_error") if "layout_error" in regions.columns else F.lit(None).cast("string")
+    fatal = F.col("error") != "" if on_error == "fail" else layout.isNotNull()
+    out = regions.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("error") != "").alias("failed_blocks"), F.min(F.when(fatal, F.struct(layout.isNull().alias("later"), "page", "source_index", "error"))).alias("first"))
+    bad = F.col("first").isNotNull()
+    code = F.when(bad, 1).when(F.col("failed_blocks") > 0, 2).otherwise(0)
+    return out.select("doc_id", "blocks", "failed_blocks", F.when(bad, "failed").otherwise("succeeded").alias("status"), code.alias("exit_code"), F.col("first.error").alias("document_error"))
 
 
 def batch_exit_code(status: DataFrame) -> DataFrame:

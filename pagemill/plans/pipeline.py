@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.geometry import SIDES
 from pagemill.operators import boxes as B
 from pagemill.operators import layout as L
 from pagemill.operators import models as M
@@ -24,11 +25,22 @@ class Pipeline:
         s = self.config["postprocess"].get(step)
         return s if s and s.get("enabled") else None
 
-    def boxes(self, answers: DataFrame) -> DataFrame:
-        """Boxes of detector answers (doc_id, page, width, height, response), filtered and in reading order."""
+    def checked(self, answers: DataFrame) -> DataFrame:
+        """All boxes of detector answers (doc_id, page, width, height, response) with layout_error; invalid ones count on behind the page's others."""
         layout = self.config["layout"]
         t = L.from_json_boxes(answers, layout.get("provider", "paddle"), layout["score_threshold"], layout.get("type_map"))
-        t = B.page_error(t.where("error is null"), layout["max_boxes"]).where("page_error is null").drop("page_error", "error")
+        t = B.page_error(t, layout["max_boxes"]).withColumn("layout_error", F.coalesce("page_error", "error"))
+        page, invalid = Window.partitionBy(*B.PAGE), Window.partitionBy(*B.PAGE, F.col("error").isNull()).orderBy("order", "raw_type", *SIDES, "score", "rotation")
+        return t.withColumn("source_index", F.coalesce("source_index", F.count("source_index").over(page) + F.row_number().over(invalid) - 1)).drop("page_error", "error")
+
+    def failed(self, answers: DataFrame) -> DataFrame:
+        """Regions of the boxes that boxes() leaves out, each with its layout error."""
+        t = self.checked(answers).where("layout_error is not null")
+        return t.withColumns({"text": F.lit(""), "error": F.col("layout_error"), "asset": F.lit("")})
+
+    def boxes(self, answers: DataFrame) -> DataFrame:
+        """Boxes of detector answers without a layout error, filtered and in reading order."""
+        t = self.checked(answers).where("layout_error is null").drop("layout_error")
         if s := self.on("low_score"):
             t = B.low_score(t, s["threshold"])
         if s := self.on("header_footer"):
@@ -65,16 +77,23 @@ class Pipeline:
             out = B.finalised(out.drop("parent_source_index"), s.get("expand_if_uncovered_text", True), s["min_inner_text_chars"])
         return out
 
-    def documents(self, answers: DataFrame) -> DataFrame:
-        """doc_id, json and markdown of detector answers."""
+    def regions(self, answers: DataFrame) -> DataFrame:
+        """All regions of detector answers: recognised, stitched, and those that failed in the layout."""
         regions = self.recognised(self.boxes(answers))
         if s := self.on("cross_page_tables"):
             sizes = answers.select("doc_id", "page", "width", "height").distinct()
             regions = R.stitched(regions.join(sizes, ["doc_id", "page"]), margin=s["edge_margin_ratio"], alignment=s["x_overlap_threshold"], header=s.get("require_header_match", False))
+        return regions.unionByName(self.failed(answers), allowMissingColumns=True)
+
+    def documents(self, answers: DataFrame) -> DataFrame:
+        """doc_id, json, markdown, status, exit_code and document_error of detector answers."""
+        regions = self.regions(answers)
         two = regions.groupBy("doc_id").agg(R.needs_version_2(regions.columns).alias("two"))
         regions = regions.join(two, "doc_id")
         json = R.document_json(regions.where("not two").drop("two"), 1).unionByName(R.document_json(regions.where("two").drop("two"), 2))
-        return json.join(R.markdown(regions), "doc_id")
+        status = self.status(regions).select("doc_id", "status", "exit_code", "document_error")
+        return json.join(R.markdown(regions), "doc_id").join(status, "doc_id")
 
     def status(self, regions: DataFrame) -> DataFrame:
+        """Status of documents; a layout error fails its document whatever on_error says."""
         return R.document_status(regions, self.config["execution"]["on_error"])

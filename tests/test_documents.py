@@ -210,3 +210,17 @@ def test_schema_2_json_of_every_conversation(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.doc_id: json.loads(r.json) for r in doc_queries.document_json_v2(spark, str(tmp_path)).collect()}
     assert set(got) == set(range(9)) and all(d["schema_version"] == 2 and len(d["pages"][0]["blocks"]) == 3 for d in got.values())
+
+
+def test_layout_errors_fail_their_documents(spark):
+    good = {"label": "title", "coordinate": [0, 0, 50, 9], "score": 0.9}
+    bad = {"label": "text", "coordinate": [9, 0, 1, 9], "score": 0.9}
+    rows = [(1, 1, [good]), (2, 1, [good] * 4), (3, 1, [good]), (3, 2, [bad, good, bad]), (4, 1, [{"coordinate": [0, 0, 5, 5]}])]
+    p = Pipeline({**CONFIG, "layout": {**CONFIG["layout"], "max_boxes": 3}})
+    out = {r.doc_id: r for r in p.documents(spark.createDataFrame([(d, n, 100, 100, json.dumps({"boxes": b})) for d, n, b in rows], ANSWER)).collect()}
+    assert {d: (r.status, r.exit_code, r.document_error) for d, r in out.items()} == {
+        1: ("succeeded", 0, None), 2: ("failed", 1, "too many boxes"), 3: ("failed", 1, "empty after clamping"), 4: ("failed", 1, "no label"),
+    }
+    blocks = {d: [(b["id"], b["error"]) for page in json.loads(r.json)["pages"] for b in page["blocks"]] for d, r in out.items()}
+    assert len(blocks[2]) == 4 and blocks[3] == [("p1-b0", ""), ("p2-b0", ""), ("p2-b1", "empty after clamping"), ("p2-b2", "empty after clamping")]
+    assert out[1].markdown == "<!-- page: 1 -->\n\n# hello\n\n" and "failed" in out[3].markdown
