@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -259,3 +260,45 @@ def test_scratch_tables_are_in_the_shared_folder(spark):
     path = scratch_path(spark, "x")
     assert path.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     assert materialise(spark.range(3), "x").count() == 3
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2019 Jane Doe and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+"""
+BSD = """/*
+ * Copyright 2011 Jane Doe. All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ * 3. Neither the name of Jane Doe nor the names of the contributors may be
+ *    used to endorse or promote products derived from this software without
+ *    specific prior written permission.
+ */
+
+int main() { return 0; }
+"""
+
+
+def test_licences_by_whole_texts_headers_and_tags(spark):
+    common = Path(license.__file__).parent / "licenses"
+    texts = {name: f"Copyright 2020 Jane Doe\n\n{(common / f'{name}.txt').read_text()}" for name in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "Apache-2.0", "MPL-2.0")}
+    files = [(n, f"{n}/COPYING", t) for n, t in texts.items()] + [
+        ("MIT", "m/LICENSE", MIT), ("BSD-3-Clause", "b/a.c", BSD), ("GPL-2.0", "s/a.c", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"),
+        ("MIT OR Apache-2.0", "t/a.c", "/* SPDX-License-Identifier: MIT OR Apache-2.0 */"), (None, "p/a.txt", "the licence of the river and the house\n" * 9), (None, "q/a.txt", "int x;"),
+    ]
+    got = {r.path: r.own_license for r in license.scan(spark.createDataFrame([(i, p, t) for i, (_, p, t) in enumerate(files)], "key bigint, path string, text string")).collect()}
+    assert got == {p: n for n, p, _ in files}
