@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import io
 import os
 from collections.abc import Iterator
 
+import numpy as np
+import zstandard as zstd
 from pyarrow import fs
 from pyspark import TaskContext
 
@@ -34,3 +37,16 @@ def reading(path: str) -> Iterator:
     system, name = open_fs(path)
     with system.open_input_file(name) as f:
         yield f, f.size()
+
+
+def save(path: str, **arrays: np.ndarray) -> None:
+    """Arrays as one compressed file with a checksum."""
+    raw = io.BytesIO()
+    np.savez(raw, **arrays)
+    with writing(path) as out:
+        out.write(zstd.ZstdCompressor(level=1, write_checksum=True).compress(raw.getbuffer()))
+
+
+def load(path: str) -> dict[str, np.ndarray]:
+    with reading(path) as (f, size):
+        return dict(np.load(io.BytesIO(zstd.ZstdDecompressor().decompress(f.read(size)))))

@@ -1,245 +1,411 @@
-"""Exact top-k search: BM25 by block-max WAND on an inverted index, shard by shard, merged by global statistics.
+"""Exact top-k search: BM25 by block-max pruning on an inverted index, shard by shard, merged exactly by global statistics.
 
-Documents are dealt to shards by a hash of doc_id. One pass counts document frequencies and lengths over all documents;
-query terms are joined with them, so every shard scores with the same global idf and mean length and the merge is exact.
-A task takes its shards one after the other and keeps each query's best so far, whose k-th score prunes the next shard.
-A shard's index keeps, for each term, postings in order of documents and the greatest impact in each block of BLOCK
-documents. For a batch of queries the sum of block maxima bounds every block; the best blocks of a query are scored first,
-and then only blocks whose bound reaches its k-th score so far. Terms that a tenth of a shard's documents hold are kept as
-rows of a matrix, so bounds and scores of a batch are matrix products; the others are postings lists.
+One pass writes the index: each task packs its documents, in an order that brings like ones together, into shards of about
+SHARD_DOCS, with terms, their postings in order of documents, and lengths, one file each in the shared folder. A shard's
+terms are counted from its file; sums over all shards give the global document frequencies and mean length, by which every
+shard scores alike, so the merge is exact. Queries are packed in batches of up to BATCH with their terms' idf.
 
-Queries are streamed from a table in the shared folder, a batch at a time; a task holds 16 * k bytes a query for its best.
+Shards are searched in rounds of 1, 15, 240, ... shards for each batch, in an order of the batch's own. A round's results are
+merged by batch, and the k-th score so far is the floor of the next round; so the rows that a round makes stay in proportion
+to the queries. In a shard, a query whose summed term maxima stay under its floor is skipped whole. Where the sum is near
+the floor (up to PIVOTAL times), blocks of BLOCK documents are pivots if their summed block maxima reach the floor, and only
+pivots are scored. Other queries, for which block maxima can't exclude blocks, are scored by all their postings: terms that
+COMMON of a shard's documents hold as rows of a matrix, a batch at a time, the others list by list. What then reaches the
+floor is scored again in double precision, terms in one global order, so equal documents have equal scores everywhere.
+
+Terms are known by 63 bits of XXH3; two words with equal hashes would count as one (one chance in 10^7 for 10^6 words).
 
 Defined cases: null or word-less texts match nothing and ask nothing; rows without doc_id are neither indexed nor asked;
-repeated rows are documents of their own and one query; equal scores (to six places) are in order of doc_id; a query that
-matches fewer than k documents gets those; an empty table gives an empty result.
+repeated rows are documents of their own and one query; rows with one id and different texts are queries of their own under
+that id; equal scores (to six places) are in order of doc_id; a query that matches fewer than k documents gets those; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
-import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise, scratch_path
-from pagemill.llm.decontaminate import folded
-from pagemill.llm.files import open_fs
+from pagemill.llm.common import materialise, scratch_path, trim
+from pagemill.llm.decontaminate import _FOLD
+from pagemill.llm.files import load, open_fs, save, task_file
+from pagemill.llm.words import hashed, numbered, texts_of
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_DOCS = 1 << 13
-BLOCK, BATCH, FIRST_BLOCKS = 64, 128, 4
-COMMON, MOST_COMMON = 0.1, 256
-REMEMBERED = 1 << 18
+#: Documents of a shard, and postings (some 30 bytes each when searched) at which it ends before.
+SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 8_000_000
+#: Queries of a batch, and terms of all of them at which it ends before.
+BATCH, BATCH_TERMS = 512, 1_000_000
+BLOCK, PIVOTAL = 64, 3.0
+#: Terms that are rows of a matrix; of single precision, so its sums are off by at most SLACK of themselves.
+COMMON, MOST_COMMON, SLACK = 0.08, 512, 5e-5
+#: Each round takes so many times the shards of all rounds before it.
+GROWTH = 16
+
+MANIFEST = "path string, docs bigint, words bigint"
+PACK = "batch bigint, query binary, starts binary, term binary, terms binary"
+FOUND = np.dtype([("q", "<i4"), ("doc", "<i8"), ("score", "<f8")])
+
+
+def runs(change: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end; change: whether a value differs from the one before."""
+    return np.append(np.flatnonzero(np.concatenate(([True], change))), len(change) + 1)
+
+
+def counted(column: pa.Array, rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of a column of texts: first row, end row, and row, hashed term and count of each distinct term of a text."""
+    for at, end, data, offsets in texts_of(column, rows):
+        row, code, words = numbered(data.translate(_FOLD), offsets)
+        key, n = np.unique(row * max(1, len(words)) + code, return_counts=True)
+        row, code = np.divmod(key, max(1, len(words)))
+        yield at, end, row, (hashed(words) >> np.uint64(1)).astype(np.int64)[code], n.astype(np.int32)
+
+
+def indexed(docs: DataFrame, parts: int) -> DataFrame:
+    """Writes the shards of docs (doc_id, text); path, documents with words, and words of each."""
+    folder = scratch_path(docs.sparkSession, "index")
+    most_docs, most_postings = SHARD_DOCS, SHARD_POSTINGS
+
+    def written(held: list[tuple], k: int) -> pa.RecordBatch:
+        ids, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        first = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
+        doc = np.concatenate([h[2] + n for h, n in zip(held, first, strict=True)]).astype(np.uint32)
+        term, tf = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+        held.clear()
+        order = np.argsort(term, kind="stable")
+        ends = runs(np.diff(term[order]) != 0)
+        terms, df = term[order][ends[:-1]], np.diff(ends)
+        # Like documents together: by the word of greatest count (then frequency), then by the least hash of a word.
+        common = np.empty(len(term), np.int64)
+        common[order] = np.repeat(df, df)
+        by = np.lexsort((-common, -tf, doc))
+        starts = runs(np.diff(doc[by]) != 0)[:-1]
+        place = np.empty(len(ids), np.uint32)
+        place[np.lexsort((ids, np.minimum.reduceat(term[by], starts), term[by][starts]))] = np.arange(len(ids), dtype=np.uint32)
+        doc, tf = place[doc[order]], tf[order]
+        within = np.argsort(np.repeat(np.arange(len(df)), df) * len(ids) + doc)
+        inverse = np.argsort(place)
+        path = task_file(folder, k, ".npz.zst")
+        save(path, terms=terms, df=df.astype(np.uint32), doc=doc[within].astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), tf=tf[within], ids=ids[inverse], sizes=sizes[inverse])
+        return pa.RecordBatch.from_pydict({"path": [path], "docs": [len(ids)], "words": [int(sizes.sum())]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, postings, k = [], 0, 0, 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at, end, row, term, tf in counted(batch.column(1), most_docs):
+                size = np.bincount(row, tf, end - at).astype(np.int64)
+                some = np.flatnonzero(size)
+                if len(some):
+                    held.append((ids[at:end][some], size[some], np.searchsorted(some, row), term, tf))
+                    n, postings = n + len(some), postings + len(term)
+                if 2 * n >= 3 * most_docs or postings >= most_postings:
+                    yield written(held, k)
+                    n, postings, k = 0, 0, k + 1
+        if held:
+            yield written(held, k)
+        trim()
+
+    return docs.coalesce(parts).mapInArrow(run, MANIFEST)
+
+
+def frequencies(shards: DataFrame) -> DataFrame:
+    """term and df, over all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = load(path)
+                for at in range(0, len(found["terms"]), 1 << 18):
+                    some = slice(at, at + (1 << 18))
+                    yield pa.RecordBatch.from_pydict({"term": found["terms"][some], "df": found["df"][some].astype(np.int64)})
 
+    return shards.select("path").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
-class Hasher:
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, words) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w) >> 1
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+def packed(queries: DataFrame, parts: int) -> DataFrame:
+    """Batches of queries (doc_id, text): ids, where each query's terms begin, and its terms as places in the batch's sorted terms."""
+    most, most_terms = BATCH, BATCH_TERMS
 
+    def row(batch: int, held: list[tuple]) -> pa.RecordBatch:
+        query, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        terms, term = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+        held.clear()
+        values = {"batch": batch, "query": query.tobytes(), "starts": np.append(0, np.cumsum(n)).astype("<i8").tobytes(), "term": term.astype("<i4").tobytes(), "terms": terms.tobytes()}
+        return pa.RecordBatch.from_pylist([values], pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("query", "starts", "term", "terms"))]))
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """term and df for each hashed term; at term -1 the documents with words, at -2 their words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, counts, n, words = Hasher(), Counter(), 0, 0
+        held, n, terms, k = [], 0, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for text in batch["text"]:
-                if found := folded(text):
-                    counts.update(set(found))
-                    n, words = n + 1, words + len(found)
-            if len(counts) > REMEMBERED:
-                yield pd.DataFrame({"term": hashed(list(counts)), "df": list(counts.values())})
-                counts.clear()
-        yield pd.DataFrame({"term": np.append(hashed(list(counts)), [-1, -2]), "df": [*counts.values(), n, words]})
-
-    return docs.select("text").mapInPandas(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-
-
-def asked(queries: DataFrame, stats: DataFrame, n: int) -> DataFrame:
-    """query, and its distinct terms with their idf."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = Hasher()
+            ids = batch.column(0).to_numpy()
+            for at, end, row_, term, _ in counted(batch.column(1), most):
+                sizes = np.bincount(row_, minlength=end - at)
+                some = np.flatnonzero(sizes)
+                if not len(some):
+                    continue
+                if held and (n + len(some) > most or terms + len(term) > most_terms):
+                    yield row(k, held)
+                    n, terms, k = 0, 0, k + 1
+                held.append((ids[at:end][some], sizes[some], term))
+                n, terms = n + len(some), terms + len(term)
+        if held:
+            yield row(k, held)
+
+    return queries.distinct().coalesce(parts).mapInArrow(run, PACK)
+
+
+def weighted(packs: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """packs with idf: of each of a batch's terms, 0 for those of no document."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"query": batch["doc_id"], "term": [np.unique(hashed(list(set(folded(t))))) for t in batch["text"]]})
+            for number, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                term = np.frombuffer(terms, "<i8")
+                yield pa.RecordBatch.from_pydict({"batch": np.full(len(term), number), "place": np.arange(len(term), dtype=np.int32), "term": term})
+
+    def gathered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        place, count = rows["place"].to_numpy(), rows["df"].to_numpy(float)
+        idf = np.zeros(int(place.max()) + 1)
+        idf[place] = np.log(1 + (n - count + 0.5) / (count + 0.5))
+        return pd.DataFrame({"batch": [key[0]], "idf": [idf.tobytes()]})
+
+    rows = packs.select("batch", "terms").mapInArrow(listed, "batch bigint, place int, term bigint").join(df, "term")
+    return packs.join(rows.select("batch", "place", "df").groupBy("batch").applyInPandas(gathered, "batch bigint, idf binary"), "batch")
+
+
+class Pack:
+    """A batch of queries."""
+
+    def __init__(self, values: dict):
+        self.batch = values["batch"]
+        self.starts, self.term, self.terms = np.frombuffer(values["starts"], "<i8"), np.frombuffer(values["term"], "<i4"), np.frombuffer(values["terms"], "<i8")
+        self.n = len(self.starts) - 1
+        self.idf = np.zeros(len(self.terms))
+        idf = np.frombuffer(values["idf"], "<f8")
+        self.idf[: len(idf)] = idf
+        self.floor = np.zeros(self.n)
+        if values.get("floor") is not None:
+            floor = np.frombuffer(values["floor"], "<f8")
+            self.floor[: len(floor)] = floor
+
+
+def packs_of(path: str, wanted: Callable[[int], bool]) -> Iterator[Pack]:
+    """The wanted batches of a table in the shared folder, one in memory at a time."""
+    system, name = open_fs(path)
+    for info in sorted(system.get_file_info(pafs.FileSelector(name)), key=lambda f: f.path):
+        if info.is_file and info.base_name.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                file = pq.ParquetFile(f)
+                for group in range(file.num_row_groups):
+                    if any(map(wanted, file.read_row_group(group, columns=["batch"]).column(0).to_pylist())):
+                        for batch in file.iter_batches(1, row_groups=[group]):
+                            values = batch.to_pylist()[0]
+                            if wanted(values["batch"]):
+                                yield Pack(values)
 
-    terms = queries.select("doc_id", "text").distinct().mapInPandas(run, "query bigint, term array<bigint>")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rows = terms.select("query", F.xxhash64("term").alias("text"), F.explode("term").alias("term")).join(stats, "term").select("query", "text", F.struct("term", idf.alias("idf")).alias("t"))
-    return rows.groupBy("query", "text").agg(F.array_sort(F.collect_list("t")).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
+
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, and which range each is of."""
+    n = last - first
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) + (first - (np.cumsum(n) - n))[which], which
 
 
 class Index:
-    """Postings of one shard."""
-
-    def __init__(self, doc_ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float):
-        order = np.argsort(doc_ids, kind="stable")
-        self.doc_ids = doc_ids[order]
-        self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        size = np.array([counts[i].sum() for i in order])
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(terms[i]) for i in order])
-        term, tf = np.concatenate([terms[i] for i in order]), np.concatenate([counts[i] for i in order])
-        by = np.argsort(term, kind="stable")
-        term, doc, tf = term[by], doc[by], tf[by]
-        del by
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
+    """One shard."""
+
+    def __init__(self, mean: float, terms: np.ndarray, df: np.ndarray, doc: np.ndarray, tf: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        self.terms, self.ids, self.n = terms, ids, len(ids)
+        self.last = np.cumsum(df.astype(np.int64))
+        self.first = self.last - df
+        self.length = K1 * (1 - B + B * sizes / mean)
+        self.impact = tf * (K1 + 1) / (tf + self.length[doc])
+        self.most = np.maximum.reduceat(self.impact, self.first)
+        by_doc = np.argsort(doc, kind="stable")
+        self.doc = doc.astype(np.int64)
+        self.doc_term = np.repeat(np.arange(len(terms), dtype=np.int32), df)[by_doc]
+        self.doc_tf = tf[by_doc]
+        self.doc_last = np.cumsum(np.bincount(self.doc, minlength=self.n))
+        self.doc_first = np.append(0, self.doc_last[:-1])
+        self.weights = np.zeros(len(terms))
         common = np.flatnonzero(df >= max(2, COMMON * self.n))
-        common = common[np.argsort(-df[common], kind="stable")[:MOST_COMMON]]
-        self.row = np.full(len(self.terms), -1)
+        common = common[np.argsort(-df[common].astype(np.int64), kind="stable")[:MOST_COMMON]]
+        self.row = np.full(len(terms), -1)
         self.row[common] = np.arange(len(common))
-        self.first, self.last, self.doc, self.impact = first, first + df, doc, impact
-        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        self.dense = np.zeros((len(common), self.n), np.float32)
         for r, t in enumerate(common):
-            some = slice(first[t], first[t] + df[t])
-            self.dense[r, doc[some]] = impact[some]
-        self.dense_most = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2)
-        key = np.repeat(np.arange(len(self.terms)), df) * self.blocks + doc // BLOCK
-        starts = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block, self.most = key[starts] % self.blocks, np.maximum.reduceat(impact, starts)
-        self.block_first = np.searchsorted(key[starts], np.arange(len(self.terms)) * self.blocks)
-        self.block_last = np.append(self.block_first[1:], len(starts))
-
-    @staticmethod
-    def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All positions of the ranges, and which range each is of."""
-        n = last - first
-        which = np.repeat(np.arange(len(n)), n)
-        return np.arange(int(n.sum())) + (first - (np.cumsum(n) - n))[which], which
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], top: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """doc_ids and scores of each query's best documents that reach its floor, ties in order of doc_id."""
-        m = len(queries)
-        floor = np.zeros(m) if floor is None else floor
-        weight, rare = np.zeros((m, len(self.dense))), []
-        bound = np.zeros((m, self.blocks))
-        for q, (terms, idf) in enumerate(queries):
-            at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-            there = self.terms[at] == terms
-            at, idf = at[there], idf[there]
-            dense = self.row[at] >= 0
-            weight[q, self.row[at[dense]]] = idf[dense]
-            at, idf = at[~dense], idf[~dense]
-            rare.append((at, idf))
-            where, which = self.ranges(self.block_first[at], self.block_last[at])
-            bound[q] = np.bincount(self.block[where], self.most[where] * idf[which], self.blocks)
-        bound = (bound + weight @ self.dense_most) * (1 + 1e-9) + 1e-12
-        scores = np.zeros((m, self.blocks * BLOCK))
-        done = np.zeros((m, self.blocks), bool)
-        first = np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
-        wanted = np.zeros_like(done)
-        np.put_along_axis(wanted, first, True, axis=1)
-        wanted &= bound >= floor[:, None] - 1e-6
-        for _ in range(2):
-            self.score(wanted, weight, rare, scores)
-            done |= wanted
-            least = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top] if scores.shape[1] > top else np.zeros(m)
-            wanted = (bound >= np.maximum(least, floor)[:, None] - 1e-6) & ~done
-        out = []
-        for q in range(m):
-            cut = max(floor[q], np.partition(scores[q], -top)[-top] if scores.shape[1] > top else 0.0)
-            best = np.flatnonzero(scores[q, : self.n] >= max(cut - 1e-6, 1e-12))
-            value = np.round(scores[q, best], 6)
-            best = best[np.lexsort((self.doc_ids[best], -value))][:top]
-            out.append((self.doc_ids[best], scores[q, best]))
+            some = slice(self.first[t], self.last[t])
+            self.dense[r, self.doc[some]] = self.impact[some]
+        self.blocks: tuple | None = None
+
+    def pivots(self, term: np.ndarray, idf: np.ndarray, floor: float) -> np.ndarray:
+        """Blocks whose summed maxima reach the floor."""
+        count = -(-self.n // BLOCK)
+        if self.blocks is None:
+            key = np.repeat(np.arange(len(self.terms)), self.last - self.first) * count + self.doc // BLOCK
+            starts = runs(np.diff(key) != 0)[:-1]
+            first = np.searchsorted(key[starts], np.arange(len(self.terms) + 1) * count)
+            self.blocks = key[starts] % count, np.maximum.reduceat(self.impact, starts), first
+        block, most, first = self.blocks
+        where, which = ranges(first[term], first[term + 1])
+        return np.flatnonzero(np.bincount(block[where], most[where] * idf[which], count) * (1 + 1e-9) >= floor - 1e-6)
+
+    def exact(self, docs: np.ndarray, term: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Scores of documents; sums run in order of the terms' hashes."""
+        self.weights[term] = idf
+        where, which = ranges(self.doc_first[docs], self.doc_last[docs])
+        tf = self.doc_tf[where]
+        x = self.weights[self.doc_term[where]] * (tf * (K1 + 1) / (tf + self.length[docs][which]))
+        self.weights[term] = 0
+        return np.bincount(which, x, len(docs))
+
+    def search(self, pack: Pack, top: int) -> np.ndarray:
+        """The best documents (FOUND) of each query of a batch that reach its floor."""
+        at = np.minimum(np.searchsorted(self.terms, pack.terms), len(self.terms) - 1)
+        at = np.where(self.terms[at] == pack.terms, at, -1)[pack.term]
+        query, there = np.repeat(np.arange(pack.n), np.diff(pack.starts)), at >= 0
+        query, at, idf = query[there], at[there], pack.idf[pack.term[there]]
+        bound = np.bincount(query, self.most[at] * idf, pack.n) * (1 + 1e-9)
+        ends = np.searchsorted(query, np.arange(pack.n + 1))
+        alive = np.flatnonzero((bound > 0) & (bound >= pack.floor - 1e-6))
+        out, rest = [], []
+        for q in alive:
+            if 0 < pack.floor[q] and bound[q] < PIVOTAL * pack.floor[q]:
+                some = slice(ends[q], ends[q + 1])
+                blocks = self.pivots(at[some], idf[some], pack.floor[q])
+                if 16 * len(blocks) * BLOCK <= self.n:
+                    docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                    out.append(self.best(q, docs[docs < self.n], at[some], idf[some], pack.floor[q], top))
+                    continue
+            rest.append(q)
+        if rest:
+            line = np.full(pack.n, -1)
+            line[rest] = np.arange(len(rest))
+            row = self.row[at]
+            some = np.flatnonzero((row >= 0) & (line[query] >= 0))
+            weight = np.zeros((len(rest), len(self.dense)), np.float32)
+            weight[line[query[some]], row[some]] = idf[some]
+            dense = weight @ self.dense
+            sparse = row < 0
+            for r, q in enumerate(rest):
+                some = slice(ends[q], ends[q + 1])
+                docs = self.candidates(dense[r], at[some][sparse[some]], idf[some][sparse[some]], pack.floor[q], top)
+                if len(docs):
+                    out.append(self.best(q, docs, at[some], idf[some], pack.floor[q], top))
+        return np.concatenate(out) if out else np.zeros(0, FOUND)
+
+    def candidates(self, scores: np.ndarray, term: np.ndarray, idf: np.ndarray, floor: float, top: int) -> np.ndarray:
+        """Documents that may be among the best, from the scores of common terms and the postings of the others."""
+        if len(term):
+            first, last = self.first[term].tolist(), self.last[term].tolist()
+            doc = np.concatenate([self.doc[a:b] for a, b in zip(first, last, strict=True)])
+            x = np.concatenate([self.impact[a:b] for a, b in zip(first, last, strict=True)])
+            x *= np.repeat(idf, self.last[term] - self.first[term])
+            scores = np.bincount(doc, x, self.n) + scores
+        docs = np.flatnonzero(scores >= max(floor * (1 - SLACK) - 1e-6, 1e-12))
+        if len(docs) > top:
+            least = np.partition(scores[docs], len(docs) - top)[len(docs) - top]
+            docs = docs[scores[docs] >= least * (1 - 2 * SLACK) - 1e-6]
+        return docs
+
+    def best(self, q: int, docs: np.ndarray, term: np.ndarray, idf: np.ndarray, floor: float, top: int) -> np.ndarray:
+        score = np.round(self.exact(docs, term, idf), 6)
+        some = np.flatnonzero((score > 0) & (score >= floor - 1e-6))
+        some = some[np.lexsort((self.ids[docs[some]], -score[some]))][:top]
+        out = np.empty(len(some), FOUND)
+        out["q"], out["doc"], out["score"] = q, self.ids[docs[some]], score[some]
         return out
 
-    def score(self, wanted: np.ndarray, weight: np.ndarray, rare: list, scores: np.ndarray) -> None:
-        """Exact scores of the wanted blocks of each query."""
-        for b in np.flatnonzero(wanted.any(axis=0)):
-            rows = np.flatnonzero(wanted[:, b])
-            some = slice(b * BLOCK, (b + 1) * BLOCK)
-            scores[rows, some] = weight[rows] @ self.dense[:, some]
-        for q in np.flatnonzero(wanted.any(axis=1)):
-            at, idf = rare[q]
-            where, which = self.ranges(self.first[at], self.last[at])
-            doc = self.doc[where]
-            keep = wanted[q, doc // BLOCK]
-            scores[q] += np.bincount(doc[keep], self.impact[where[keep]] * idf[which[keep]], scores.shape[1])
-
-
-def batches_of(path: str) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Batches of queries from a Parquet table in the shared folder."""
-    system, name = open_fs(path)
-    for info in sorted(system.get_file_info(pafs.FileSelector(name)), key=lambda f: f.path):
-        if info.is_file and info.base_name.endswith(".parquet"):
-            with system.open_input_file(info.path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(BATCH):
-                    columns = (batch.column(c) for c in ("query", "terms", "idf"))
-                    query, terms, idf = columns
-                    if batch.num_rows:
-                        yield [(q, t.values.to_numpy(), i.values.to_numpy()) for q, t, i in zip(query.to_pylist(), terms, idf, strict=True)]
+
+def turned(batch: int) -> int:
+    """Where a batch begins in the circle of shards."""
+    return (batch * 0x9E3779B97F4A7C15 % (1 << 64)) >> 24
+
+
+def searched(shards: DataFrame, packs: str, mean: float, n: int, first: int, last: int, top: int) -> DataFrame:
+    """batch and found: the best documents in shards first to last in each batch's own order. packs: path of the batches."""
+    parallel = shards.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-3 * parallel // n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, number, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                index = None
+
+                def mine(b: int, number=number, chunk=chunk) -> bool:
+                    turn = turned(b)
+                    return turn % chunks == chunk and first <= (number + turn // chunks) % n < last
+
+                for pack in packs_of(packs, mine):
+                    index = index or Index(mean, **load(path))
+                    found = index.search(pack, top)
+                    if len(found):
+                        yield pa.RecordBatch.from_pylist([{"batch": pack.batch, "found": found.tobytes()}], pa.schema([("batch", pa.int64()), ("found", pa.binary())]))
+                del index
+        trim()
+
+    units = shards.select("path", "number", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(n * chunks)
+    return units.mapInArrow(run, "batch bigint, found binary")
+
+
+def merged(found: DataFrame, top: int) -> DataFrame:
+    """batch, found (the best of all rows of a batch, in order of queries and ranks) and floor (of each query its k-th score)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(rows["found"]), FOUND)
+        x = x[np.lexsort((x["doc"], -x["score"], x["q"]))]
+        ends = runs(np.diff(x["q"]) != 0)
+        rank = np.arange(len(x)) - np.repeat(ends[:-1], np.diff(ends))
+        floor = np.zeros(int(x["q"].max()) + 1)
+        last = rank == top - 1
+        floor[x["q"][last]] = x["score"][last]
+        return pd.DataFrame({"batch": [key[0]], "found": [x[rank < top].tobytes()], "floor": [floor.tobytes()]})
+
+    return found.groupBy("batch").applyInPandas(run, "batch bigint, found binary, floor binary")
 
 
-FOUND = "query bigint, doc_id bigint, score double"
+RESULT = "query bigint, rank int, doc_id bigint, score double"
 
 
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """query, rank, doc_id and score of the top documents of docs (doc_id, text) for each row of queries (doc_id, text)."""
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    stats = materialise(statistics(docs), "terms")
-    totals = {r["term"]: r["df"] for r in stats.where("term < 0").collect()}
-    n, words = totals.get(-1, 0), totals.get(-2, 0)
-    mean = words / n if n else 1.0
     spark = docs.sparkSession
-    path = scratch_path(spark, "queries")
-    asked(queries.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text"), stats.where("term >= 0"), n).write.parquet(path)
-    shards = max(1, -(-n // SHARD_DOCS))
-
-    def better(best: tuple, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Merge found into the best so far: keys, doc_ids and scores of a batch, a row a query, best first."""
-        _, ids, scores = best
-        for q, (d, s) in enumerate(found):
-            if len(d):
-                d, s = np.concatenate([ids[q], d]), np.concatenate([scores[q], s])
-                order = np.lexsort((d, -np.round(s, 6)))[:top]
-                ids[q], scores[q] = d[order], s[order]
-
-    def into(best: list[tuple], ids: list[int], terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
-        index = Index(np.array(ids, np.int64), terms, counts, mean)
-        terms.clear()
-        counts.clear()
-        for k, some in enumerate(batches_of(path)):
-            if k == len(best):
-                best.append(([q for q, _, _ in some], np.zeros((len(some), top), np.int64), np.zeros((len(some), top))))
-            better(best[k], index.search([(t, i) for _, t, i in some], top, best[k][2][:, -1]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, ids, terms, counts, now, best = Hasher(), [], [], [], None, []
-        for batch in batches:  # sorted by shard: one index in memory
-            for shard, doc, text in zip(batch["shard"], batch["doc_id"], batch["text"], strict=True):
-                if shard != now and ids:
-                    into(best, ids, terms, counts)
-                    ids = []
-                now = shard
-                if found := folded(text):
-                    t, c = np.unique(hashed(found), return_counts=True)
-                    ids.append(doc)
-                    terms.append(t)
-                    counts.append(c.astype(np.int32))
-        if ids:
-            into(best, ids, terms, counts)
-        for keys, docs_, scores in best:
-            q, k = np.nonzero(scores > 0)
-            yield pd.DataFrame({"query": np.array(keys, np.int64)[q], "doc_id": docs_[q, k], "score": scores[q, k]})
-
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(min(shards, 2 * spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions("shard")
-    found = dealt.mapInPandas(run, FOUND).withColumn("score", F.round("score", 6))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query", "rank", "doc_id", "score")
+    parallel = spark.sparkContext.defaultParallelism
+    some = lambda df: df.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    parts = max(parallel, -(-docs.select("doc_id").count() // SHARD_DOCS))
+    shards = materialise(indexed(some(docs), parts), "shards")
+    count, n, words = shards.agg(F.count("*"), F.sum("docs"), F.sum("words")).first()
+    if not count:
+        return spark.createDataFrame([], RESULT)
+    shards = materialise(shards.withColumn("number", F.row_number().over(Window.orderBy("path")) - 1), "numbered")  # a row a shard
+    asked = some(queries)
+    packs = materialise(packed(asked, max(parallel, -(-asked.select("doc_id").count() // BATCH))), "queries")
+    batches = weighted(packs, frequencies(shards.repartition(count)), n)
+    best, first, last = None, 0, 1
+    while first < count:
+        path = scratch_path(spark, "batches")
+        (batches if best is None else batches.drop("floor").join(best.select("batch", "floor"), "batch", "left")).write.option("parquet.block.size", 8 << 20).parquet(path)
+        batches = spark.read.parquet(path)
+        found = searched(shards, path, words / n, count, first, min(last, count), top)
+        best = materialise(merged(found if best is None else found.unionByName(best.select("batch", "found")), top), "best")
+        first, last = last, last * GROWTH
+
+    def ranked(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for query, found in zip(part["query"], part["found"], strict=True):
+                x = np.frombuffer(found, FOUND)
+                ends = runs(np.diff(x["q"]) != 0)
+                rank = np.arange(len(x)) - np.repeat(ends[:-1], np.diff(ends)) + 1
+                yield pd.DataFrame({"query": np.frombuffer(query, "<i8")[x["q"]], "rank": rank, "doc_id": x["doc"], "score": x["score"]})
+
+    return packs.select("batch", "query").join(best.select("batch", "found"), "batch").select("query", "found").mapInPandas(ranked, RESULT)
