@@ -60,6 +60,13 @@ def runs(change: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate(([True], change))), len(change) + 1)
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, and which range each is of."""
+    n = last - first
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(int(n.sum())) + (first - (np.cumsum(n) - n))[which], which
+
+
 def counted(column: pa.Array, rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of a column of texts: first row, end row, and row, hashed term and count of each distinct term of a text."""
     for at, end, data, offsets in texts_of(column, rows):
@@ -76,25 +83,22 @@ def indexed(docs: DataFrame, parts: int) -> DataFrame:
 
     def written(held: list[tuple], k: int) -> pa.RecordBatch:
         ids, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        first = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
-        doc = np.concatenate([h[2] + n for h, n in zip(held, first, strict=True)]).astype(np.uint32)
+        counts = np.concatenate([h[2] for h in held])
         term, tf = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
         held.clear()
+        last = np.cumsum(counts)
+        first = last - counts
+        # Like documents together: by the word of greatest count, then by the least hash of a word.
+        often = np.minimum.reduceat(np.where(tf == np.repeat(np.maximum.reduceat(tf, first), counts), term, 1 << 62), first)
+        by = np.lexsort((ids, np.minimum.reduceat(term, first), often))
+        where, doc = ranges(first[by], last[by])
+        term, tf, doc = term[where], tf[where], doc.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        del where
         order = np.argsort(term, kind="stable")
-        ends = runs(np.diff(term[order]) != 0)
-        terms, df = term[order][ends[:-1]], np.diff(ends)
-        # Like documents together: by the word of greatest count (then frequency), then by the least hash of a word.
-        common = np.empty(len(term), np.int64)
-        common[order] = np.repeat(df, df)
-        by = np.lexsort((-common, -tf, doc))
-        starts = runs(np.diff(doc[by]) != 0)[:-1]
-        place = np.empty(len(ids), np.uint32)
-        place[np.lexsort((ids, np.minimum.reduceat(term[by], starts), term[by][starts]))] = np.arange(len(ids), dtype=np.uint32)
-        doc, tf = place[doc[order]], tf[order]
-        within = np.argsort(np.repeat(np.arange(len(df)), df) * len(ids) + doc)
-        inverse = np.argsort(place)
+        term = term[order]
+        ends = runs(np.diff(term) != 0)
         path = task_file(folder, k, ".npz.zst")
-        save(path, terms=terms, df=df.astype(np.uint32), doc=doc[within].astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), tf=tf[within], ids=ids[inverse], sizes=sizes[inverse])
+        save(path, terms=term[ends[:-1]], df=np.diff(ends).astype(np.uint32), doc=doc[order], tf=tf[order], ids=ids[by], sizes=sizes[by])
         return pa.RecordBatch.from_pydict({"path": [path], "docs": [len(ids)], "words": [int(sizes.sum())]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +109,7 @@ def indexed(docs: DataFrame, parts: int) -> DataFrame:
                 size = np.bincount(row, tf, end - at).astype(np.int64)
                 some = np.flatnonzero(size)
                 if len(some):
-                    held.append((ids[at:end][some], size[some], np.searchsorted(some, row), term, tf))
+                    held.append((ids[at:end][some], size[some], np.bincount(row)[some], term, tf))
                     n, postings = n + len(some), postings + len(term)
                 if 2 * n >= 3 * most_docs or postings >= most_postings:
                     yield written(held, k)
@@ -179,8 +183,9 @@ def weighted(packs: DataFrame, df: DataFrame, n: int) -> DataFrame:
         idf[place] = np.log(1 + (n - count + 0.5) / (count + 0.5))
         return pd.DataFrame({"batch": [key[0]], "idf": [idf.tobytes()]})
 
-    rows = packs.select("batch", "terms").mapInArrow(listed, "batch bigint, place int, term bigint").join(df, "term")
-    return packs.join(rows.select("batch", "place", "df").groupBy("batch").applyInPandas(gathered, "batch bigint, idf binary"), "batch")
+    # Spark takes what is read from a few paths for small; the hints keep it from broadcasting all terms.
+    rows = packs.select("batch", "terms").mapInArrow(listed, "batch bigint, place int, term bigint").hint("merge").join(df, "term")
+    return packs.hint("merge").join(rows.select("batch", "place", "df").groupBy("batch").applyInPandas(gathered, "batch bigint, idf binary"), "batch")
 
 
 class Pack:
@@ -214,13 +219,6 @@ def packs_of(path: str, wanted: Callable[[int], bool]) -> Iterator[Pack]:
                                 yield Pack(values)
 
 
-def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of the ranges, and which range each is of."""
-    n = last - first
-    which = np.repeat(np.arange(len(n)), n)
-    return np.arange(int(n.sum())) + (first - (np.cumsum(n) - n))[which], which
-
-
 class Index:
     """One shard."""
 
@@ -394,7 +392,7 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     best, first, last = None, 0, 1
     while first < count:
         path = scratch_path(spark, "batches")
-        (batches if best is None else batches.drop("floor").join(best.select("batch", "floor"), "batch", "left")).write.option("parquet.block.size", 8 << 20).parquet(path)
+        (batches if best is None else batches.drop("floor").hint("merge").join(best.select("batch", "floor"), "batch", "left")).write.option("parquet.block.size", 8 << 20).parquet(path)
         batches = spark.read.parquet(path)
         found = searched(shards, path, words / n, count, first, min(last, count), top)
         best = materialise(merged(found if best is None else found.unionByName(best.select("batch", "found")), top), "best")
@@ -408,4 +406,4 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
                 rank = np.arange(len(x)) - np.repeat(ends[:-1], np.diff(ends)) + 1
                 yield pd.DataFrame({"query": np.frombuffer(query, "<i8")[x["q"]], "rank": rank, "doc_id": x["doc"], "score": x["score"]})
 
-    return packs.select("batch", "query").join(best.select("batch", "found"), "batch").select("query", "found").mapInPandas(ranked, RESULT)
+    return packs.select("batch", "query").hint("merge").join(best.select("batch", "found"), "batch").select("query", "found").mapInPandas(ranked, RESULT)
