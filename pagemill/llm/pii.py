@@ -1,18 +1,25 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction. DataFrame functions only.
 
-Base spans (email, ip, card, phone) come from regular expressions with checks. Spans the base patterns leave: every written
-number-like string (a token with a digit, or grouped digits) is an occurrence with a context. Occurrences that overlap a base
-span are seeds. Lexical patterns (words before and behind, and the word before with the string's shape) and instances (the
-strings) form a graph. In each of ROUNDS rounds a pattern's confidence is the share of trusted instances among its instances
-(with one doubtful instance added), patterns with enough support and confidence are accepted, and an instance is trusted by
-the chance that not all of its accepted patterns err. At the end, each occurrence outside base spans whose own accepted
-patterns give TRUST becomes a span of kind `id`.
+Base spans (email, ip, card, phone) come from regular expressions with checks. They are the seeds, together with secret-like
+strings (STRONG: long runs of letters and digits). Around each seed stand lexical patterns, compared without case:
+
+* L: the two words before, * B: the word before and the word behind, * S: the word before and the value's shape,
+* K: what the value's own token has before it up to its last `=` or `:`.
+
+Marks that touch the value (quotes, brackets) belong to its pattern. Patterns around SUPPORT different seeds are looked up in
+all tokens of all texts; any token there, whatever it looks like, is an instance. Patterns and instances (values) form a graph.
+In each of ROUNDS rounds a pattern's confidence is the share of trusted values among its values (with one doubtful value
+added), patterns with enough support and confidence are accepted, and a value is trusted by the chance that not all of its
+accepted patterns err. Values that come to be trusted so are seeds of another cycle, up to CYCLES or until there is none. At
+the end each token whose own accepted patterns give TRUST, and that touches no base span, becomes a span of kind `id`.
 
 The regular expressions below find what the contract's find, without its backtracking: possessive loops, and starts only
 where a match can begin. Offsets are code points: match and gap lengths add up.
 
 Defined cases: a null text is empty; documents with equal id and text get equal spans; null ids are kept; an empty table
-gives an empty result. Pairs of pattern and instance count once, so groups of copies weigh no more than one document.
+gives an empty result. Pairs of pattern and value count once, so groups of copies weigh no more than one document. Words are
+what single white-space characters part; a context with two of them in a row has no word there. The context of a seed is
+cut at CONTEXT characters.
 """
 
 from __future__ import annotations
@@ -29,12 +36,15 @@ IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A whole run of digits, single spaces and hyphens between them, of 14 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What may be an identifier: a phone-like string, grouped digits, or a token with a digit.
-WRITTEN = r"\+[0-9][\x20().0-9-]+[0-9]|(?<!\S)[0-9]++(?:[ -][0-9]++)++(?!\S)|(?<!\S)[^\s0-9]*+[0-9]\S*+"
-LEAST_CHARS = 5
+#: Secret-like strings: runs of letters, digits and underscores with three digits and a letter.
+STRONG = r"(?<![A-Za-z0-9_])(?=(?:[A-Za-z_]*[0-9]){3})(?=[0-9_]*[A-Za-z])[A-Za-z0-9_]{20,}+"
+#: What a token has before its value: up to the last = or :, and marks.
+AFFIX = r"^(?:.*[=:])?[^\p{L}\p{N}+]*"
+MARKS = r"[^\p{L}\p{N}]*$"
+CONTEXT, CYCLES = 200, 3
 
 ROUNDS, SUPPORT, CONFIDENCE, TRUST = 3, 5.0, 0.8, 0.9
-#: Documents with added spans (some 100 bytes each) up to which they are broadcast.
+#: Rows (patterns, context words, values, documents with added spans; some 100 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 
 SPAN = "struct<start:int,rank:int,end:int>"
@@ -74,52 +84,135 @@ def scanned(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_phone", F.expr(f"filter(_phone, x -> length({DIGITS}) between 10 and 15)"))
     base = F.concat(*(F.expr(f"transform(_{k}, x -> named_struct('start', x.start, 'rank', {n}, 'end', x.end))") for n, k in enumerate(KINDS)))
     df = df.withColumn("base", F.array_sort(base))
-    # Contexts: gaps around each written string; the gaps of _p are those of WRITTEN, the last regex located.
-    df = located(df, "_written", WRITTEN, F.col("_digit"))
-    seen = F.expr(f"""
-      filter(transform(_written, (w, i) -> named_struct('start', w.start, 'end', w.end, 'value', lower(w.value),
-          'seed', exists(base, b -> b.start < w.end and w.start < b.end),
-          'before', regexp_extract(lower(_p[i]), r'(?:^|\\s)(\\S+)\\s*$', 1), 'before2', regexp_extract(lower(_p[i]), r'(?:^|\\s)(\\S+)\\s+\\S+\\s*$', 1),
-          'after', regexp_extract(lower(_p[i + 1]), r'^\\s*(\\S+)', 1))),
-        w -> length(w.value) >= {LEAST_CHARS})""")
-    return df.select("doc_id", "tkey", "base", seen.alias("written"))
+    df = located(df, "_strong", STRONG, F.col("_digit"))
+    around = F.expr(f"""
+      transform(concat(transform(base, s -> named_struct('start', s.start, 'end', s.end)), transform(_strong, s -> named_struct('start', s.start, 'end', s.end))),
+        s -> named_struct('value', lower(substring(_text, s.start + 1, s.end - s.start)),
+          'b', lower(substring(_text, greatest(s.start - {CONTEXT - 1}, 1), least(s.start, {CONTEXT}))), 'a', lower(substring(_text, s.end + 1, {CONTEXT}))))""")
+    seeds = F.expr(r"""
+      transform(_around, s -> named_struct('value', s.value, 'prefix', regexp_extract(s.b, r'(\S*)$', 1), 'p1', regexp_extract(s.b, r'(\S+)\s\S*$', 1),
+        'p2', regexp_extract(s.b, r'(\S+)\s\S+\s\S*$', 1), 'suffix', regexp_extract(s.a, r'^(\S*)', 1), 'nx', regexp_extract(s.a, r'^\S*\s(\S+)', 1)))""")
+    return df.withColumn("_around", around).select("doc_id", "tkey", "base", seeds.alias("seeds"))
+
+
+def shape(value: Column) -> Column:
+    """Runs of letters as one, digits by their number; a long hexadecimal string by its length only."""
+    hexadecimal = value.rlike("^[0-9a-fA-F]{16,}$") & value.rlike("[a-fA-F]")
+    return F.when(hexadecimal, F.concat(F.lit("hex"), F.length(value).cast("string"))).otherwise(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a"))
 
 
 def patterns(w: Column) -> Column:
-    """The patterns of an occurrence; those without a word are left out."""
-    shape = F.regexp_replace(F.regexp_replace(w["value"], "[0-9]+", "9"), r"\p{L}+", "a")
-    before, before2, after = w["before"], w["before2"], w["after"]
+    """The patterns of an occurrence (value, prefix, p1, p2, suffix, nx, all in lower case); those without their words are left out."""
     every = F.array(
-        F.when(before2 != "", F.concat(F.lit("L "), before2, F.lit(" "), before)),
-        F.when((before != "") & (after != ""), F.concat(F.lit("B "), before, F.lit(" "), after)),
-        F.when(before != "", F.concat(F.lit("S "), before, F.lit(" "), shape)),
+        F.when((w["p1"] != "") & (w["p2"] != ""), F.concat_ws(" ", F.lit("L"), w["p2"], w["p1"], w["prefix"])),
+        F.when((w["p1"] != "") & (w["nx"] != ""), F.concat_ws(" ", F.lit("B"), w["p1"], w["prefix"], F.lit("_"), w["suffix"], w["nx"])),
+        F.when(w["p1"] != "", F.concat_ws(" ", F.lit("S"), w["p1"], w["prefix"], shape(w["value"]))),
+        F.when(w["prefix"].rlike(r"[\p{L}\p{N}]"), F.concat_ws(" ", F.lit("K"), w["prefix"])),
     )
     return F.filter(every, lambda p: p.isNotNull())
 
 
-def accepted(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE, trust: float = TRUST) -> DataFrame:
-    """Accepted patterns and their confidence, from edges (pattern, value, seed), one row for each pattern and value."""
+def hinted(df: DataFrame, small: DataFrame | None = None) -> DataFrame:
+    """df, to be broadcast if it (or the table it comes from) has few rows."""
+    return F.broadcast(df) if (small or df).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def words_of(text: Column) -> Column:
+    """Tokens with their neighbours: an array of structs."""
+    t, none = F.split(text, r"\s", -1), F.lit("")
+    both = F.arrays_zip(t.alias("token"), F.concat(F.array(none), t).alias("p1"), F.concat(F.array(none, none), t).alias("p2"), F.concat(F.slice(t, 2, 1 << 30), F.array(none)).alias("nx"))
+    return F.slice(both, 1, F.size(t))
+
+
+def tokens(docs: DataFrame, masked: bool) -> DataFrame:
+    """doc_id, tkey, place, token and neighbours in lower case. masked: without what spans of several tokens hold."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tkey = F.xxhash64(text)
+    if masked:
+        text = F.when(text.rlike("[0-9][ )(-]+[0-9]"), F.regexp_replace(F.regexp_replace(text, PHONE, "\x01"), CARD, "\x01")).otherwise(text)
+    rows = docs.select("doc_id", tkey.alias("tkey"), F.posexplode(words_of(text)).alias("place", "w"))
+    return rows.select("doc_id", "tkey", "place", F.col("w.token").alias("token"), *(F.lower(F.col(f"w.{c}")).alias(c) for c in ("p1", "p2", "nx"))).where("token <> ''")
+
+
+def occurrences(found: DataFrame, *more: str) -> DataFrame:
+    """found (token and its neighbours) with the columns of patterns(), and the lengths of prefix and value."""
+    prefix = F.regexp_extract("token", AFFIX, 0)
+    rest = F.substring(F.col("token"), F.length(prefix) + 1, F.length("token"))
+    value = F.regexp_replace(rest, MARKS, "")
+    out = found.withColumns({"_value": value, "_prefix": prefix, "_suffix": F.regexp_extract(rest, MARKS, 0)}).where("_value <> ''")
+    return out.select(
+        *more, F.length("_prefix").alias("before"), F.length("_value").alias("long"),
+        F.struct(F.lower("_value").alias("value"), F.lower("_prefix").alias("prefix"), "p1", "p2", F.lower("_suffix").alias("suffix"), "nx").alias("w"),
+    )
+
+
+def inside(found: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """Occurrences of tokens in known patterns (pattern, p1, and prefix of a K pattern): more, before, long, w, pattern."""
+    known = materialise(known, "known")
+    words = known.where("pattern not like 'K %'").select(F.col("p1").alias("_p")).distinct()
+    keys = known.where("pattern like 'K %'").select(F.col("prefix").alias("_k")).distinct()
+    key = F.when(F.contains("token", F.lit("=")) | F.contains("token", F.lit(":")), F.lower(F.regexp_extract("token", AFFIX, 0)))
+    near = found.join(hinted(words, known), F.col("p1") == F.col("_p"), "left").join(hinted(keys, known), key == F.col("_k"), "left").where("_p is not null or _k is not null")
+    every = occurrences(near, *more).select("*", F.explode(patterns(F.col("w"))).alias("pattern"))
+    return every.join(hinted(known.select("pattern").distinct(), known), "pattern")
+
+
+def accepted(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
+    """Accepted patterns (pattern, confidence), and trusted values that aren't seeds, from edges (pattern, value, seed), one row a pair."""
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
         sums = scored.groupBy("pattern").agg(F.sum("score").alias("trusted"), F.count("*").alias("n"))
-        good = materialise(sums.withColumn("confidence", F.col("trusted") / (F.col("n") + 1)).where((F.col("trusted") >= support) & (F.col("confidence") >= confidence)), "patterns")
-        chances = edges.join(good.select("pattern", "confidence"), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("chance"))
+        good = materialise(sums.withColumn("confidence", F.col("trusted") / (F.col("n") + 1)).where((F.col("trusted") >= support) & (F.col("confidence") >= confidence)).select("pattern", "confidence"), "patterns")
+        chances = edges.join(hinted(good), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("chance"))
         score = F.when(F.col("seed"), 1.0).when(F.col("chance") >= trust, F.col("chance")).otherwise(0.0)
         scored = edges.join(chances, "value", "left").withColumn("score", score).drop("chance")
-    return good.select("pattern", "confidence")
-
-
-def discovered(rows: DataFrame, **options) -> DataFrame:
-    """doc_id, tkey and added: spans of unseen identifiers in rows (as of scanned())."""
+    return good, chances.where(F.col("chance") >= trust).select("value").join(edges.where("seed").select("value").distinct(), "value", "left_anti")
+
+
+def learned(docs: DataFrame, rows: DataFrame, cycles: int = CYCLES, support: float = SUPPORT, **options) -> DataFrame | None:
+    """Accepted patterns (pattern, p1, prefix, confidence) of docs, from the seeds of rows (as of scanned()); None where no seeds share one."""
+    seeds = rows.where(F.size("seeds") > 0).select(F.explode("seeds").alias("w")).distinct()
+    seeds = materialise(seeds.select(F.explode(patterns(F.col("w"))).alias("pattern"), "w.p1", "w.prefix", "w.value").distinct(), "seeds")
+    out = None
+    for cycle in range(cycles):
+        enough = seeds.groupBy("pattern").agg(F.countDistinct("value").alias("n"), F.min("p1").alias("p1"), F.min("prefix").alias("prefix")).where(F.col("n") >= support)
+        enough = materialise(enough.drop("n"), "enough")
+        if not enough.take(1):
+            return out
+        seen = inside(tokens(docs, True), enough).select("pattern", F.col("w.value").alias("value"), F.lit(False).alias("seed"))
+        edges = seen.unionByName(seeds.join(hinted(enough.select("pattern")), "pattern").select("pattern", "value", F.lit(True).alias("seed")))
+        edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+        # A value that is a seed anywhere is one in all its patterns.
+        sure = seeds.select("value").distinct().withColumn("sure", F.lit(True))
+        edges = materialise(edges.join(hinted(sure, seeds), "value", "left").select("pattern", "value", (F.col("seed") | F.coalesce("sure", F.lit(False))).alias("seed")), "edges")
+        good, new = accepted(edges, support=support, **options)
+        out = materialise(good.join(enough, "pattern"), "accepted")
+        new = materialise(new, "new")
+        if cycle + 1 == cycles or not new.take(1):
+            return out
+        bare = tokens(docs, True).withColumn("value", F.lower(F.regexp_replace(F.btrim("token", F.lit("\"'()[]{}<>,.;!?")), "^.*[=:]", "")))
+        found = occurrences(bare.join(hinted(new), "value")).select(F.explode(patterns(F.col("w"))).alias("pattern"), "w.p1", "w.prefix", "w.value")
+        seeds = materialise(seeds.unionByName(found.join(hinted(new), "value").select(*seeds.columns)).distinct(), "seeds")
+    return out
+
+
+def discovered(docs: DataFrame, rows: DataFrame, **options) -> DataFrame | None:
+    """doc_id, tkey and added: spans of tokens in accepted patterns."""
     trust = options.get("trust", TRUST)
-    found = rows.where(F.size("written") > 0).select("doc_id", "tkey", F.explode("written").alias("w")).distinct()
-    found = materialise(found.select("doc_id", "tkey", "w", F.explode(patterns(F.col("w"))).alias("pattern")), "occurrences")
-    edges = materialise(found.groupBy("pattern", F.col("w")["value"].alias("value")).agg(F.max(F.col("w")["seed"]).alias("seed")), "edges")
-    good = accepted(edges, **options)
-    per = found.where(~F.col("w")["seed"]).join(good, "pattern").groupBy("doc_id", "tkey", F.col("w")["start"].alias("start"), F.col("w")["end"].alias("end"))
+    good = learned(docs, rows, **options)
+    if good is None or not good.take(1):
+        return None
+    found = inside(tokens(docs, False), good.select("pattern", "p1", "prefix"), "doc_id", "tkey", "place").drop("w").distinct()
+    per = found.join(hinted(good.select("pattern", "confidence"), good), "pattern").groupBy("doc_id", "tkey", "place", "before", "long")
     sure = per.agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("chance")).where(F.col("chance") >= trust)
-    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")
-    return sure.groupBy("doc_id", "tkey").agg(F.collect_set(span).alias("added"))
+    places = materialise(sure.groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).agg(F.collect_list(F.struct("place", "before", "long")).alias("places")), "places")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("tkey"), text.alias("_text"))
+    hit = texts.join(hinted(places), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tkey") == F.col("_t")))
+    span = F.expr(rf"""
+      transform(places, p -> named_struct('start', IF(p.place = 0, 0, length(array_join(slice(_tokens, 1, p.place), ' ')) + 1) + p.before, 'rank', {len(KINDS)}, 'long', p.long))""")
+    added = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), (s["start"] + s["long"]).alias("end")))
+    return hit.withColumn("_tokens", F.split("_text", r"\s", -1)).withColumn("_spans", span).select("doc_id", "tkey", added.alias("added")).distinct()
 
 
 def written_out(spans: Column) -> Column:
@@ -128,12 +221,20 @@ def written_out(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
-    """For each row of docs: doc_id, tkey (hash of its text), base (spans: start, rank of kind, end) and added spans."""
+    """For each row of docs: doc_id, tkey (hash of its text), base (spans: start, rank of kind, end) and added spans.
+
+    options: rounds, cycles, support, confidence and trust of the bootstrap.
+    """
+    docs = docs.select("doc_id", "text")
     rows = materialise(scanned(docs), "scanned")
-    more = materialise(discovered(rows, **options).select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "added"), "added")
-    more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
-    out = rows.join(more, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tkey") == F.col("_t")), "left")
-    return out.select("doc_id", "tkey", "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
+    none = F.array().cast(f"array<{SPAN}>")
+    more = discovered(docs, rows, **options)
+    if more is None:
+        return rows.select("doc_id", "tkey", "base", none.alias("added"))
+    more = materialise(more.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "added"), "added")
+    out = rows.join(hinted(more), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tkey") == F.col("_t")), "left")
+    apart = F.expr("filter(added, x -> not exists(base, b -> b.start < x.end and x.start < b.end))")
+    return out.select("doc_id", "tkey", "base", F.coalesce(apart, none).alias("added"))
 
 
 def redacted(docs: DataFrame, **options) -> DataFrame:

@@ -21,7 +21,8 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     counts = (F.expr(f"cast(size(filter(base, s -> s.rank = {n})) as bigint)").alias(f"n_{k}") for n, k in enumerate(pii.KINDS))
     every = pii.written_out(F.array_sort(F.concat("base", "added")))
-    return found.select("doc_id", *counts, sha256_of(pii.written_out(F.col("base"))).alias("base_sha256"), every.alias("spans"))
+    more = (F.size("added").cast("bigint").alias("n_id"), F.size(F.concat("base", "added")).cast("bigint").alias("n_spans"))
+    return found.select("doc_id", *counts, sha256_of(pii.written_out(F.col("base"))).alias("base_sha256"), every.alias("spans"), *more)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
