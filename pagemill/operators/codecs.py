@@ -114,7 +114,7 @@ def csv_rows(data: str | bytes, delimiter: str = ",", most: int = MOST_CSV_BYTES
         raise ValueError("the CSV isn't UTF-8") from None
     if not text:
         raise ValueError("the CSV is empty")
-    if re.search("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text):
+    if re.search("[\x00-\x08\x0b\x0c\x0e-\x1f]", text):
         raise ValueError("a control character")
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     plain = re.compile(rf"[^{re.escape(delimiter)}\n\"]*")

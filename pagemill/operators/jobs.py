@@ -54,6 +54,11 @@ def listing(jobs: DataFrame, state: str | None = None, offset: int = 0, limit: i
     return some.orderBy("sequence").offset(offset).limit(limit)
 
 
+def listing_total(jobs: DataFrame, state: str | None = None) -> DataFrame:
+    """One row: how many jobs the pages of listing() have together."""
+    return (jobs if state is None else jobs.where(F.col("state") == state)).agg(F.count("*").alias("total"))
+
+
 def state_counts(jobs: DataFrame) -> DataFrame:
     """One row: jobs by state, active ones, and whether admitted = succeeded + failed + cancelled + active."""
     counts = [F.count_if(F.col("state") == s).alias(s) for s in STATES]
@@ -81,10 +86,19 @@ def cancelled(jobs: DataFrame, which: Column) -> DataFrame:
     return jobs.withColumn("code", code).withColumn("state", F.when(which & (s == "queued"), "cancelled").when(which & ~s.isin(*TERMINAL), "cancelling").otherwise(s))
 
 
+def deletion_code(which: Column) -> Column:
+    """204 for jobs of which that go, 409 for those that aren't finished, null for the others."""
+    return F.when(which, F.when(F.col("state").isin(*TERMINAL), 204).otherwise(409))
+
+
 def deleted(jobs: DataFrame, which: Column) -> DataFrame:
     """jobs without those of which that are finished; the others of which stay with code 409."""
-    done = F.col("state").isin(*TERMINAL)
-    return jobs.where(~(which & done)).withColumn("code", F.when(which, 409))
+    return jobs.withColumn("code", deletion_code(which)).where("code is null or code <> 204")
+
+
+def page_credit_error(size: Column, most: int) -> Column:
+    """Why a page can't be queued at all: its pixels are over the whole byte budget, which fails its job."""
+    return F.when(size > most, F.lit("page exceeds the byte limit of ready pages"))
 
 
 def valid_job_id(x: Column) -> Column:
@@ -100,12 +114,13 @@ def new_job_id() -> Column:
 
 
 def model_metrics(completions: DataFrame) -> DataFrame:
-    """For each model: completed, failed, latency and token sums. Prompt tokens count only where the total covers the output."""
+    """For each model: completed, failed, latency, queue, work and token sums. Prompt tokens count only where the total covers the output."""
     good = ~F.col("failed")
     covered = good & (F.col("total_tokens") > 0) & (F.col("total_tokens") >= F.col("output_tokens"))
     return completions.groupBy("model").agg(
         F.count("*").alias("completed"), F.count_if("failed").alias("failed_requests"), F.count_if(good).alias("successful"),
         F.count_if(F.col("failed") & F.col("kind").isin("http_429", "http_503")).alias("overload"), F.round(F.sum("latency_ms"), 4).alias("latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
+        F.round(F.sum("queue_ms"), 4).alias("queue_ms"), F.coalesce(F.sum(F.when(good, F.col("work"))), F.lit(0)).cast("bigint").alias("work"),
         F.coalesce(F.sum(F.when(covered, F.col("total_tokens") - F.col("output_tokens"))), F.lit(0)).cast("bigint").alias("prompt_tokens"), F.coalesce(F.sum(F.when(good, F.col("output_tokens"))), F.lit(0)).cast("bigint").alias("output_tokens"),
     )
 

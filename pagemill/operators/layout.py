@@ -60,15 +60,17 @@ def from_polygon_boxes(answers: DataFrame, matrix: tuple[float, ...] = (1, 0, 0,
         px, py = homography(x, y, matrix)
         return F.struct(clamp(px, 0.0, w).alias("x"), clamp(py, 0.0, h).alias("y"))
 
-    numbers = F.transform(F.split(F.regexp_replace(F.get_json_object("item", "$.polygon_points"), r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double"))
-    count = F.floor(F.size(numbers) / 2).cast("int")
-    points = F.when(F.get_json_object("item", "$.polygon_points").isNotNull() & (F.size(numbers) >= 2), F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: mapped(F.get(numbers, 2 * i), F.get(numbers, 2 * i + 1))))
+    # Steps are columns, so that no list is read anew for each of its numbers.
+    t = t.withColumn("j", F.from_json("item", "label string, score double, `order` int, coordinate array<double>, polygon_points string"))
+    t = t.withColumn("numbers", F.transform(F.split(F.regexp_replace("j.polygon_points", r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double")))
+    numbers, count = F.col("numbers"), F.floor(F.size("numbers") / 2).cast("int")
+    points = F.when(F.size(numbers) >= 2, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: mapped(F.get(numbers, 2 * i), F.get(numbers, 2 * i + 1))))
     t = t.withColumn("polygon", points).withColumn("n", F.when(F.col("polygon").isNotNull(), F.size(numbers)))
-    c = F.from_json(F.get_json_object("item", "$.coordinate"), "array<double>")
+    c = F.col("j.coordinate")
     at = [F.get(c, F.lit(i)) for i in range(4)]
     corners = F.when(F.size(c) == 4, bounds(F.array(*(mapped(at[i], at[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3))))))
     t = t.withColumn("hull", F.when(F.col("polygon").isNotNull(), bounds(F.col("polygon")))).withColumn("box", F.coalesce(corners, F.col("hull")))
-    t = t.withColumn("score", F.coalesce(F.get_json_object("item", "$.score").try_cast("double"), F.lit(1.0))).withColumn("raw_type", F.get_json_object("item", "$.label"))
+    t = t.withColumn("score", F.coalesce("j.score", F.lit(1.0))).withColumn("raw_type", F.col("j.label"))
     error = (
         F.when(F.col("box").isNull(), "no coordinate and no polygon")
         .when((F.size(c) == 4) & ((at[2] <= at[0]) | (at[3] <= at[1])), "empty coordinate")
@@ -78,7 +80,7 @@ def from_polygon_boxes(answers: DataFrame, matrix: tuple[float, ...] = (1, 0, 0,
     )
     union = F.struct(F.least("box.x0", "hull.x0").alias("x0"), F.least("box.y0", "hull.y0").alias("y0"), F.greatest("box.x1", "hull.x1").alias("x1"), F.greatest("box.y1", "hull.y1").alias("y1"))
     t = t.withColumn("error", error).withColumn("crop_bbox", F.when(F.col("hull").isNotNull() & (union != F.col("box")), union))
-    t = t.withColumn("o", order_of(F.col("item"), F.get_json_object("item", "$.order").try_cast("int"), F.col("at"))).where(F.col("error").isNotNull() | (F.col("score") >= threshold))
+    t = t.withColumn("o", order_of(F.col("item"), F.col("j.order"), F.col("at"))).where(F.col("error").isNotNull() | (F.col("score") >= threshold))
     return t.select("doc_id", "page", F.col("at").cast("bigint").alias("source_index"), "raw_type", "box.*", "score", "polygon", "crop_bbox", "o.order", "o.reading_order", "error")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import http.client
 import importlib
 import json
 import os
-import urllib.error
-import urllib.request
+import urllib.parse
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -79,37 +80,66 @@ class MockModel:
         return self.by_prompt.get(prompt, self.response)
 
 
-class ChatModel:
-    """A chat service that takes an image and a prompt: timeouts, size cap, bearer from the environment, no redirects."""
+class HttpService:
+    """Posts JSON over one connection that is kept: timeouts, size cap, bearer from the environment, no redirects, 2xx only."""
 
     def __init__(self, settings: dict):
-        self.url, self.model = settings["url"], settings["model"]
-        self.timeout, self.most = settings.get("timeout_seconds", 120), settings.get("max_response_bytes", 16 << 20)
-        self.temperature, self.max_tokens, self.key = settings.get("temperature", 0.0), settings.get("max_tokens", 4096), settings.get("api_key_env")
-
-        class NoRedirect(urllib.request.HTTPRedirectHandler):
-            def redirect_request(self, *_):
-                return None
-
-        self.opener = urllib.request.build_opener(NoRedirect)
-
-    def infer(self, image: bytes | None, prompt: str) -> str:
-        content = [{"type": "text", "text": prompt}]
-        if image is not None:
-            content.insert(0, {"type": "image_url", "image_url": {"url": "data:image/png;base64," + __import__("base64").b64encode(image).decode()}})
-        body = {"model": self.model, "messages": [{"role": "user", "content": content}], "temperature": self.temperature, "max_tokens": self.max_tokens}
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key]}"} if self.key else {}))
+        self.url = urllib.parse.urlsplit(settings["url"])
+        self.timeout, self.most, self.key = settings.get("timeout_seconds", 120), settings.get("max_response_bytes", 16 << 20), settings.get("api_key_env")
+        self.connection: http.client.HTTPConnection | None = None
+
+    def post(self, body: dict) -> bytes:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key]}"} if self.key else {})
+        path = (self.url.path or "/") + (f"?{self.url.query}" if self.url.query else "")
+        used = self.connection is not None
         try:
-            with self.opener.open(request, timeout=self.timeout) as answer:
-                data = answer.read(self.most + 1)
-        except urllib.error.HTTPError as e:
-            raise ModelError(f"HTTP {e.code}", f"http_{e.code}") from None
+            if not used:
+                kind = http.client.HTTPSConnection if self.url.scheme == "https" else http.client.HTTPConnection
+                self.connection = kind(self.url.hostname, self.url.port, timeout=self.timeout)
+            self.connection.request("POST", path, json.dumps(body).encode(), headers)
+            answer = self.connection.getresponse()
+            data = answer.read(self.most + 1)
         except TimeoutError:
+            self.drop()
             raise ModelError("timeout", "http_timeout") from None
-        except (urllib.error.URLError, OSError) as e:
+        except (http.client.RemoteDisconnected, ConnectionResetError, BrokenPipeError) as e:
+            self.drop()
+            if used:  # the service closed an idle connection: once more on a new one
+                return self.post(body)
+            raise ModelError(f"no connection: {e}", "http_connection") from None
+        except (OSError, http.client.HTTPException) as e:
+            self.drop()
             raise ModelError(f"no connection: {e}", "http_connection") from None
         if len(data) > self.most:
+            self.drop()
             raise ModelError("the response is over the limit", "http_response_limit")
+        if not 200 <= answer.status < 300:
+            raise ModelError(f"HTTP {answer.status}", f"http_{answer.status}")
+        return data
+
+    def drop(self) -> None:
+        if self.connection is not None:
+            self.connection.close()
+        self.connection = None
+
+
+def data_url(image: bytes) -> str:
+    return "data:image/png;base64," + base64.b64encode(image).decode()
+
+
+class ChatModel(HttpService):
+    """A chat service that takes an image and a prompt."""
+
+    def __init__(self, settings: dict):
+        super().__init__(settings)
+        self.model = settings["model"]
+        self.temperature, self.max_tokens = settings.get("temperature", 0.0), settings.get("max_tokens", 4096)
+
+    def infer(self, image: bytes | None, prompt: str) -> str:
+        content = [{"type": "text", "text": prompt}]
+        if image is not None:
+            content.insert(0, {"type": "image_url", "image_url": {"url": data_url(image)}})
+        data = self.post({"model": self.model, "messages": [{"role": "user", "content": content}], "temperature": self.temperature, "max_tokens": self.max_tokens})
         try:
             first = json.loads(data)["choices"][0]
             text = first["message"]["content"]
@@ -120,9 +150,49 @@ class ChatModel:
         return text
 
 
+class JsonModel(HttpService):
+    """A service that takes {image, prompt} and answers an object: its text, or the whole object (layout boxes) where it has none.
+
+    A batch is sent as {items} and answered as {results} of the same length and order, where the service says so.
+    """
+
+    def __init__(self, settings: dict):
+        super().__init__(settings)
+        if settings.get("batch_requests"):
+            self.infer_batch = self.many
+
+    @staticmethod
+    def item(image: bytes | None, prompt: str) -> dict:
+        return {"prompt": prompt} | ({"image": data_url(image)} if image is not None else {})
+
+    @staticmethod
+    def text(answer: object) -> str:
+        if not isinstance(answer, dict):
+            raise ModelError("an answer that isn't an object")
+        return answer["text"] if isinstance(answer.get("text"), str) else json.dumps(answer)
+
+    def parsed(self, data: bytes) -> object:
+        try:
+            return json.loads(data)
+        except ValueError:
+            raise ModelError("an answer that isn't JSON") from None
+
+    def infer(self, image: bytes | None, prompt: str) -> str:
+        return self.text(self.parsed(self.post(self.item(image, prompt))))
+
+    def many(self, requests: list[tuple[bytes | None, str]]) -> list[str]:
+        answer = self.parsed(self.post({"items": [self.item(*r) for r in requests]}))
+        results = answer.get("results") if isinstance(answer, dict) else None
+        if not isinstance(results, list) or len(results) != len(requests):
+            raise ModelError("a batch answer of a wrong length")
+        return [self.text(r) for r in results]
+
+
 BACKENDS.add("mock", MockModel)
 BACKENDS.add("chat", ChatModel)
-DECODERS.add("text", lambda raw: raw)
+BACKENDS.add("http_json", JsonModel)
+for _name in ("text", "generic", "ctc"):
+    DECODERS.add(_name, lambda raw: raw)
 DECODERS.add("table", otsl_html)
 DECODERS.add("table.otsl", otsl_html)
 CROPPERS.add("bbox", lambda image, box, points, fallback: images.crop(image, box))

@@ -41,11 +41,15 @@ def first_success(regions: DataFrame, responses: DataFrame, keys: list[str]) ->
     return regions.join(found, keys, "left")
 
 
+def fatal(columns: list[str], on_error: str) -> Column:
+    """(later, page, source_index, error) of a block that fails its document: a layout error always, others where on_error is fail."""
+    layout = F.col("layout_error") if "layout_error" in columns else F.lit(None).cast("string")
+    return F.when(F.col("error") != "" if on_error == "fail" else layout.isNotNull(), F.struct(layout.isNull().alias("later"), "page", "source_index", "error"))
+
+
 def document_status(regions: DataFrame, on_error: str = "record") -> DataFrame:
     """For each doc_id: blocks, failed blocks, status and exit_code. on_error fail makes a failed block the document's failure; a layout_error always is."""
-    layout = F.col("layout_error") if "layout_error" in regions.columns else F.lit(None).cast("string")
-    fatal = F.col("error") != "" if on_error == "fail" else layout.isNotNull()
-    out = regions.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("error") != "").alias("failed_blocks"), F.min(F.when(fatal, F.struct(layout.isNull().alias("later"), "page", "source_index", "error"))).alias("first"))
+    out = regions.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("error") != "").alias("failed_blocks"), F.min(fatal(regions.columns, on_error)).alias("first"))
     bad = F.col("first").isNotNull()
     code = F.when(bad, 1).when(F.col("failed_blocks") > 0, 2).otherwise(0)
     return out.select("doc_id", "blocks", "failed_blocks", F.when(bad, "failed").otherwise("succeeded").alias("status"), code.alias("exit_code"), F.col("first.error").alias("document_error"))
@@ -145,11 +149,16 @@ def block_markdown() -> Column:
     return F.when(F.col("reading_order").isNull(), "").when(F.col("error") != "", "**[OCR block failed]**\n\n").otherwise(body)
 
 
-def markdown(regions: DataFrame) -> DataFrame:
-    """doc_id and markdown: pages by number, blocks in reading order. One shuffle: pages and documents share a key prefix."""
-    pages = regions.groupBy(*PAGE).agg(F.array_join(by_order(regions, block_markdown()), "").alias("body"))
+def markdown(regions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """doc_id and markdown: pages by number, blocks in reading order. One shuffle: pages and documents share a key prefix.
+
+    With pages (doc_id, page) those without a region are there, too.
+    """
+    bodies = regions.groupBy(*PAGE).agg(F.array_join(by_order(regions, block_markdown()), "").alias("body"))
+    if pages is not None:
+        bodies = pages.select(*PAGE).distinct().join(bodies, PAGE, "left").withColumn("body", F.coalesce("body", F.lit("")))
     part = F.concat(F.lit("<!-- page: "), F.col("page").cast("string"), F.lit(" -->\n\n"), F.col("body"))
-    whole = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", part.alias("part")))).alias("parts"))
+    whole = bodies.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", part.alias("part")))).alias("parts"))
     return whole.select("doc_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("markdown"))
 
 
@@ -170,24 +179,71 @@ def block_struct(columns: list[str], version: int) -> Column:
         polygon = F.col("polygon") if "polygon" in columns else F.array().cast("array<struct<x:double,y:double>>")
         crop = F.coalesce(F.array(*(F.col(f"crop_bbox.{s}") for s in ("x0", "y0", "x1", "y1"))), box) if "crop_bbox" in columns else box
         extensions = [F.col(c) for c in ("parent_source_index", "composite_children", "merged_pages", "merged_into", "recovered") if c in columns]
-        fields += [F.transform(polygon, lambda p: F.array(p["x"], p["y"])).alias("polygon"), crop.alias("crop_bbox"), F.col("reading_order"), F.col("source_index"), F.parse_json(F.to_json(F.struct(*extensions)) if extensions else F.lit("{}")).alias("extensions")]
+        provenance = [F.col(c) for c in ("adapter", "layout_pass") if c in columns]
+        told = F.parse_json(F.to_json(F.struct(*provenance)) if provenance else F.lit("{}")).alias("provenance")
+        fields += [F.transform(polygon, lambda p: F.array(p["x"], p["y"])).alias("polygon"), crop.alias("crop_bbox"), F.col("reading_order"), F.col("source_index"), told, F.parse_json(F.to_json(F.struct(*extensions)) if extensions else F.lit("{}")).alias("extensions")]
     return F.struct(*fields)
 
 
-def needs_version_2(columns: list[str]) -> Column:
-    """Whether a document's blocks have what only the second schema can say."""
-    tests = [F.col("reading_order").isNull()] + [F.col(c).isNotNull() for c in ("polygon", "parent_source_index", "composite_children", "merged_pages", "merged_into") if c in columns]
+def second_schema(columns: list[str]) -> Column:
+    """Whether a block has what only the second schema can say."""
+    tests = [F.col("reading_order").isNull()] + [F.col(c).isNotNull() for c in ("polygon", "parent_source_index", "composite_children", "merged_pages", "merged_into", "adapter", "layout_pass") if c in columns]
     out = tests[0]
     for t in tests[1:]:
         out = out | t
-    return F.max(out)
+    return out
 
 
-def document_json(regions: DataFrame, version: int) -> DataFrame:
-    """doc_id and json: schema_version, and pages with their blocks; nulls are written out."""
+def document_json(regions: DataFrame, version: int, pages: DataFrame | None = None) -> DataFrame:
+    """doc_id and json: schema_version, source, coordinate_system, and pages with size and blocks; nulls are written out.
+
+    pages (doc_id, page, width, height, source) are all pages of the documents; without it those of the regions, which may have
+    the same columns.
+    """
     w = Window.partitionBy(*PAGE).orderBy(F.col("reading_order").asc_nulls_last(), "source_index")
     placed = regions.withColumn("position", F.row_number().over(w) - 1).withColumn("block", block_struct(regions.columns, version))
-    pages = placed.groupBy(*PAGE).agg(in_order(F.collect_list(F.struct("position", "block")), "position").alias("blocks"))
-    page = F.struct(F.col("page").alias("number"), F.transform("blocks", lambda b: b["block"]).alias("blocks"))
-    whole = pages.groupBy("doc_id").agg(in_order(F.collect_list(page), "number").alias("pages"))
-    return whole.select("doc_id", F.to_json(F.struct(F.lit(version).alias("schema_version"), "pages"), {"ignoreNullFields": "false"}).alias("json"))
+    known = {"width": "int", "height": "int", "source": "string"}
+    if pages is None:
+        placed = placed.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in placed.columns})
+        sizes = [F.max(c).alias(c) for c in known]
+    else:
+        sizes = []
+    found = placed.groupBy(*PAGE).agg(in_order(F.collect_list(F.struct("position", "block")), "position").alias("blocks"), *sizes)
+    if pages is not None:
+        found = pages.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in pages.columns}).select(*PAGE, *known).dropDuplicates(PAGE).join(found, PAGE, "left")
+    blocks = F.coalesce(F.transform("blocks", lambda b: b["block"]), F.expr("array()")).alias("blocks")
+    whole = found.groupBy("doc_id").agg(in_order(F.collect_list(F.struct("page", "width", "height", blocks)), "page").alias("pages"), F.coalesce(F.max("source"), F.lit("")).alias("source"))
+    out = F.struct(F.lit(version).alias("schema_version"), "source", F.lit("page_pixels_xyxy").alias("coordinate_system"), "pages")
+    return whole.select("doc_id", F.to_json(out, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def documents(regions: DataFrame, pages: DataFrame, on_error: str = "record") -> DataFrame:
+    """doc_id, json, markdown, status, exit_code and document_error of all documents of pages, from one pass over their regions.
+
+    pages: doc_id, page, width, height and maybe source. A document is of the second schema if one of its blocks needs it.
+    """
+    w = Window.partitionBy(*PAGE).orderBy(F.col("reading_order").asc_nulls_last(), "source_index")
+    t = regions.withColumn("position", F.row_number().over(w) - 1)
+    t = t.select(*PAGE, "position", "source_index", "error", block_struct(regions.columns, 1).alias("one"), block_struct(regions.columns, 2).alias("two"), block_markdown().alias("shown"), second_schema(regions.columns).alias("second"), fatal(regions.columns, on_error).alias("fatal"))
+    found = t.groupBy(*PAGE).agg(
+        in_order(F.collect_list(F.struct("position", "one", "two", "shown")), "position").alias("blocks"), F.max("second").alias("second"),
+        F.count_if(F.col("error") != "").alias("failed"), F.min("fatal").alias("fatal"),
+    )
+    source = F.col("source") if "source" in pages.columns else F.lit(None).cast("string")
+    found = pages.select(*PAGE, "width", "height", source.alias("source")).dropDuplicates(PAGE).join(found, PAGE, "left")
+    listed = lambda name: F.coalesce(F.transform("blocks", lambda b: b[name]), F.expr("array()"))
+    shown = F.concat(F.lit("<!-- page: "), F.col("page").cast("string"), F.lit(" -->\n\n"), F.array_join(listed("shown"), ""))
+    whole = found.groupBy("doc_id").agg(
+        in_order(F.collect_list(F.struct("page", "width", "height", listed("one").alias("one"), listed("two").alias("two"), shown.alias("shown"))), "page").alias("all"),
+        F.coalesce(F.max("source"), F.lit("")).alias("source"), F.coalesce(F.max("second"), F.lit(False)).alias("second"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.min("fatal").alias("fatal"),
+    )
+
+    def envelope(version: int, name: str) -> Column:
+        all_pages = F.transform("all", lambda p: F.struct(p["page"].alias("page"), p["width"].alias("width"), p["height"].alias("height"), p[name].alias("blocks")))
+        return F.to_json(F.struct(F.lit(version).alias("schema_version"), "source", F.lit("page_pixels_xyxy").alias("coordinate_system"), all_pages.alias("pages")), {"ignoreNullFields": "false"})
+
+    bad = F.col("fatal").isNotNull()
+    return whole.select(
+        "doc_id", F.when(F.col("second"), envelope(2, "two")).otherwise(envelope(1, "one")).alias("json"), F.array_join(F.transform("all", lambda p: p["shown"]), "").alias("markdown"),
+        F.when(bad, "failed").otherwise("succeeded").alias("status"), F.when(bad, 1).when(F.col("failed") > 0, 2).otherwise(0).alias("exit_code"), F.col("fatal.error").alias("document_error"),
+    )

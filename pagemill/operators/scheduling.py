@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,23 +93,28 @@ def fast_size(df: DataFrame, width: Column, height: Column, r: Resize, name: str
     return df.withColumn(name, F.when(fits, F.struct(a.alias("w"), b.alias("h")))).drop("_w", "_h", "_s", "_a", "_b")
 
 
-def grid_size(width: int, height: int, r: Resize) -> tuple[int, int]:
-    """The size on the grid of factors whose shape and area are closest; for the few that fast_size leaves."""
+def grid(r: Resize) -> np.ndarray:
+    """All sizes of a setting: widths on the grid, each with its least and greatest feasible height."""
     lo_w, hi_w, lo_h, hi_h = r.bounds()
-    f, best = r.factor, None
-    wanted = min(max(width * height, r.min_pixels), r.max_pixels)
-    for w in range(lo_w, hi_w + 1, f):
-        low, high = max(lo_h, -(-(-(-r.min_pixels // w)) // f) * f), min(hi_h, r.max_pixels // w // f * f)
-        if low > high:
-            continue
-        middle = min(max(math.floor(w * height / width / f + 0.5) * f, low), high)
-        for h in (low, middle, high):
-            off = abs(math.log((w / h) / (width / height))) + abs(math.log(w * h / wanted))
-            if best is None or off < best[0]:
-                best = off, w, h
-    if best is None:
+    f = r.factor
+    w = np.arange(lo_w, hi_w + 1, f, dtype=np.int64)
+    low = np.maximum(lo_h, -(-(-(-r.min_pixels // w)) // f) * f)
+    high = np.minimum(hi_h, r.max_pixels // w // f * f)
+    return np.stack([w, low, high], axis=1)[low <= high]
+
+
+def grid_size(width: int, height: int, r: Resize, sizes: np.ndarray | None = None) -> tuple[int, int]:
+    """The size on the grid of factors whose shape and area are closest; for the few that fast_size leaves."""
+    sizes = grid(r) if sizes is None else sizes
+    if not len(sizes):
         raise ValueError("no input size meets the bounds")
-    return best[1], best[2]
+    w, low, high = sizes.T
+    middle = np.clip(np.floor(w * height / width / r.factor + 0.5).astype(np.int64) * r.factor, low, high)
+    h = np.stack([low, middle, high], axis=1)
+    wanted = min(max(width * height, r.min_pixels), r.max_pixels)
+    off = np.abs(np.log((w[:, None] / h) / (width / height))) + np.abs(np.log(w[:, None] * h / wanted))
+    at = int(np.argmin(off))
+    return int(w[at // 3]), int(h.ravel()[at])
 
 
 def input_size(df: DataFrame, width: Column, height: Column, r: Resize, name: str = "size") -> DataFrame:
@@ -116,13 +123,13 @@ def input_size(df: DataFrame, width: Column, height: Column, r: Resize, name: st
     @F.pandas_udf("w int, h int")
     def searched(ws: pd.Series, hs: pd.Series) -> pd.DataFrame:
         known: dict[tuple[int, int], tuple[int, int]] = {}
-        rows = []
+        rows, sizes = [], grid(r)
         for w, h in zip(ws, hs, strict=True):
             if pd.isna(w):
                 rows.append((None, None))
                 continue
             if (w, h) not in known:
-                known[w, h] = grid_size(int(w), int(h), r)
+                known[w, h] = grid_size(int(w), int(h), r, sizes)
             rows.append(known[w, h])
         return pd.DataFrame(rows, columns=["w", "h"])
 
@@ -161,37 +168,70 @@ def visual_buckets(requests: DataFrame, widths: tuple[int, ...], capacity: int,
     return placed.withColumn("bucket", bucket.cast("bigint")).drop("anchor")
 
 
-def next_wave(bucketed: DataFrame, now_ms: float, timeout_ms: float, max_bypasses: int = 4, group: tuple[str, ...] = ("model",)) -> DataFrame:
-    """For each group the bucket to run next: the oldest request's if it has aged, else the one of most requests, then work."""
-    aged = (F.col("bypasses") >= max_bypasses) | (F.lit(now_ms) - F.col("queued_ms") >= timeout_ms / 2)
-    oldest = bucketed.groupBy(*group).agg(F.min(F.struct("ticket", "bucket", aged.alias("aged"))).alias("o"))
-    fullest = bucketed.groupBy(*group, "bucket").agg(F.count("*").alias("count"), F.sum("prefill").alias("work")).groupBy(*group).agg(F.max(F.struct("count", "work", (-F.col("bucket")).alias("minus"))).alias("f"))
-    return oldest.join(fullest, list(group)).select(*group, F.when(F.col("o.aged"), F.col("o.bucket")).otherwise(-F.col("f.minus")).alias("bucket"), F.col("o.aged").alias("aged"))
+GREEDY = """
+  aggregate(slots, named_struct('count', 0L, 'work', 0L, 'tickets', cast(array() as array<bigint>)),
+    (a, r) -> IF({full} OR (a.count > 0 AND a.work + r.prefill > {budget}), a,
+      named_struct('count', a.count + 1, 'work', a.work + r.prefill, 'tickets', array_append(a.tickets, r.ticket))))"""
+
+
+def next_wave(requests: DataFrame, widths: tuple[int, ...], capacity: int, budget: int, now_ms: float, timeout_ms: float, max_bypasses: int = 4, free: int = 1 << 20, scan_limit: int = 256, group: tuple[str, ...] = ("model",)) -> DataFrame:
+    """For each group the next wave of requests (ticket, visual, prefill, bypasses, queued_ms): bucket, aged, capture_size and tickets.
+
+    The first scan_limit tickets are put in visual buckets. If the oldest has aged (bypassed often, or half its time waited),
+    its bucket is next and it goes first; else the bucket is next of which most requests fit the budget one after the other,
+    then of most work, then the first. The wave takes what fits, from the bucket in order of cost, then from the others in
+    order of tickets, up to the capture size and the free slots; a request over the budget goes alone.
+    """
+    queue = Window.partitionBy(*group).orderBy("ticket")
+    pending = requests.withColumn("_turn", F.row_number().over(queue)).where(F.col("_turn") <= scan_limit)
+    late = (F.col("bypasses") >= max_bypasses) | (F.lit(now_ms) - F.col("queued_ms") >= timeout_ms / 2)
+    pending = visual_buckets(pending.withColumn("_late", late & (F.col("_turn") == 1)), widths, capacity, budget, group)
+    slot = F.struct("rank", "ticket", F.col("prefill").cast("bigint").alias("prefill"), "bucket", (F.col("_turn") == 1).alias("oldest"))
+    # A group's snapshot has scan_limit requests at most, so one row holds it.
+    snap = pending.groupBy(*group).agg(F.array_sort(F.collect_list(slot)).alias("all"), F.max("_late").alias("aged"), F.max("capture_size").cast("bigint").alias("capture_size"))
+    snap = snap.withColumn("buckets", F.sequence(F.lit(0).cast("bigint"), F.array_max(F.transform("all", lambda r: r["bucket"]))))
+    greedy = GREEDY.replace("slots", "filter(all, r -> r.bucket = b)").format(full="false", budget=budget)
+    snap = snap.withColumn("fits", F.expr(f"transform(buckets, b -> {greedy})"))
+    best = F.expr("array_max(transform(fits, (f, b) -> named_struct('count', f.count, 'work', f.work, 'first', -b)))")
+    own = F.expr("filter(all, r -> r.oldest)[0].bucket")
+    snap = snap.withColumn("bucket", F.when(F.col("aged"), own).otherwise(-best["first"]).cast("bigint"))
+    line = F.expr("""
+      concat(IF(aged, filter(all, r -> r.oldest), array()), filter(all, r -> r.bucket = bucket AND NOT (aged AND r.oldest)),
+        array_sort(filter(all, r -> r.bucket <> bucket AND NOT (aged AND r.oldest)), (x, y) -> IF(x.ticket < y.ticket, -1, 1)))""")
+    snap = snap.withColumn("slots", line).withColumn("_target", F.least(F.lit(free).cast("bigint"), "capture_size"))
+    wave = F.expr(GREEDY.format(full="a.count >= _target", budget=budget))["tickets"]
+    return snap.select(*group, "bucket", "aged", "capture_size", wave.alias("tickets"))
 
 
 ADMITTED = "job bigint, decision string, reason string"
+REFUSED = {"jobs": ("503", "cumulative job limit"), "active": ("429", "active job limit"), "bytes": ("429", "upload byte limit")}
 
 
-def admission(log: DataFrame, max_active: int, max_bytes: int, total_bytes: int | None = None, shard: str = "server") -> DataFrame:
-    """Replay of an arrival log (shard, job, arrival_ms, service_ms, bytes): each job accepted, or refused with a reason.
+def admission(log: DataFrame, max_jobs: int, max_active: int, max_upload_bytes: int, shard: str = "server") -> DataFrame:
+    """Replay of an arrival log (shard, job, arrival_ms, upload_ms, service_ms, bytes): each job accepted (202) or refused with a reason.
 
-    Each server's log is replayed in order by itself; refusals are `busy` (429) and `full` (503, cumulative limit).
+    A job holds a place from its arrival on, and its bytes while it is uploaded; then it is admitted for good and active until
+    its service ends. Refusals, in this order: 503 where places and admitted jobs reach max_jobs; 429 where places and active
+    jobs reach max_active; 429 where the uploads' bytes would pass max_upload_bytes. Each server's log is replayed by itself.
     """
 
     def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        running: list[tuple[float, int]] = []
-        held, ever, out = 0, 0, []
-        for r in rows.sort_values(["arrival_ms", "job"]).itertuples(index=False):
-            while running and running[0][0] <= r.arrival_ms:
-                held -= heapq.heappop(running)[1]
-            if total_bytes is not None and ever + r.bytes > total_bytes:
-                out.append((r.job, "503", "full"))
-            elif len(running) >= max_active or held + r.bytes > max_bytes:
-                out.append((r.job, "429", "busy"))
-            else:
-                heapq.heappush(running, (r.arrival_ms + r.service_ms, r.bytes))
-                held, ever = held + r.bytes, ever + r.bytes
-                out.append((r.job, "202", None))
+        uploads: list[tuple[float, float, int]] = []  # end of upload, end of service, bytes
+        active: list[float] = []
+        admitted, held, out = 0, 0, []
+        for job, at, upload, service, size in rows.sort_values(["arrival_ms", "job"])[["job", "arrival_ms", "upload_ms", "service_ms", "bytes"]].itertuples(index=False):
+            while uploads and uploads[0][0] <= at:
+                _, end, freed = heapq.heappop(uploads)
+                admitted, held = admitted + 1, held - freed
+                heapq.heappush(active, end)
+            while active and active[0] <= at:
+                heapq.heappop(active)
+            tests = {"jobs": admitted + len(uploads) >= max_jobs, "active": len(active) + len(uploads) >= max_active, "bytes": held + size > max_upload_bytes}
+            refusal = next((REFUSED[k] for k, hit in tests.items() if hit), None)
+            if refusal is None:
+                heapq.heappush(uploads, (at + upload, at + upload + service, size))
+                held += size
+            out.append((job, *(refusal or ("202", None))))
         return pd.DataFrame(out, columns=["job", "decision", "reason"])
 
     return log.groupBy(shard).applyInPandas(replay, ADMITTED)
@@ -238,17 +278,32 @@ def best_static_bucket(requests: DataFrame, bounds: tuple[int, ...], group: tupl
     return t.groupBy(*group).agg(F.max(F.struct("count", "work", (-F.col("bucket")).alias("minus"))).alias("b")).select(*group, (-F.col("b.minus")).cast("bigint").alias("bucket"), F.col("b.count").alias("count"))
 
 
+@dataclass
+class Sample:
+    """What a control window has seen."""
+
+    began: float = 0.0
+    done: int = 0
+    failed: int = 0
+    waiting: int = 0
+    blocked: int = 0
+    work: float = 0.0
+
+
 @dataclass
 class Controller:
-    """An adaptive token budget that learns from windows of finished work.
+    """An adaptive budget of tokens in flight that learns from windows of finished work.
 
-    It doubles while throughput gains by slow_gain, probes up by step while it gains by probe_gain, holds the best budget seen
-    when a probe is flat, and backs off on overload or when a fifth of a window fails.
+    A window closes after window_ms and min_samples requests. There is demand if min_samples of them ended while others
+    waited, and as many while the budget kept the next one back. A changed budget opens an epoch: requests that started before
+    it don't count, and its window begins when the last of them has ended. A window after a change is compared with the one
+    before: a gain goes on growing (doubling at first, then by step), a loss backs off, a flat one returns. At the ceiling the
+    budget is tried downwards. Overload, or a fifth of failures, backs off at once; growth then waits for cooldown_ms.
     """
 
-    budget: float = 32_768
-    least: float = 1_024
-    most: float = 1 << 24
+    budget: int = 8_192
+    least: int = 1_024
+    most: int = 32_768
     window_ms: float = 5_000
     min_samples: int = 8
     cooldown_ms: float = 3_000
@@ -257,58 +312,117 @@ class Controller:
     step: float = 0.10
     backoff: float = 0.85
     state: str = "slow_start"
-    began: float | None = None
-    samples: list = field(default_factory=list)
-    rate: float | None = None
-    compared: float | None = None
+    epoch: int = 0
+    stale: int = 0
+    comparing: bool = False
+    overloaded: bool = False
+    rate: float = 0.0
+    compared: int = 0
     quiet_until: float = 0.0
+    seen: Sample = field(default_factory=Sample)
 
-    def limited(self, budget: float) -> float:
-        return min(self.most, max(self.least, budget))
+    def up(self, factor: float) -> int:
+        return min(self.most, max(self.budget + 1, math.ceil(self.budget * factor)))
 
-    def observe(self, at: float, work: float, failed: bool, overload: bool) -> None:
-        if at < self.quiet_until:
-            return
-        if self.began is None:
-            self.began = at
+    def down(self, factor: float) -> int:
+        return max(self.least, int(self.budget * factor))
+
+    def change(self, budget: int, at: float, inflight: int) -> None:
+        self.budget = min(self.most, max(self.least, budget))
+        self.epoch, self.stale, self.seen = self.epoch + 1, inflight, Sample(at)
+
+    def hold(self, at: float | None = None) -> None:
+        self.state = "hold"
+        if at is not None:
+            self.quiet_until = at + self.cooldown_ms
+
+    def observe(self, at: float, work: float = 0.0, failed: bool = False, overload: bool = False, epoch: int | None = None, inflight: int = 0, waiting: bool = True, blocked: bool = True) -> None:
+        """One finished request: the epoch it started in, and what is in flight and waits after it."""
+        epoch = self.epoch if epoch is None else epoch
+        if epoch != self.epoch and self.stale:
+            self.stale -= 1
+            if not self.stale:
+                self.seen = Sample(at)
         if overload:
-            self.budget, self.state = self.limited(self.budget * self.backoff), "hold"
-            self.quiet_until, self.began, self.samples, self.rate = at + self.cooldown_ms, None, [], None
+            self.overloaded, self.comparing = True, False
+            if (smaller := self.down(self.backoff)) < self.budget:
+                self.change(smaller, at, inflight)
+            self.hold(at)
+        if epoch != self.epoch or self.stale:
             return
-        self.samples.append((work, failed))
-        if at - self.began < self.window_ms or len(self.samples) < self.min_samples:
-            return
-        bad = sum(f for _, f in self.samples) / len(self.samples)
-        rate = sum(w for w, f in self.samples if not f) / max(1e-9, at - self.began)
-        if bad >= 0.2:
-            self.budget, self.state, self.rate = self.limited(self.budget * self.backoff), "hold", None
-            self.quiet_until = at + self.cooldown_ms
-        elif self.state == "slow_start":
-            if self.rate is None or rate >= self.rate * (1 + self.slow_gain):
-                self.compared, self.rate, self.budget = self.budget, rate, self.limited(self.budget * 2)
-            else:
-                self.budget, self.state = self.compared or self.budget, "probe"
-        elif self.state == "probe":
-            if self.rate is None or rate >= self.rate * (1 + self.probe_gain):
-                self.compared, self.rate, self.budget = self.budget, rate, self.limited(self.budget * (1 + self.step))
-            else:
-                self.budget, self.state = self.compared or self.budget, "hold"
+        s = self.seen
+        s.done, s.failed, s.work = s.done + 1, s.failed + failed, s.work + (0.0 if failed else work)
+        s.waiting, s.blocked = s.waiting + waiting, s.blocked + blocked
+        if at - s.began >= self.window_ms and s.done >= self.min_samples:
+            self.decide(at, inflight)
+
+    def decide(self, at: float, inflight: int) -> None:
+        s = self.seen
+        rate = 1000 * s.work / (at - s.began) if at > s.began else 0.0
+        pressed = s.waiting >= self.min_samples
+        demand = pressed and s.blocked >= self.min_samples
+        wanted = self.budget
+        if self.overloaded:
+            pass
+        elif 5 * s.failed >= s.done:
+            wanted, self.comparing = self.down(self.backoff), False
+            self.hold(at)
+        elif self.comparing and self.rate > 0:
+            gain = rate / self.rate - 1
+            wanted = self.tried_less(gain, demand, at) if self.budget < self.compared else self.tried_more(gain, demand, at)
+        elif at >= self.quiet_until and demand and self.budget < self.most:
+            wanted = self.up(2.0 if self.state == "slow_start" else 1 + self.step)
+            self.state = self.state if self.state == "slow_start" else "probe"
+        elif at >= self.quiet_until and pressed and self.budget == self.most and self.rate > 0:
+            wanted, self.state = self.down(1 - self.step), "probe"
+        self.rate, self.compared = rate, self.budget
+        if wanted != self.budget:
+            self.change(wanted, at, inflight)
+            self.comparing = self.state != "hold"
         else:
-            self.rate, self.compared, self.state = rate, self.budget, "probe"
-            self.budget = self.limited(self.budget * (1 + self.step))
-        self.began, self.samples = None, []
+            self.comparing, self.seen = False, Sample(at)
+        self.overloaded = False
+
+    def tried_more(self, gain: float, demand: bool, at: float) -> int:
+        if self.state == "slow_start" and gain >= self.slow_gain and demand:
+            return self.up(2.0)
+        self.state = "probe" if self.state == "slow_start" else self.state
+        if gain >= self.probe_gain and demand:
+            return self.up(1 + self.step)
+        back = self.down(self.backoff) if gain < -self.probe_gain else max(self.least, self.compared)
+        self.hold(at)
+        return back
 
+    def tried_less(self, gain: float, demand: bool, at: float) -> int:
+        if gain > self.probe_gain and demand:
+            lower = self.down(1 - self.step)
+            if lower == self.budget:
+                self.quiet_until = at + self.cooldown_ms
+            return lower
+        wanted = self.compared if gain < -self.probe_gain else self.budget
+        self.hold(at)
+        return wanted
 
-REPLAYED = "model string, ticket bigint, state string, budget double"
+
+REPLAYED = "model string, ticket bigint, state string, budget bigint"
 
 
 def replay_controller(log: DataFrame, **settings) -> DataFrame:
-    """Replay of finished requests (model, ticket, at_ms, work, failed, overload): state and budget after each."""
+    """Replay of finished requests (model, ticket, started_ms, at_ms, work, failed, overload, waiting, blocked): state and budget after each.
+
+    A model's log is replayed in order of time in one task.
+    """
 
     def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        c, out = Controller(**settings), []
-        for r in rows.sort_values(["at_ms", "ticket"]).itertuples(index=False):
-            c.observe(r.at_ms, r.work, r.failed, r.overload)
+        rows = rows.sort_values(["at_ms", "ticket"])
+        c, out, changes = Controller(**settings), [], []
+        c.seen.began = float(rows["started_ms"].min())
+        starts = np.sort(rows["started_ms"].to_numpy(float))
+        for n, r in enumerate(rows.itertuples(index=False), 1):
+            inflight = int(np.searchsorted(starts, r.at_ms, side="right")) - n
+            before = c.epoch
+            c.observe(r.at_ms, r.work, r.failed, r.overload, bisect.bisect_right(changes, r.started_ms), max(0, inflight), r.waiting, r.blocked)
+            changes += [r.at_ms] * (c.epoch - before)
             out.append((key[0], r.ticket, c.state, c.budget))
         return pd.DataFrame(out, columns=["model", "ticket", "state", "budget"])
 

@@ -51,6 +51,17 @@ def write_documents(documents: DataFrame, folder: str, form: str = "both") -> Da
     return documents.select("doc_id", *names).mapInArrow(run, WRITTEN)
 
 
+def write_assets(assets: DataFrame, folder: str) -> DataFrame:
+    """Write crops (doc_id, asset, crop as PNG) below their documents' folders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"doc_id": r["doc_id"], "path": put(folder, f"{r['doc_id']}/{r['asset']}", r["crop"]), "bytes": len(r["crop"])} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("bytes", pa.int64())]))
+
+    return assets.select("doc_id", "asset", "crop").mapInArrow(run, WRITTEN)
+
+
 def write_crops(crops: DataFrame, folder: str) -> DataFrame:
     """Write crops (doc_id, page, position, width, height, rgb) as assets/page-N-box-I.png."""
 

@@ -75,7 +75,7 @@ def composite_keep(spark: SparkSession, d: str) -> DataFrame:
 
 def recovered_filter(spark: SparkSession, d: str) -> DataFrame:
     t = layout_boxes(spark, d).drop("raw_type", "reading_order")
-    moved = t.withColumn("x0", F.col("x0") + 300).withColumn("x1", F.col("x1") + 300).where(F.col("doc_id") % 3 == 0)
+    moved = t.withColumn("x0", F.col("x0") + 300).withColumn("x1", F.col("x1") + 300)
     masked = B.masks(B.forest(t))
     return B.recovered(t, moved, masked, most=3).select("doc_id", "source_index", "type", "x0", "score", "recovered")
 
@@ -187,7 +187,7 @@ from flagged f left join held h using (doc_id, source_index) left join listed l
 where h.holder is null and not (f.holds and not f.good)""",
     "q_recovered_filter": f"""{_WITH}, {_PARENTS},
 mask as (select b.* from boxes b join kids using (doc_id, source_index) where type in ('chart', 'figure', 'table')),
-moved as (select doc_id, source_index, type, x0 + 300 as x0, y0, x1 + 300 as x1, y1, score from boxes where doc_id % 3 = 0 and score >= 0.3e0 and type <> 'header'),
+moved as (select doc_id, source_index, type, x0 + 300 as x0, y0, x1 + 300 as x1, y1, score from boxes where score >= 0.3e0 and type <> 'header'),
 fresh as (
   select a.*, row_number() over (partition by a.doc_id order by a.source_index) as k from moved a
   where exists (select 1 from mask b where b.doc_id = a.doc_id) and not exists (select 1 from mask b where b.doc_id = a.doc_id and ({_BOTH}) / {_AREA.format('a')} >= 0.2e0))

@@ -24,6 +24,17 @@ OTHER = {
     "header_footer": {"enabled", "types"}, "overlap": {"enabled", "label_priority"}, "low_score": {"enabled"},
     "composite": {"enabled", "outer_types", "expand_inner_types", "inspect_inner_text", "expand_if_uncovered_text"}, "cross_page_tables": {"enabled", "require_header_match"},
 }
+#: Fixed values of the optional sections.
+ASYNC = {"workers": (128, 1, 256), "max_requests": (256, 1, 1_000_000), "max_bytes": (1 << 28, 1, 1 << 40), "enqueue_timeout_ms": (600_000, 1, 3_600_000)}
+ADAPTIVE = {
+    "min_concurrency": (None, 1, 128), "initial_concurrency": (None, 1, 128), "window_ms": (5000, 100, 60_000), "min_samples": (8, 1, 10_000), "cooldown_ms": (3000, 0, 60_000), "latency_target_ms": (0, 0, 3_600_000),
+    "latency_guard_windows": (None, 1, 100), "token_budget": (32_768, 1, 10**9), "min_token_budget": (None, 1, 10**9), "initial_token_budget": (None, 1, 10**9), "image_pixels_per_token": (784, 1, 10**6), "expected_output_tokens": (512, 1, 10**6),
+}
+SHARES = ("slow_start_gain", "probe_gain", "probe_step", "backoff_ratio")
+VISUAL = {
+    "max_num_seqs": (None, 1, 10**6), "max_model_len": (None, 1, 10**9), "max_num_batched_tokens": (None, 1, 10**9), "visual_pixels_per_token": (None, 1, 10**9), "visual_token_overhead": (0, 0, 10**9), "max_visual_tokens": (None, 1, 10**9),
+    "prompt_token_overhead": (64, 0, 10**9), "expected_output_tokens": (512, 1, 10**9), "max_wait_ms": (2, 0, 1000), "bucket_scan_limit": (256, 1, 4096), "max_bucket_bypasses": (4, 0, 128),
+}
 ACTIONS = ("recognize", "skip", "image")
 TOP = {"version", "models", "layout", "routes", "execution", "document", "postprocess", "output", "server", "plugins"}
 
@@ -95,6 +106,44 @@ def normalised(config: dict) -> dict:
     return out
 
 
+def checked_adaptive(m: dict, out: dict, where: str) -> dict:
+    """The section of an adaptive budget: floors, starts and ceilings in order."""
+    a = numbers(m, ADAPTIVE, where, {"enabled", "latency_guard_ratio", *SHARES})
+    guard = a.get("latency_guard_ratio", 0)
+    need(guard == 0 or 1.1 <= guard <= 100, f"{where}.latency_guard_ratio must be 0 or between 1.1 and 100")
+    for key in SHARES:
+        need(0 < a.get(key, 0.5) < 1, f"{where}.{key} must be between 0 and 1")
+    if a.get("enabled"):
+        most = out["max_concurrent_requests"]
+        low = a["min_concurrency"] or 1
+        first = a["initial_concurrency"] or min(4, most)
+        need(low <= first <= most, f"{where}: min_concurrency, initial_concurrency and max_concurrent_requests aren't in order")
+        budget = a["token_budget"]
+        floor = a["min_token_budget"] or max(1, budget * low // most)
+        start = a["initial_token_budget"] or max(floor, budget * first // most)
+        need(floor <= start <= budget, f"{where}: min_token_budget, initial_token_budget and token_budget aren't in order")
+    return a
+
+
+def checked_visual(m: dict, out: dict, where: str) -> dict:
+    """The section of a visual scheduler: increasing lists of integers, and what it needs where it is on."""
+    v = numbers(m, VISUAL, where, {"enabled", "bucket_mode", "bucket_edges", "cudagraph_capture_sizes"})
+    mode = v.setdefault("bucket_mode", "adaptive")
+    need(mode in ("adaptive", "static"), f"{where}.bucket_mode must be adaptive or static")
+    for key, required in (("bucket_edges", mode == "static"), ("cudagraph_capture_sizes", True)):
+        if key not in v and not (v.get("enabled") and required):
+            continue
+        some = v.get(key)
+        ints = isinstance(some, list) and len(some) <= 128 and all(isinstance(x, int) and not isinstance(x, bool) and 0 < x <= 10**9 for x in some)
+        need(ints and all(a < b for a, b in zip(some, some[1:], strict=False)) and (bool(some) or key != "bucket_edges"), f"{where}.{key} must be increasing positive integers")
+    if v.get("enabled"):
+        for key in ("max_num_seqs", "max_model_len", "max_num_batched_tokens", "visual_pixels_per_token"):
+            need(v[key] is not None, f"{where}.{key} is missing")
+        need(all(x <= v["max_num_seqs"] for x in v["cudagraph_capture_sizes"]), f"{where}: capture sizes exceed max_num_seqs")
+        need(v["max_wait_ms"] < out["acquire_timeout_ms"], f"{where}.max_wait_ms must be under acquire_timeout_ms")
+    return v
+
+
 def validated(config: dict) -> dict:
     """A configuration of either version as a checked first one, with defaults filled in."""
     need(isinstance(config, dict), "the configuration must be an object")
@@ -112,6 +161,10 @@ def validated(config: dict) -> dict:
         need(out["batch_size"] == 1 or out["max_batch_wait_ms"] < out["acquire_timeout_ms"], f"models.{name}: max_batch_wait_ms must be under acquire_timeout_ms")
         modes = [k for k in ("adaptive_concurrency", "visual_scheduler") if m.get(k, {}).get("enabled")] + ["batching"] * (out["batch_size"] > 1)
         need(len(modes) <= 1, f"models.{name}: {' and '.join(modes)} exclude each other")
+        if "adaptive_concurrency" in m:
+            out["adaptive_concurrency"] = checked_adaptive(m["adaptive_concurrency"], out, f"models.{name}.adaptive_concurrency")
+        if "visual_scheduler" in m:
+            out["visual_scheduler"] = checked_visual(m["visual_scheduler"], out, f"models.{name}.visual_scheduler")
         if "input_resize" in m:
             r = numbers(m["input_resize"], RESIZE, f"models.{name}.input_resize")
             need(bool(m["input_resize"]), f"models.{name}.input_resize is empty")
@@ -136,6 +189,8 @@ def validated(config: dict) -> dict:
         need(r.get("cropper", "bbox") in CROPPERS.entries, f"route {kind} has an unknown cropper")
     execution = numbers(c.get("execution", {}), EXECUTION, "execution", {"on_error", "async_recognition"})
     need(execution.setdefault("on_error", "fail") in ("fail", "record"), "execution.on_error must be fail or record")
+    if "async_recognition" in execution:
+        execution["async_recognition"] = numbers(execution["async_recognition"], ASYNC, "execution.async_recognition", {"enabled"})
     execution["page_workers"] = execution["page_workers"] or execution["workers"]
     c["execution"] = execution
     c["document"] = numbers(c.get("document", {}), DOCUMENT, "document", {"csv_delimiter", "epub_converter", "ofd_converter"})

@@ -11,7 +11,8 @@ from pagemill.operators import codecs as C
 from pagemill.operators import layout as L
 from pagemill.operators import regions as R
 from pagemill.plans.box_queries import PAIRS_SQL
-from pagemill.sources.views import CONVERSATION_SQL, LAYOUT_BOXES_SQL, PAGE_TABLES_SQL, conversation_blocks, layout_boxes, page_tables, table
+from pagemill.sources.files import html_blocks as blocks_of_html
+from pagemill.sources.views import CONVERSATION_SQL, LAYOUT_BOXES_SQL, PAGE_TABLES_SQL, conversation_blocks, conversation_pages, layout_boxes, page_tables, table
 
 CORNERS = ("x0", "y0", "x1", "y1")
 ROUTES = (("table", "recognize", ["t1", "t2"]), ("figure", "image", []), ("header", "skip", []), ("chart", "save_crop", []), ("*", "recognize", ["m1"]))
@@ -81,27 +82,24 @@ def otsl_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def otsl_spans(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "region").crossJoin(table(spark, d, "nation").where("n_nationkey < 3"))
-    tokens = F.concat(F.lit("<fcel>"), F.col("r_name"), F.lit("<lcel><nl><ucel><xcel><nl><fcel>"), F.col("n_name"), F.lit("<ecel><nl>"))
-    tokens = F.when(F.col("n_nationkey") == 2, F.lit("<fcel>A<nl><xcel><nl>")).otherwise(tokens)
-    return t.select("r_regionkey", "n_nationkey", C.otsl_html_column(tokens).alias("t")).select("r_regionkey", "n_nationkey", F.col("t.value").alias("html"), F.col("t.error").isNotNull().alias("failed"))
+    """Orders as tables in tokens with a cell of two rows and columns; those of keys divisible by three are broken."""
+    t = table(spark, d, "orders")
+    tokens = F.concat(F.lit("<fcel>"), F.col("o_orderpriority"), F.lit("<lcel><nl><ucel><xcel><nl><fcel>"), F.col("o_orderkey").cast("string"), F.lit("<ecel><nl>"))
+    tokens = F.when(F.col("o_orderkey") % 3 == 0, F.lit("<fcel>A<nl><xcel><nl>")).otherwise(tokens)
+    return t.select("o_orderkey", C.otsl_html_column(tokens).alias("t")).select("o_orderkey", F.col("t.value").alias("html"), F.col("t.error").isNotNull().alias("failed"))
 
 
 def csv_strict(spark: SparkSession, d: str) -> DataFrame:
     quote = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), "[\x00-\x08\x0b\x0c\x0d\x0e-\x1f\x7f]", "")
-    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("id,lang,text\n"), F.col("doc_id").cast("string"), F.lit(","), F.col("lang"), F.lit(","), quote(clean), F.lit("\n")).alias("csv"))
+    text = F.coalesce("text", F.lit(""))
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("id,lang,text\n"), F.col("doc_id").cast("string"), F.lit(","), F.col("lang"), F.lit(","), quote(text), F.lit("\n")).alias("csv"))
     t = t.withColumn("csv", F.when(F.col("doc_id") % 10 == 3, F.concat("csv", F.lit('a"b'))).otherwise(F.col("csv")))
     return t.select("doc_id", C.csv_html_column(F.col("csv")).alias("t")).select("doc_id", F.md5(F.col("t.value").cast("binary")).alias("digest"), F.col("t.error").isNotNull().alias("failed"))
 
 
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Headings and paragraphs of raw pages, tags taken out, in order."""
-    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<(h1|p|footer)>(.*?)</(?:h1|p|footer)>"), F.lit(0))
-    t = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(found).alias("at", "raw"))
-    tag = T.ascii_lower(F.regexp_extract("raw", r"(?is)^<(h1|p|footer)>", 1))
-    kind = F.when(tag == "h1", "title").when(tag == "p", "text").otherwise("footer")
-    return t.select("doc_id", F.col("at").cast("bigint").alias("source_index"), kind.alias("type"), F.regexp_replace("raw", "(?s)<[^>]*>", "").alias("text"))
+    return blocks_of_html(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html"))
 
 
 def layout_json(spark: SparkSession, d: str) -> DataFrame:
@@ -135,22 +133,22 @@ def ctc_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tensor_layout(spark: SparkSession, d: str) -> DataFrame:
-    scaled = F.transform(F.slice("embedding", 1, 60), lambda v, i: F.when(i % 6 == 0, F.floor(F.abs(v) * 40).cast("double")).otherwise(F.abs(v.cast("double"))))
+    scaled = F.transform(F.concat("embedding", F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>")), lambda v, i: F.when(i % 6 == 0, F.floor(F.abs(v) * 40).cast("double")).otherwise(F.abs(v.cast("double"))))
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), scaled.alias("data"))
     out = L.from_tensor(t, ("text", "table", "figure", "title"), 0.1, 10.0, 5.0)
     return out.select(F.col("id").alias("vec_id"), "source_index", "type", F.round("score", 9).alias("score"), F.round("x0", 9).alias("x0"), F.round("y1", 9).alias("y1"), "error")
 
 
 def document_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return R.markdown(conversation_blocks(spark, d))
+    return R.markdown(conversation_blocks(spark, d), conversation_pages(spark, d))
 
 
 def document_json(spark: SparkSession, d: str) -> DataFrame:
-    return R.document_json(conversation_blocks(spark, d), 1)
+    return R.document_json(conversation_blocks(spark, d), 1, conversation_pages(spark, d))
 
 
 def document_json_v2(spark: SparkSession, d: str) -> DataFrame:
-    return R.document_json(conversation_blocks(spark, d), 2)
+    return R.document_json(conversation_blocks(spark, d), 2, conversation_pages(spark, d))
 
 
 def page_pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -210,6 +208,8 @@ _MARKDOWN = """
     else case type when 'title' then '# ' || text when 'heading' then '## ' || text else text end || chr(10) || chr(10) end"""
 _BLOCK = """
   '{{"id":"p1-{id}","type":' || to_json(type) || ',"raw_type":' || to_json(raw_type) || ',"bbox":[0.0,0.0,0.0,0.0],"score":1.0,"order":' || {order} || ',"rotation":0,"model":"","text":' || to_json(text) || ',"raw_text":"","asset":"","error":' || to_json(error) || '{more}}}'"""
+_HEAD = """'{{"schema_version":{version},"source":"conversations/' || doc_id || '","coordinate_system":"page_pixels_xyxy","pages":[{{"page":1,"width":1100,"height":1400,"blocks":['"""
+_TAIL = """']}' || case when doc_id % 4 = 0 then ',{"page":2,"width":1100,"height":1400,"blocks":[]}' else '' end || ']}'"""
 
 SQL = {
     "q_reading_order": f"with {CONVERSATION_SQL} select doc_id, source_index, reading_order, row_number() over (partition by doc_id order by reading_order nulls last, source_index) - 1 as position from blocks",
@@ -234,17 +234,18 @@ from isle i join head h on i.doc_id = h.doc_id and i.island = h.island join whol
     "q_simple_table_parse": f"""with {PAGE_TABLES_SQL}
 select doc_id, page, doc_id % 9 <> 0 as is_table, case when doc_id % 9 <> 0 then len(rows) end as rows, case when doc_id % 9 <> 0 then cast(cols as bigint) end as columns from tables""",
     "q_otsl_html": f"""select n_regionkey, '<table>' || chr(10) || string_agg('<tr><td>' || n_nationkey || '</td><td>' || {_ESCAPE.format("n_name || '&'")} || '</td></tr>', chr(10) order by n_nationkey) || chr(10) || '</table>' as html from nation group by n_regionkey""",
-    "q_otsl_spans": """select r_regionkey, n_nationkey,
-  case when n_nationkey < 2 then '<table>' || chr(10) || '<tr><td rowspan="2" colspan="2">' || r_name || '</td></tr>' || chr(10) || '<tr></tr>' || chr(10) || '<tr><td>' || n_name || '</td><td></td></tr>' || chr(10) || '</table>' end as html,
-  n_nationkey = 2 as failed from region, nation where n_nationkey < 3""",
+    "q_otsl_spans": """select o_orderkey,
+  case when o_orderkey % 3 <> 0 then '<table>' || chr(10) || '<tr><td rowspan="2" colspan="2">' || o_orderpriority || '</td></tr>' || chr(10) || '<tr></tr>' || chr(10) || '<tr><td>' || o_orderkey || '</td><td></td></tr>' || chr(10) || '</table>' end as html,
+  o_orderkey % 3 = 0 as failed from orders""",
     "q_csv_strict": r"""
-with t as (select doc_id, lang, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0d\x0e-\x1f\x7f]', '', 'g') as x from documents)
-select doc_id, case when doc_id % 10 <> 3 then md5('<table>' || chr(10) || '<tr><td>id</td><td>lang</td><td>text</td></tr>' || chr(10) || '<tr><td>' || doc_id || '</td><td>' || lang || '</td><td>' ||
-  replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(10), '<br>') || '</td></tr>' || chr(10) || '</table>') end as digest, doc_id % 10 = 3 as failed from t""",
+with c as (select doc_id, lang, coalesce(text, '') as t from documents),
+t as (select doc_id, lang, replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as x, doc_id % 10 = 3 or regexp_matches(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]') as failed from c)
+select doc_id, case when not failed then md5('<table>' || chr(10) || '<tr><td>id</td><td>lang</td><td>text</td></tr>' || chr(10) || '<tr><td>' || doc_id || '</td><td>' || lang || '</td><td>' ||
+  replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(10), '<br>') || '</td></tr>' || chr(10) || '</table>') end as digest, failed from t""",
     "q_html_blocks": r"""
-with f as (select page_id as doc_id, regexp_extract_all(coalesce(html, ''), '(?is)<(?:h1|p|footer)>.*?</(?:h1|p|footer)>') as found from pages),
+with f as (select page_id as doc_id, regexp_extract_all(coalesce(html, ''), '(?is)<(?:h1|h2|h3|p|footer)>.*?</(?:h1|h2|h3|p|footer)>') as found from pages),
 e as (select doc_id, i - 1 as source_index, found[i] as raw from f, unnest(range(1, len(found) + 1)) as t(i))
-select doc_id, source_index, case when starts_with(lower(raw), '<h1>') then 'title' when starts_with(lower(raw), '<p>') then 'text' else 'footer' end as type, regexp_replace(raw, '(?s)<[^>]*>', '', 'g') as text from e""",
+select doc_id, source_index, case when starts_with(lower(raw), '<h1>') then 'title' when starts_with(lower(raw), '<h2>') or starts_with(lower(raw), '<h3>') then 'heading' when starts_with(lower(raw), '<p>') then 'text' else 'footer' end as type, regexp_replace(raw, '(?s)<[^>]*>', '', 'g') as text from e""",
     "q_layout_json": f"""with {LAYOUT_BOXES_SQL},
 k as (select *, row_number() over (partition by doc_id order by source_index) - 1 as n from boxes where score >= 0.5e0)
 select doc_id, n as source_index, case type when 'chart' then 'figure' else type end as type, type as raw_type, least(x0, 1100e0) as x0, least(y0, 1400e0) as y0, least(x1, 1100e0) as x1, least(y1, 1400e0) as y1, score,
@@ -260,14 +261,15 @@ with s as (select vec_id, t, list_position(x, list_max(x)) - 1 as c from (select
 p as (select *, lag(c) over (partition by vec_id order by t) as before from s)
 select vec_id, string_agg(cast(c as varchar), '' order by t) as steps, coalesce(string_agg((['', 'a', 'b', 'c', 'd', 'e', 'f', 'g'])[c + 1], '' order by t) filter (c <> 0 and (before is null or c <> before)), '') as text from p group by vec_id""",
     "q_tensor_layout": """
-with r as (select vec_id, i as source_index, [abs(cast(v as double)) for v in embedding[i * 6 + 1 : i * 6 + 6]] as v from embeddings, unnest(range(0, 10)) as t(i)),
-b as (select vec_id, source_index, cast(floor(abs((select embedding from embeddings e where e.vec_id = r.vec_id)[source_index * 6 + 1]) * 40) as int) as c, v from r)
+with p as (select vec_id, list_concat(embedding, [0, 0]) as embedding from embeddings),
+r as (select vec_id, i as source_index, [abs(cast(v as double)) for v in embedding[i * 6 + 1 : i * 6 + 6]] as v, cast(floor(abs(embedding[i * 6 + 1]) * 40) as int) as c from p, unnest(range(0, 11)) as t(i)),
+b as (select * from r)
 select vec_id, source_index, (['text', 'table', 'figure', 'title'])[c + 1] as type, round(v[2], 9) as score, round(v[3] * 10, 9) as x0, round(v[6] * 5, 9) as y1, case when c > 3 then 'class without a label' end as error from b where v[2] >= 0.1e0""",
-    "q_document_markdown": f"with {CONVERSATION_SQL} select doc_id, '<!-- page: 1 -->' || chr(10) || chr(10) || string_agg({_MARKDOWN}, '' order by reading_order nulls last, source_index) as markdown from blocks group by doc_id",
+    "q_document_markdown": f"with {CONVERSATION_SQL} select doc_id, '<!-- page: 1 -->' || chr(10) || chr(10) || string_agg({_MARKDOWN}, '' order by reading_order nulls last, source_index) || case when doc_id % 4 = 0 then '<!-- page: 2 -->' || chr(10) || chr(10) else '' end as markdown from blocks group by doc_id",
     "q_document_json": f"""with {CONVERSATION_SQL}, p as (select *, row_number() over (partition by doc_id order by reading_order nulls last, source_index) - 1 as n from blocks)
-select doc_id, '{{"schema_version":1,"pages":[{{"number":1,"blocks":[' || string_agg({_BLOCK.format(id="b' || n || '", order="coalesce(reading_order, n)", more="")}, ',' order by n) || ']}}]}}' as json from p group by doc_id""",
-    "q_document_json_v2": f"""with {CONVERSATION_SQL}, p as (select *, row_number() over (partition by doc_id order by reading_order nulls last, source_index) - 1 as n from blocks where doc_id % 2 = 0)
-select doc_id, '{{"schema_version":2,"pages":[{{"number":1,"blocks":[' || string_agg({_BLOCK.format(id="s' || source_index || '", order="coalesce(cast(reading_order as varchar), 'null')", more=""","polygon":[],"crop_bbox":[0.0,0.0,0.0,0.0],"reading_order":' || coalesce(cast(reading_order as varchar), 'null') || ',"source_index":' || source_index || ',"extensions":{}""")}, ',' order by n) || ']}}]}}' as json from p group by doc_id""",
+select doc_id, {_HEAD.format(version=1)} || string_agg({_BLOCK.format(id="b' || n || '", order="coalesce(reading_order, n)", more="")}, ',' order by n) || {_TAIL} as json from p group by doc_id""",
+    "q_document_json_v2": f"""with {CONVERSATION_SQL}, p as (select *, row_number() over (partition by doc_id order by reading_order nulls last, source_index) - 1 as n from blocks)
+select doc_id, {_HEAD.format(version=2)} || string_agg({_BLOCK.format(id="s' || source_index || '", order="coalesce(cast(reading_order as varchar), 'null')", more=""","polygon":[],"crop_bbox":[0.0,0.0,0.0,0.0],"reading_order":' || coalesce(cast(reading_order as varchar), 'null') || ',"source_index":' || source_index || ',"provenance":{},"extensions":{}""")}, ',' order by n) || {_TAIL} as json from p group by doc_id""",
     "q_page_pipeline": f"""with recursive {LAYOUT_BOXES_SQL.replace('boxes as', 'every as', 1)}, boxes as (select * from every where score >= 0.3e0 and type <> 'header'),
 {PAIRS_SQL},
 n as (select doc_id, i, j, case when a_wins then j else i end as loser, row_number() over (partition by doc_id order by i, j) as k from pairs where iou >= 0.5e0),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 import posixpath
+import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -96,9 +100,77 @@ def pdf_plan(info: Column, dpi: int = 150, max_pages: int = 1000, max_pixels: in
     return F.struct(pages.alias("pages"), F.when(longest > cap, F.lit(cap)).alias("scale_to"), error.alias("error"))
 
 
+#: Tags of native HTML blocks and their types.
+HTML_TAGS = (("h1", "title"), ("h2", "heading"), ("h3", "heading"), ("p", "text"), ("footer", "footer"))
+
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks (doc_id, source_index, type, text) of HTML (doc_id, html) without rendering: headings and paragraphs in order, tags taken out."""
+    names = "|".join(tag for tag, _ in HTML_TAGS)
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(rf"(?is)<({names})>(.*?)</(?:{names})>"), F.lit(0))
+    t = pages.select("doc_id", F.posexplode(found).alias("at", "raw"))
+    kinds = F.create_map(*(F.lit(x) for pair in HTML_TAGS for x in pair))
+    kind = kinds[F.lower(F.regexp_extract("raw", rf"(?is)^<({names})>", 1))]
+    return t.select("doc_id", F.col("at").cast("bigint").alias("source_index"), kind.alias("type"), F.regexp_replace("raw", "(?s)<[^>]*>", "").alias("text"))
+
+
+#: Where packed documents keep their text, and the tags of a paragraph and of a heading there.
+PACKED = {".docx": (r"word/document\.xml", "p", None), ".odt": (r"content\.xml", "p", "h"), ".odp": (r"content\.xml", "p", "h"), ".pptx": (r"ppt/slides/slide\d+\.xml", "p", None), ".epub": (r".*\.x?html?", "p", "h1")}
+MOST_PART = 64 << 20
+BLOCKS = "path string, source_index bigint, type string, text string, error string"
+
+
+def packed_text(content: bytes, ext: str) -> list[tuple[str, str]]:
+    """Type and text of the paragraphs of a packed document, part by part in order of their names' numbers, or of an EPUB's spine."""
+    part, paragraph, heading = PACKED[ext]
+    local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+
+        def parsed(name: str) -> ElementTree.Element:
+            if z.getinfo(name).file_size > MOST_PART:
+                raise ValueError(f"{name} is too large")
+            data = z.read(name)
+            if b"<!ENTITY" in data:
+                raise ValueError(f"{name} declares entities")
+            return ElementTree.fromstring(data)
+
+        names = [n for n in z.namelist() if re.fullmatch(part, n)]
+        if ext == ".epub":
+            (book,) = [n for n in z.namelist() if n.endswith(".opf")][:1] or [None]
+            if book is None:
+                raise ValueError("an EPUB without a package")
+            root = parsed(book)
+            files = {e.get("id"): posixpath.normpath(posixpath.join(posixpath.dirname(book), e.get("href", ""))) for e in root.iter() if local(e) == "item"}
+            names = [files[e.get("idref")] for e in root.iter() if local(e) == "itemref" and files.get(e.get("idref")) in z.namelist()]
+        else:
+            names.sort(key=lambda n: [int(d) for d in re.findall(r"\d+", n)])
+        out = []
+        for name in names:
+            for e in parsed(name).iter():
+                if local(e) in (paragraph, heading) and (text := "".join(e.itertext()).strip()):
+                    out.append(("title" if local(e) == heading else "text", text))
+        return out
+
+
+def packed_blocks(files: DataFrame) -> DataFrame:
+    """Text blocks of Word, presentation, OpenDocument and EPUB files (path, ext, content) without rendering, or an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"], strict=True):
+                try:
+                    rows = [(path, k, kind, text, None) for k, (kind, text) in enumerate(packed_text(bytes(content), ext))]
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows = [(path, None, None, None, f"the document is damaged: {e}")]
+                out = pd.DataFrame(rows, columns=["path", "source_index", "type", "text", "error"])
+                yield out.assign(source_index=pd.array(out["source_index"], "Int64"))
+
+    return files.where(F.col("ext").isin(*PACKED)).select("path", "ext", "content").mapInPandas(run, BLOCKS)
+
+
 def needs_converter(files: DataFrame) -> DataFrame:
     """path and error of files that only an external program can render; there is none here."""
-    return files.where(~F.col("ext").isin(*NATIVE, ".csv", ".jpg", ".jpeg")).select("path", F.concat(F.lit("no converter for "), F.col("ext")).alias("error"))
+    return files.where(~F.col("ext").isin(*NATIVE, *PACKED, ".csv", ".jpg", ".jpeg", ".html", ".htm")).select("path", F.concat(F.lit("no converter for "), F.col("ext")).alias("error"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

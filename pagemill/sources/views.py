@@ -90,6 +90,13 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of conversations: the turns are on the first; every fourth has a second without any."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    numbers = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return t.select("doc_id", F.explode(numbers).alias("page"), F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"), F.concat(F.lit("conversations/"), F.col("doc_id").cast("string")).alias("source"))
+
+
 CONVERSATION_SQL = """
 blocks as (
   select conv_id as doc_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as source_index,
@@ -122,6 +129,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         F.col("event_id").alias("ticket"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), "ts", failed.alias("failed"),
         F.when(failed, kind).alias("kind"), F.coalesce("value", F.lit(0.0)).alias("latency_ms"), (k * 3).alias("total_tokens"), (k + F.col("user_id") % 4 * 40).alias("output_tokens"),
+        (F.col("user_id") % 7).cast("double").alias("queue_ms"), (k + 100).alias("work"),
     )
 
 
@@ -130,7 +138,8 @@ done as (
   select event_id as ticket, 'm' || (user_id % 3) as model, ts, event_type = 'error' as failed,
     case when event_type = 'error' then (['cancelled', 'http_429', 'http_503', 'http_timeout', 'model_error'])[cast(user_id % 5 + 1 as int)] end as kind,
     coalesce(value, 0e0) as latency_ms, coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) * 3 as total_tokens,
-    coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) + user_id % 4 * 40 as output_tokens
+    coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) + user_id % 4 * 40 as output_tokens,
+    cast(user_id % 7 as double) as queue_ms, coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) + 100 as work
   from events)"""
 
 

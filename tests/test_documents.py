@@ -1,10 +1,16 @@
 """Layout adapters, codecs, routing, stitching, assembly, sinks and the whole pipeline."""
 
+import http.server
+import io
 import json
+import threading
+import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import images as images_module
 from pagemill.functions import text as T
 from pagemill.operators import codecs as C
 from pagemill.operators import layout as L
@@ -14,6 +20,7 @@ from pagemill.operators import sinks
 from pagemill.plans import doc_queries
 from pagemill.plans.config import ConfigError, normalised, validated
 from pagemill.plans.pipeline import Pipeline
+from pagemill.sources import files
 
 ANSWER = "doc_id bigint, page int, width int, height int, response string"
 
@@ -156,7 +163,7 @@ def test_pipeline(spark, tmp_path):
     (r,) = out.collect()
     assert r.markdown == "<!-- page: 1 -->\n\n# hello\n\n<table>\n<tr><td>1</td><td>2</td></tr>\n<tr><td>1</td><td>2</td></tr>\n</table>\n\n<!-- page: 2 -->\n\n"
     data = json.loads(r.json)
-    assert data["schema_version"] == 2 and [b["id"] for b in data["pages"][0]["blocks"]] == ["p1-s0", "p1-s2"] and data["pages"][0]["blocks"][1]["extensions"]["merged_pages"] == [2]
+    assert (data["schema_version"], data["coordinate_system"]) == (2, "page_pixels_xyxy") and [(p["page"], p["width"], p["height"]) for p in data["pages"]] == [(1, 100, 100), (2, 100, 100)] and [b["id"] for b in data["pages"][0]["blocks"]] == ["p1-s0", "p1-s2"] and data["pages"][0]["blocks"][1]["extensions"]["merged_pages"] == [2]
     written = sinks.write_documents(out, str(tmp_path / "out")).collect()
     assert len(written) == 2 and (tmp_path / "out/7/document.md").read_text() == r.markdown and not list(tmp_path.rglob("*.part"))
 
@@ -224,3 +231,111 @@ def test_layout_errors_fail_their_documents(spark):
     blocks = {d: [(b["id"], b["error"]) for page in json.loads(r.json)["pages"] for b in page["blocks"]] for d, r in out.items()}
     assert len(blocks[2]) == 4 and blocks[3] == [("p1-b0", ""), ("p2-b0", ""), ("p2-b1", "empty after clamping"), ("p2-b2", "empty after clamping")]
     assert out[1].markdown == "<!-- page: 1 -->\n\n# hello\n\n" and "failed" in out[3].markdown
+
+
+def test_pages_without_boxes_and_routes_that_read_nothing(spark):
+    box = {"label": "text", "coordinate": [0, 0, 9, 9]}
+    rows = [(1, 1, 50, 60, json.dumps({"boxes": []})), (2, 1, 50, 60, json.dumps({"boxes": [box]})), (2, 2, 50, 60, json.dumps({"boxes": []}))]
+    p = Pipeline({**CONFIG, "routes": {"*": {"action": "skip"}}})
+    out = {r.doc_id: r for r in p.documents(spark.createDataFrame(rows, ANSWER)).collect()}
+    assert out[1].markdown == "<!-- page: 1 -->\n\n" and out[1].status == "succeeded"
+    assert json.loads(out[1].json) == {"schema_version": 1, "source": "", "coordinate_system": "page_pixels_xyxy", "pages": [{"page": 1, "width": 50, "height": 60, "blocks": []}]}
+    assert [len(p["blocks"]) for p in json.loads(out[2].json)["pages"]] == [1, 0]
+
+
+def test_other_layout_adapters(spark):
+    tokens = "<|box_start|>100 100 500 500<|box_end|><|ref_start|>text<|ref_end|>"
+    polygon = json.dumps({"boxes": [{"label": "text", "score": 0.9, "polygon_points": [[1, 1], [9, 1], [9, 9], [1, 9]], "order": None}]})
+    for provider, response, version in (("mineru", tokens, 1), ("paddle.doclayout_v3.http", polygon, 2), ("pixel", json.dumps({"boxes": [{"type": "text", "bbox": [0, 0, 9, 9]}]}), 1)):
+        p = Pipeline({**CONFIG, "layout": {"model": "finder", "provider": provider}})
+        (r,) = p.documents(spark.createDataFrame([(1, 1, 100, 100, response)], ANSWER)).collect()
+        data = json.loads(r.json)
+        assert data["schema_version"] == version and data["pages"][0]["blocks"][0]["text"] == "hello" and r.status == "succeeded"
+    assert data["pages"][0]["blocks"][0]["order"] == 0
+
+
+def test_pipeline_sees_pixels(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    pixels = rng.integers(0, 200, (40, 60, 3), dtype=np.uint8)
+    found = [{"label": "figure", "coordinate": [0, 0, 30, 30], "score": 0.9}, {"label": "text", "coordinate": [5, 5, 15, 15], "score": 0.9}, {"label": "text", "coordinate": [40, 10, 55, 20], "score": 0.8}]
+    config = {
+        **CONFIG, "models": CONFIG["models"] | {"finder": {"backend": "mock", "response": json.dumps({"boxes": found})}}, "postprocess": {"composite": {"enabled": True}},
+        "routes": {"figure": {"action": "image"}, "*": {"model": "reader", "save_crop": True}},
+    }
+    images = spark.createDataFrame([(1, 1, 60, 40, pixels.tobytes())], "doc_id bigint, page int, width int, height int, rgb binary")
+    p = Pipeline(config)
+    answers = p.detected(images)
+    assert [json.loads(r.response) for r in answers.collect()] == [{"boxes": found}]
+    (r,) = p.documents(answers, images).collect()
+    blocks = {b["id"]: b for b in json.loads(r.json)["pages"][0]["blocks"]}
+    assert blocks["p1-s0"]["asset"] == "assets/page-1-box-0.png" and blocks["p1-s0"]["extensions"]["composite_children"] == [1]
+    assert [b["text"] for b in blocks.values()] == ["", "hello", "hello"] and blocks["p1-s3"]["extensions"]["recovered"] and blocks["p1-s3"]["provenance"] == {"layout_pass": 2}
+    sinks.write_assets(p.assets(answers, images), str(tmp_path)).collect()
+    (shown,) = images_module.decode((tmp_path / "1/assets/page-1-box-0.png").read_bytes())
+    assert (shown == pixels[:30, :30]).all() and len(list((tmp_path / "1/assets").iterdir())) == 3
+
+
+def test_services_keep_their_connection():
+    seen, made = [], []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            made.append(1)
+            super().setup()
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            answer = {"results": [{"text": i["prompt"]} for i in body["items"]]} if "items" in body else {"boxes": []} if body.get("prompt") == "layout" else {"text": "x"}
+            data = json.dumps(answer).encode()
+            self.send_response(503 if body.get("prompt") == "busy" else 200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    m = M.JsonModel({"url": f"http://127.0.0.1:{server.server_port}/ask", "batch_requests": True})
+    assert m.infer(b"png", "a") == "x" and json.loads(m.infer(None, "layout")) == {"boxes": []} and m.infer_batch([(None, "p"), (None, "q")]) == ["p", "q"]
+    with pytest.raises(M.ModelError) as e:
+        m.infer(None, "busy")
+    assert e.value.kind == "http_503" and m.infer(None, "b") == "x" and len(made) == 1 and seen[0]["image"].startswith("data:image/png;base64,")
+    server.shutdown()
+
+
+def test_optional_sections_of_a_configuration():
+    model = lambda **s: {**CONFIG, "models": CONFIG["models"] | {"reader": {"backend": "mock", "instances": 8, **s}}}
+    visual = {"enabled": True, "max_num_seqs": 8, "max_model_len": 100, "max_num_batched_tokens": 100, "visual_pixels_per_token": 784, "cudagraph_capture_sizes": [1, 2, 8]}
+    assert validated(model(visual_scheduler=visual))["models"]["reader"]["visual_scheduler"]["bucket_scan_limit"] == 256
+    assert validated(model(adaptive_concurrency={"enabled": True}))["models"]["reader"]["adaptive_concurrency"]["token_budget"] == 32_768
+    assert validated({**CONFIG, "execution": {"async_recognition": {"enabled": True}}})["execution"]["async_recognition"]["max_requests"] == 256
+    for bad in (
+        model(adaptive_concurrency={"enabled": True, "initial_concurrency": 9}), model(adaptive_concurrency={"backoff_ratio": 1.0}), model(adaptive_concurrency={"token_budget": 0}), model(adaptive_concurrency={"enabled": True, "initial_token_budget": 10**6}),
+        model(visual_scheduler={**visual, "cudagraph_capture_sizes": [2, 2]}), model(visual_scheduler={**visual, "cudagraph_capture_sizes": [9]}), model(visual_scheduler={"enabled": True}), model(visual_scheduler={**visual, "bucket_mode": "static"}),
+        {**CONFIG, "execution": {"async_recognition": {"workers": 0}}}, {**CONFIG, "execution": {"async_recognition": {"speed": 1}}},
+    ):
+        with pytest.raises(ConfigError):
+            validated(bad)
+
+
+def packed(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name.replace("__", "/").replace("_dot_", "."), text)
+    return out.getvalue()
+
+
+def test_packed_documents(spark):
+    word = packed(word__document_dot_xml='<w:document xmlns:w="w"><w:p><w:r><w:t>one </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:t>three</w:t></w:p></w:document>')
+    book = packed(o__book_dot_opf='<package><manifest><item id="b" href="b.xhtml"/><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="b"/><itemref idref="a"/></spine></package>', o__a_dot_xhtml="<html><p>last</p></html>", o__b_dot_xhtml="<html><h1>first</h1></html>")
+    odt = packed(content_dot_xml='<d xmlns:t="t"><t:h>head</t:h><t:p>body</t:p></d>')
+    bomb = packed(content_dot_xml='<!DOCTYPE d [<!ENTITY a "b">]><d>&a;</d>')
+    t = spark.createDataFrame([("w", ".docx", word), ("b", ".epub", book), ("o", ".odt", odt), ("x", ".odt", bomb), ("z", ".docx", b"no"), ("e", ".pdf", b"")], "path string, ext string, content binary")
+    got = sorted(((r.path, r.source_index, r.type, r.text, r.error is not None) for r in files.packed_blocks(t).collect()), key=repr)
+    assert got == [("b", 0, "title", "first", False), ("b", 1, "text", "last", False), ("o", 0, "title", "head", False), ("o", 1, "text", "body", False), ("w", 0, "text", "one two", False), ("w", 1, "text", "three", False), ("x", None, None, None, True), ("z", None, None, None, True)]

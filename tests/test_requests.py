@@ -72,10 +72,12 @@ def test_visual_buckets(spark):
 
 
 def test_admission_conserves_jobs(spark):
-    log = spark.createDataFrame([("a", i, float(i), 1000.0, 10) for i in range(50)] + [("b", 100 + i, 10.0 * i, 5.0, 10) for i in range(5)] + [("a", 99, 5000.0, 1.0, 10_000)], "server string, job bigint, arrival_ms double, service_ms double, bytes bigint")
-    got = {r.job: r.decision for r in S.admission(log, 2, 1000).collect()}
-    assert sum(d == "429" for j, d in got.items() if j < 50) == 48 and all(got[100 + i] == "202" for i in range(5)) and got[99] == "429"
-    assert {r.decision for r in S.admission(log.where("server = 'b'"), 2, 1000, 20).collect()} == {"202", "503"}
+    log = spark.createDataFrame([("a", i, float(i), 0.0, 1000.0, 0) for i in range(50)] + [("b", 100 + i, 10.0 * i, 2.0, 3.0, 10) for i in range(5)] + [("c", 200 + i, float(i), 100.0, 1.0, 600) for i in range(3)], "server string, job bigint, arrival_ms double, upload_ms double, service_ms double, bytes bigint")
+    got = {r.job: (r.decision, r.reason) for r in S.admission(log, 100, 2, 1000).collect()}
+    assert sum(d == ("429", "active job limit") for j, d in got.items() if j < 50) == 48 and all(got[100 + i] == ("202", None) for i in range(5))
+    assert [got[200 + i] for i in range(3)] == [("202", None), ("429", "upload byte limit"), ("429", "upload byte limit")]
+    few = {r.job: r.reason for r in S.admission(log.where("server = 'b'"), 3, 1, 1000).collect()}
+    assert [few[100 + i] for i in range(5)] == [None, None, None, "cumulative job limit", "cumulative job limit"]
 
 
 def test_recognition_pool(spark):
@@ -109,21 +111,60 @@ def test_submission(spark):
     assert got == [(7, "queued", None), (8, "failed", "path outside the allowed root"), (9, "failed", "path outside the allowed root"), (10, "failed", "unsupported extension"), (11, "failed", "priority out of range")]
 
 
-def test_controller():
-    c = S.Controller(budget=1000, window_ms=100, min_samples=2, cooldown_ms=50)
-    for k, work in enumerate([10, 10, 30, 30]):
-        c.observe(k * 100.0, work, False, False)
-    assert c.state == "slow_start" and c.budget == 4000
-    c.observe(1000, 1, False, True)
-    assert c.state == "hold" and c.budget == 3400
-    c.observe(1010, 1, True, False)
-    assert c.samples == []
-    for k in range(3):
-        c.observe(1100 + 100 * k, 1, True, False)
-    assert c.budget == 3400 * 0.85
+def windows(c, *rates, start=0.0, blocked=True):
+    """Feeds a controller one window of two requests for each rate (work a window)."""
+    at, budgets = start, []
+    for rate in rates:
+        for k in range(2):
+            at += 50
+            c.observe(at, rate / 2, blocked=blocked)
+        budgets.append(c.budget)
+    return at, budgets
+
+
+def test_controller_grows_and_returns():
+    c = S.Controller(budget=1000, least=500, most=8000, window_ms=100, min_samples=2, cooldown_ms=150)
+    at, budgets = windows(c, 10, 20, 22, 22.1)
+    assert budgets == [2000, 4000, 8000, 4000] and c.state == "hold" and c.quiet_until == at + 150  # a flat probe goes back
+    at, budgets = windows(c, 22, 22, start=at)
+    assert budgets == [4000, 4400] and c.state == "probe"  # growth waits for the cooldown
+    at, budgets = windows(c, 10, start=at)
+    assert budgets == [3740] and c.state == "hold"  # a loss backs off
+    assert windows(S.Controller(budget=1000, window_ms=100, min_samples=2), 10, 20, blocked=False)[1] == [1000, 1000]  # no demand
+
+
+def test_controller_at_the_ceiling_overload_and_failures():
+    c = S.Controller(budget=1000, least=500, most=1000, window_ms=100, min_samples=2, cooldown_ms=0)
+    at, budgets = windows(c, 10, 10, 10, 10)
+    assert budgets == [1000, 900, 900, 991]  # less is tried, and as fast: it stays, then grows again
+    c = S.Controller(budget=1000, least=500, most=9000, window_ms=100, min_samples=2, cooldown_ms=50)
+    c.observe(10, 1, failed=True, overload=True, inflight=2)
+    assert (c.budget, c.state, c.epoch, c.stale) == (850, "hold", 1, 2)
+    c.observe(20, 1, epoch=0, inflight=1)
+    c.observe(30, 1, epoch=0, inflight=0)
+    assert c.stale == 0 and c.seen == S.Sample(30)  # requests of the old epoch free their places and don't count
+    for k in range(4):
+        c.observe(80 + 50 * k, 1, failed=True, epoch=1)
+    assert c.budget == 722 and c.state == "hold"
+
+
+def test_controller_replay(spark):
+    rows = [("m", k, 10.0 * k, 10.0 * k + 25, 5.0, False, False, True, True) for k in range(40)]
+    log = spark.createDataFrame(rows, "model string, ticket bigint, started_ms double, at_ms double, work double, failed boolean, overload boolean, waiting boolean, blocked boolean")
+    got = [(r.ticket, r.state, r.budget) for r in S.replay_controller(log, budget=1000, least=1, most=4000, window_ms=50, min_samples=2, cooldown_ms=10).orderBy("ticket").collect()]
+    assert len(got) == 40 and got[0][2] == 1000 and {b for _, _, b in got} >= {1000, 2000} and max(b for _, _, b in got) <= 4000
     assert S.head_of_line([(1, 50), (2, 500), *((k, 1) for k in range(3, 12))], 100) == [1, 3, 4, 5, 6]
 
 
+def test_next_wave(spark):
+    rows = [("m", t, v, p, b, 0.0) for t, v, p, b in ((1, 9, 50, 0), (2, 1, 30, 0), (3, 2, 30, 0), (4, 3, 30, 0), (5, 8, 90, 0), (6, 7, 20, 0))]
+    t = spark.createDataFrame(rows, "model string, ticket bigint, visual bigint, prefill bigint, bypasses int, queued_ms double")
+    one = lambda t, **o: tuple(S.next_wave(t, (1, 2, 3), 3, 100, 1.0, 10.0, **o).first())
+    assert one(t) == ("m", 0, False, 3, [2, 3, 4])  # three requests fit the budget
+    assert one(t.withColumn("bypasses", F.lit(4))) == ("m", 1, True, 3, [1, 6, 2])  # the oldest is first, then its bucket, then the queue
+    assert one(t, scan_limit=1)[4] == [1] and one(t, free=2)[4] == [2, 3]
+
+
 def test_costs(spark):
     r = spark.range(1).select(S.token_estimate(F.lit(28), F.lit(29), F.lit("äbcde"), output=10).alias("e"), S.visual_cost(F.lit(28), F.lit(29), 5).alias("v"), S.prefill(F.lit(7), F.lit("äbcde")).alias("p"), S.static_bucket(F.lit(16), (16, 32)).alias("b"), S.ewma_scale(F.array(F.lit(2.0), F.lit(100.0))).alias("w")).first()
     assert tuple(r)[:4] == (64 + 2 + 10 + 2, 7, 64 + 2 + 7, 1) and abs(r.w - (0.8 * 1.2 + 0.2 * 4)) < 1e-12
