@@ -13,6 +13,11 @@ ADAPTERS = {"paddle": ("label", "coordinate", "pixel"), "pixel": ("type", "bbox"
 ITEMS = "struct<res:struct<boxes:array<string>>,boxes:array<string>>"
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: filters behind it can't be pushed before it and compute it again."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def items(answers: DataFrame) -> DataFrame:
     """One row (answers' columns, at, item) for each box of a JSON response, wrapped in `res` or not."""
     parsed = F.from_json("response", ITEMS)
@@ -28,7 +33,7 @@ def order_of(item: Column, given: Column, default: Column) -> Column:
 def from_json_boxes(answers: DataFrame, adapter: str = "paddle", threshold: float = 0.0, type_map: dict[str, str] | None = None) -> DataFrame:
     """Boxes of answers (doc_id, page, width, height, response): checked, clamped, filtered, with dense source_index."""
     label, corners, unit = ADAPTERS[adapter]
-    t = items(answers).withColumn("j", F.from_json("item", f"{label} string, {corners} array<double>, score double, rotation int, `order` int"))
+    t = settled(items(answers), "j", F.from_json("item", f"{label} string, {corners} array<double>, score double, rotation int, `order` int"))
     given = F.col(f"j.{corners}")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     for i, s in enumerate(SIDES):
@@ -61,15 +66,15 @@ def from_polygon_boxes(answers: DataFrame, matrix: tuple[float, ...] = (1, 0, 0,
         return F.struct(clamp(px, 0.0, w).alias("x"), clamp(py, 0.0, h).alias("y"))
 
     # Steps are columns, so that no list is read anew for each of its numbers.
-    t = t.withColumn("j", F.from_json("item", "label string, score double, `order` int, coordinate array<double>, polygon_points string"))
-    t = t.withColumn("numbers", F.transform(F.split(F.regexp_replace("j.polygon_points", r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double")))
+    t = settled(t, "j", F.from_json("item", "label string, score double, `order` int, coordinate array<double>, polygon_points string"))
+    t = settled(t, "numbers", F.transform(F.split(F.regexp_replace("j.polygon_points", r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double")))
     numbers, count = F.col("numbers"), F.floor(F.size("numbers") / 2).cast("int")
     points = F.when(F.size(numbers) >= 2, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: mapped(F.get(numbers, 2 * i), F.get(numbers, 2 * i + 1))))
-    t = t.withColumn("polygon", points).withColumn("n", F.when(F.col("polygon").isNotNull(), F.size(numbers)))
+    t = settled(t, "polygon", points).withColumn("n", F.when(F.col("polygon").isNotNull(), F.size(numbers)))
     c = F.col("j.coordinate")
     at = [F.get(c, F.lit(i)) for i in range(4)]
     corners = F.when(F.size(c) == 4, bounds(F.array(*(mapped(at[i], at[j]) for i, j in ((0, 1), (2, 1), (2, 3), (0, 3))))))
-    t = t.withColumn("hull", F.when(F.col("polygon").isNotNull(), bounds(F.col("polygon")))).withColumn("box", F.coalesce(corners, F.col("hull")))
+    t = settled(settled(t, "hull", F.when(F.col("polygon").isNotNull(), bounds(F.col("polygon")))), "box", F.coalesce(corners, F.col("hull")))
     t = t.withColumn("score", F.coalesce("j.score", F.lit(1.0))).withColumn("raw_type", F.col("j.label"))
     error = (
         F.when(F.col("box").isNull(), "no coordinate and no polygon")
@@ -79,7 +84,7 @@ def from_polygon_boxes(answers: DataFrame, matrix: tuple[float, ...] = (1, 0, 0,
         .when(~F.col("score").between(0.0, 1.0), "score out of range")
     )
     union = F.struct(F.least("box.x0", "hull.x0").alias("x0"), F.least("box.y0", "hull.y0").alias("y0"), F.greatest("box.x1", "hull.x1").alias("x1"), F.greatest("box.y1", "hull.y1").alias("y1"))
-    t = t.withColumn("error", error).withColumn("crop_bbox", F.when(F.col("hull").isNotNull() & (union != F.col("box")), union))
+    t = settled(t, "error", error).withColumn("crop_bbox", F.when(F.col("hull").isNotNull() & (union != F.col("box")), union))
     t = t.withColumn("o", order_of(F.col("item"), F.col("j.order"), F.col("at"))).where(F.col("error").isNotNull() | (F.col("score") >= threshold))
     return t.select("doc_id", "page", F.col("at").cast("bigint").alias("source_index"), "raw_type", "box.*", "score", "polygon", "crop_bbox", "o.order", "o.reading_order", "error")
 
