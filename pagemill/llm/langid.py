@@ -5,24 +5,27 @@ probability of a word is the sum over all its segmentations into pieces, found b
 product over its words. The score is the posterior of the best language under a uniform prior. Characters outside the
 vocabulary cost the same in every language.
 
-Fitting uses labelled rows only: at most about SAMPLE_DOCS documents a language (those of smallest hash), words of at most
-TRAIN_CHARS characters. Scoring covers every word of every text; each task scores a distinct word once.
+Fitting uses labelled rows only: at most about SAMPLE_DOCS different texts a language (those of smallest hash; copies count
+once, and all texts of a language that has fewer). For fitting, words are cut into pieces of TRAIN_CHARS characters. Scoring
+covers every whole word of every text; a worker remembers the scores of words for all its tasks.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text when nothing is labelled; of
+Defined cases: a null text, or one without a letter (Unicode category L: not a digit, fraction, Roman numeral sign or
+mark), is `und` with score 0; so is every text when nothing is labelled; of
 languages that tie, the first by code point wins; rows without lang don't train; repeated rows are predicted alike.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import trim
+from pagemill.llm.common import per_process, trim
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 1000
@@ -31,11 +34,11 @@ ROUNDS = 3
 #: Pseudo-count of every piece, and probability of a character that no piece covers.
 SMOOTHING, STRANGE = 0.05, 1e-7
 CELLS = 1 << 18
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: A model is languages x pieces; more languages than this are refused.
 MOST_LANGUAGES = 500
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def default_vocabulary() -> str:
@@ -177,18 +180,17 @@ def fitted(words: list[str], counts: np.ndarray, lattice: Lattice, rounds: int =
 def fit(labelled: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order of code points, and their piece probabilities, from labelled rows."""
     path = vocabulary or default_vocabulary()
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.countDistinct("h").alias("count")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return [], np.zeros((0, 0))
     steps = 1 << 30
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1, sample_docs / r["count"]) * steps))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < share[F.col("lang")])
+    sample = rows.where(F.pmod("h", F.lit(steps)) < share[F.col("lang")]).dropDuplicates(["lang", "h"])
     words = (
-        sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-        .where(F.length("word").between(1, TRAIN_CHARS - 1))
+        sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\S{{1,{TRAIN_CHARS - 1}}}"), F.lit(0))).alias("word"))
         .groupBy("lang", "word").count()
     )
 
@@ -231,14 +233,18 @@ def predictor(docs: DataFrame, langs: list[str], probs: np.ndarray, vocabulary:
     """A function of a text column: struct of lang_pred and score."""
     path = vocabulary or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast((langs, probs))  # MOST_LANGUAGES times the vocabulary at most
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(*shared.value, pieces(path))
+        kept = per_process(("langid",), dict)  # one model a worker
+        if kept.get("key") != key:
+            kept.clear()
+            kept.update(key=key, scorer=Scorer(*shared.value, pieces(path)))
+        scorer = kept["scorer"]
         for texts in parts:
             rows = [r for at in range(0, len(texts), 500) for r in scorer.predict(texts.iloc[at : at + 500].tolist())]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
-        del scorer
         trim()
 
     return run.asNondeterministic()
