@@ -4,12 +4,16 @@ Text is folded to lower-case ASCII words joined by single spaces, so a window is
 space. Matching runs on the UTF-8 bytes (as Latin-1 characters, so one byte is one symbol); matches are mapped back to word
 numbers, and for hit documents to code-point offsets of the original text.
 
-Defined cases: a null or word-less text has no words and no hits; a null or word-less benchmark item has no window; items
-that share an id count once; repeated documents each get their own row; an empty benchmark hits nothing.
+A benchmark of over BLOCK_BYTES of windows becomes several automata, which a task loads one after the other for each CHUNK of
+texts, so one is in memory at a time and each text travels to Python once.
+
+Defined cases: a null or word-less text has no words and no hits; a null or word-less benchmark item has no window; windows of
+an item without an id hit like others, and it is not among the items; items that share an id count once; repeated documents each get their own row; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -18,9 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import scratch_path
+from pagemill.llm.files import reading, writing
+
 WINDOW = 13
 #: Bytes of window text in one automaton (about 60 bytes of memory each). A larger benchmark is scanned in several blocks.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that each of several automata scans before the next one is loaded.
+CHUNK_BYTES = 32 << 20
 
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -52,11 +61,11 @@ def automata(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[aho
         a.make_automaton()
         return a
 
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         for window in windows(row["text"], width):
+            size += 0 if window in patterns else len(window)
             ids = patterns.setdefault(window, [])
-            size += 0 if ids else len(window)
-            if row["item_id"] not in ids:
+            if row["item_id"] is not None and row["item_id"] not in ids:
                 ids.append(row["item_id"])
         if size > block_bytes:
             yield built()
@@ -104,29 +113,50 @@ def spans_of(text: str, runs: list[int]) -> list[dict]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Column:
     """A struct column (RESULT) for docs: words, hit words, items, runs of hit words, and their spans in the original."""
-    sc = docs.sparkSession.sparkContext
-
-    def scanner(automaton):
-        shared = sc.broadcast(automaton)
-
-        @F.pandas_udf(RESULT)
-        def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            machine = shared.value
-            for texts, before, known in parts:
-                rows = []
-                for t, runs, ids in zip(texts, before, known, strict=True):
-                    items = set() if ids is None else set(map(int, ids))
-                    n, merged = scan(t, machine, [] if runs is None else [int(x) for x in runs], items)
-                    rows.append((n, sum(merged[1::2]) - sum(merged[::2]), sorted(items), merged, spans_of(t, merged) if merged else []))
-                yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "runs", "spans"])
-
-        return run.asNondeterministic()
-
-    none = F.lit(None).cast("array<bigint>")
-    out = None
-    for automaton in automata(benchmark, width, block_bytes):
-        out = scanner(automaton)(F.col(text), *((none, none) if out is None else (out["runs"], out["items"])))
-    return scanner(None)(F.col(text), none, none) if out is None else out
+    spark = docs.sparkSession
+    machines = automata(benchmark, width, block_bytes)
+    first, second = next(machines, None), next(machines, None)
+    shared, paths = spark.sparkContext.broadcast(first if second is None else None), []
+    while second is not None:
+        for machine in (first, second) if not paths else (second,):
+            paths.append(f"{scratch_path(spark, 'automaton')}.pickle")
+            with writing(paths[-1]) as out:
+                pickle.dump(machine, out)
+        first, second = None, next(machines, None)
+
+    def loaded() -> Iterator[ahocorasick.Automaton | None]:
+        if not paths:
+            yield shared.value
+        for path in paths:
+            with reading(path) as (f, _):
+                machine = pickle.load(f)
+            yield machine
+            del machine
+
+    def scanned(held: list[pd.Series]) -> Iterator[pd.DataFrame]:
+        found = [[(0, [], set()) for _ in texts] for texts in held]
+        for machine in loaded():
+            for texts, rows in zip(held, found, strict=True):
+                for k, t in enumerate(texts):
+                    _, runs, items = rows[k]
+                    rows[k] = (*scan(t, machine, runs, items), items)
+        for texts, rows in zip(held, found, strict=True):
+            out = [(n, sum(runs[1::2]) - sum(runs[::2]), sorted(items), runs, spans_of(t, runs) if runs else []) for t, (n, runs, items) in zip(texts, rows, strict=True)]
+            yield pd.DataFrame(out, columns=["n_words", "n_hit", "items", "runs", "spans"])
+
+    @F.pandas_udf(RESULT)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for texts in parts:
+            held.append(texts)
+            size += sum(len(t) for t in texts if t is not None)
+            if not paths or size >= CHUNK_BYTES:
+                yield from scanned(held)
+                held, size = [], 0
+        if held:
+            yield from scanned(held)
+
+    return run.asNondeterministic()(F.col(text))
 
 
 def judged(n_hit: Column, n_words: Column) -> Column:

@@ -88,7 +88,7 @@ _TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enume
 SQL: dict[str, str] = {
     "op1_decontaminate": f"""
 with d as (select row_number() over () as r, doc_id, {_FOLDED} as w from documents),
-b as (select item_id, {_FOLDED} as w from benchmark where item_id is not null),
+b as (select item_id, {_FOLDED} as w from benchmark),
 bw as (
   select distinct item_id, least(13, len(w)) as n, list_aggregate(w[i : i + least(13, len(w)) - 1], 'string_agg', ' ') as win
   from b, unnest(range(1, len(w) - least(13, len(w)) + 2)) as t(i) where len(w) > 0),
@@ -98,7 +98,7 @@ dw as (
   from (select r, w, n from d, lens where len(w) >= n) x, unnest(range(1, len(w) - n + 2)) as t(i)),
 m as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw on dw.win = bw.win and dw.n = bw.n),
 h as (select r, count(distinct i + k) as n_hit from (select distinct r, i, n from m) x, unnest(range(0, n)) as t(k) group by r),
-it as (select r, count(*) as n_items, string_agg(s, ',' order by s) as items from (select distinct r, cast(item_id as varchar) as s from m) group by r)
+it as (select r, count(*) as n_items, string_agg(s, ',' order by s) as items from (select distinct r, cast(item_id as varchar) as s from m where item_id is not null) group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
