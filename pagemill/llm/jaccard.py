@@ -21,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import materialise, trim
 from pagemill.llm.components import components
+from pagemill.llm.words import hashed, texts_of
+from pagemill.llm.words import numbered as word_numbers
 
 WORDS = 5
 #: Similarity of at least 4 / 5.
@@ -76,6 +79,27 @@ class Shingler:
         return np.unique(out)
 
 
+def shingle_sets(data: bytes, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Texts that have words, and their sets of hashed shingles, as Shingler.hashes gives them."""
+    row, code, words = word_numbers(data, offsets)
+    h, counts = hashed(words)[code], np.bincount(row, minlength=len(offsets) - 1)
+    long = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for k in range(n):
+        long = mixed(long * _P + h[k : len(long) + k])
+    some, first = np.flatnonzero(counts), np.cumsum(counts) - counts
+    sets = []
+    for r in some:
+        a, m = first[r], counts[r]
+        if m >= n:
+            sets.append(np.unique(long[a : a + m - n + 1]))
+        else:
+            one = np.full(1, m, np.uint64)
+            for k in range(m):
+                one = mixed(one * _P + h[a + k])
+            sets.append(one)
+    return some, sets
+
+
 def embedded(sets: list[np.ndarray]) -> np.ndarray:
     """A row of TOKENS minima for each set, none of which is empty."""
     if not sets:
@@ -92,18 +116,17 @@ SKETCH = "doc_id bigint, tkey bigint, digest binary, sketch binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 400):
-                part = batch.iloc[at : at + 400]
-                sets = [shingler.hashes(t) for t in part["text"]]
-                some = [len(s) > 0 for s in sets]
-                sets = [s for s in sets if len(s)]
-                yield part.loc[some, ["doc_id", "tkey"]].assign(digest=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], sketch=[row.tobytes() for row in embedded(sets)])
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, _, data, offsets in texts_of(batch.column(2), 400):
+                some, sets = shingle_sets(data, offsets)
+                if sets:
+                    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                    yield pa.RecordBatch.from_pydict({"doc_id": ids[at + some], "tkey": keys[at + some], "digest": digests, "sketch": [row.tobytes() for row in embedded(sets)]})
         trim()
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), tkey().alias("tkey"), "text").mapInPandas(run, SKETCH)
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), tkey().alias("tkey"), "text").mapInArrow(run, SKETCH)
 
 
 def runs_needed(depth: int = DEPTH, recall: float = TARGET_RECALL) -> int:
