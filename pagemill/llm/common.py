@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import shutil
 import sys
@@ -19,24 +20,29 @@ from pyspark.sql import functions as F
 #: Words as the contracts for whole texts define them.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[str] = []
+#: The list that takes the scratch paths made in this thread, where one does.
+_taken: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset: one of our own on a single machine, else one in the warehouse."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        own = tempfile.mkdtemp(prefix="pagemill-scratch-")  # one machine: no cluster is without the setting
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
+        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            own = tempfile.mkdtemp(prefix="pagemill-scratch-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            path = f"file://{own}"
+        else:  # a folder of one machine would be lost on the others
+            path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_pagemill"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (taken := _taken.get()) is not None:
+        taken.append(path)
     return path
 
 
@@ -66,11 +72,11 @@ def trim() -> None:
 @contextlib.contextmanager
 def tracked(paths: list[str]) -> Iterator[None]:
     """Adds to paths the scratch paths that are made inside."""
-    before = len(_made)
+    token = _taken.set(paths)
     try:
         yield
     finally:
-        paths += _made[before:]
+        _taken.reset(token)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:

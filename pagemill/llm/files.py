@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark import TaskContext
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names of the same store
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

@@ -34,11 +34,11 @@ def plain_contamination(text, width=13):
     for ident, item in BENCH:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (item or "").lower())
         n = min(width, len(w))
-        for i in range(len(w) - n + 1 if n and ident is not None else 0):
+        for i in range(len(w) - n + 1 if n else 0):
             for j in range(len(words) - n + 1):
                 if words[j : j + n] == w[i : i + n]:
                     hit.update(range(j, j + n))
-                    items.add(ident)
+                    items |= {ident} - {None}
     return len(words), len(hit), sorted(items), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
@@ -49,7 +49,7 @@ def test_contamination(spark, docs, block):
     want = sorted(((d, *plain_contamination(t)) for d, t, *_ in TEXTS), key=repr)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got), key=repr) == want
     spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in got}
-    assert [TEXTS[0][1][a:b] for a, b in spans[0]] == [ITEM.upper()] and spans[4] == []
+    assert [TEXTS[0][1][a:b] for a, b in spans[0]] == [ITEM.upper()] and len(spans[4]) == 1 and spans[8] == []
     kept = decontaminate.decontaminated(docs, bench, block_bytes=block)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 4, 5, 6, 7, 8} & {r.doc_id for r in got if not r.contaminated}
 
@@ -102,6 +102,52 @@ def test_personal_data_by_context(spark):
     assert got[1000] == [(27, 38)] and got[1001] == [] and not any(got[d] for d, _ in good)
 
 
+def test_bootstrap_finds_what_no_base_pattern_does(spark):
+    """Secrets by their shape's contexts, then other strings there; a base kind that seeds lack is found again by its contexts."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    secrets = [(i, f'{prose(9)} token = "{rng.bytes(16).hex()}" {prose(5)}') for i in range(40)]
+    letters = [(100, f'{prose(4)} TOKEN = "swordfish" {prose(4)}'), (101, "key:correct"), (102, "token = ")]
+    mails = [(200 + i, f"{prose(5)} reach me at {word()}@{word()}.example, {prose(6)}") for i in range(60)]
+    others = [(300 + i, f"{prose(5)} reach me at {word()}{i}, {prose(6)}") for i in range(3)]
+    clean = [(400 + i, f"{prose(20)} token {prose(5)} = {prose(9)}") for i in range(40)]
+    rows = secrets + letters + mails + others + clean + [(None, secrets[0][1]), (500, None), (501, "")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    text = dict(rows)
+    cut = {d: [text[d][a:b] for a, b in spans] for d, spans in got.items() if spans}
+    assert all(len(cut[i][0]) == 32 for i in range(40)) and cut[100] == ["swordfish"] and cut[None] == cut[0]
+    assert all(cut[300 + i] == [text[300 + i].split("at ")[1].split(",")[0]] for i in range(3))
+    assert set(cut) == {*range(40), None, 100, 300, 301, 302}
+
+
+def test_letters_of_language_identification():
+    known = langid.Scorer(["en"], np.full((2, 1), 0.5), ["a"])
+    assert [known.predict([t])[0][0] for t in ("½", "²", "①", "Ⅷ", "12 _ -", "", None)] == ["und"] * 7
+    assert [known.predict([t])[0][0] for t in ("é", "中", "ª", "a1", "ـ")] == ["en"] * 5
+
+
+def test_predictions_equal_brute_force():
+    """Every segmentation listed, on a small vocabulary; ties go to the first language."""
+    vocabulary = ["▁", "a", "b", "ab", "▁a", "ba"]
+    rng = np.random.default_rng(1)
+    probs = rng.dirichlet(np.ones(7), 3).T
+    probs[:, 1] = probs[:, 0]
+    scorer = langid.Scorer(["de", "en", "fr"], probs, vocabulary)
+
+    def ways(w):
+        if not w:
+            return np.ones(3)
+        found = [n for n in range(1, 3) if w[:n] in vocabulary and n <= len(w)]
+        total = sum((probs[vocabulary.index(w[:n])] * ways(w[n:]) for n in found), np.zeros(3))
+        return total if 1 in found else total + probs[6] * ways(w[1:])
+
+    for text in ("a", "ab ba", "abba b", "axb", "bab aab b"):
+        p = np.prod([ways("▁" + w) for w in text.split()], axis=0)
+        lang, score = scorer.predict([text])[0]
+        assert lang == ("de" if p[0] >= p[2] else "fr") and abs(score - max(p) / p.sum()) < 1e-9
+
+
 def test_language_identification(spark):
     say = {"en": "the house of the river was there with that thing and the weather ", "fr": "la maison est dans le jardin avec des fleurs pour une femme ", "de": "das haus und der garten sind nicht so gross wie die strasse "}
     rows = [(i, say[k] * (1 + i % 3), k) for i in range(120) for k in [("en", "fr", "de")[i % 3]]]
