@@ -42,6 +42,8 @@ STRONG = r"(?<![A-Za-z0-9_])(?=(?:[A-Za-z_]*[0-9]){3})(?=[0-9_]*[A-Za-z])[A-Za-z
 AFFIX = r"^(?:.*[=:])?[^\p{L}\p{N}+]*"
 MARKS = r"[^\p{L}\p{N}]*$"
 CONTEXT, CYCLES = 200, 3
+#: The words and marks of a context; a pattern has one value of those that it is made of.
+CONTEXT_OF = ("p2", "p1", "nx", "prefix")
 
 ROUNDS, SUPPORT, CONFIDENCE, TRUST = 3, 5.0, 0.8, 0.9
 #: Rows (patterns, context words, values, documents with added spans; some 100 bytes each) up to which they are broadcast.
@@ -118,9 +120,9 @@ def hinted(df: DataFrame, small: DataFrame | None = None) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """Tokens with their neighbours: an array of structs."""
-    t, none = F.split(text, r"\s", -1), F.lit("")
-    both = F.arrays_zip(t.alias("token"), F.concat(F.array(none), t).alias("p1"), F.concat(F.array(none, none), t).alias("p2"), F.concat(F.slice(t, 2, 1 << 30), F.array(none)).alias("nx"))
+    """Tokens with their neighbours in lower case: an array of structs."""
+    t, low, none = F.split(text, r"\s", -1), F.split(F.lower(text), r"\s", -1), F.lit("")
+    both = F.arrays_zip(t.alias("token"), F.concat(F.array(none), low).alias("p1"), F.concat(F.array(none, none), low).alias("p2"), F.concat(F.slice(low, 2, 1 << 30), F.array(none)).alias("nx"))
     return F.slice(both, 1, F.size(t))
 
 
@@ -131,28 +133,42 @@ def tokens(docs: DataFrame, masked: bool) -> DataFrame:
     if masked:
         text = F.when(text.rlike("[0-9][ )(-]+[0-9]"), F.regexp_replace(F.regexp_replace(text, PHONE, "\x01"), CARD, "\x01")).otherwise(text)
     rows = docs.select("doc_id", tkey.alias("tkey"), F.posexplode(words_of(text)).alias("place", "w"))
-    return rows.select("doc_id", "tkey", "place", F.col("w.token").alias("token"), *(F.lower(F.col(f"w.{c}")).alias(c) for c in ("p1", "p2", "nx"))).where("token <> ''")
+    return rows.select("doc_id", "tkey", "place", *(F.col(f"w.{c}").alias(c) for c in ("token", "p1", "p2", "nx"))).where("token <> ''")
 
 
 def occurrences(found: DataFrame, *more: str) -> DataFrame:
     """found (token and its neighbours) with the columns of patterns(), and the lengths of prefix and value."""
-    prefix = F.regexp_extract("token", AFFIX, 0)
-    rest = F.substring(F.col("token"), F.length(prefix) + 1, F.length("token"))
-    value = F.regexp_replace(rest, MARKS, "")
-    out = found.withColumns({"_value": value, "_prefix": prefix, "_suffix": F.regexp_extract(rest, MARKS, 0)}).where("_value <> ''")
-    return out.select(
-        *more, F.length("_prefix").alias("before"), F.length("_value").alias("long"),
-        F.struct(F.lower("_value").alias("value"), F.lower("_prefix").alias("prefix"), "p1", "p2", F.lower("_suffix").alias("suffix"), "nx").alias("w"),
-    )
+    # Each step is a generated column: it is computed once a token, however often the next ones use it.
+    once = lambda df, name, value: df.select("*", F.explode_outer(F.array(value)).alias(name))
+    out = once(found, "_prefix", F.regexp_extract("token", AFFIX, 0))
+    rest = F.substring(F.col("token"), F.length("_prefix") + 1, F.length("token"))
+    out = once(out, "_value", F.regexp_replace(rest, MARKS, "")).where("_value <> ''")
+    suffix = F.substring(rest, F.length("_value") + 1, F.length("token"))
+    out = once(out, "w", F.struct(F.lower("_value").alias("value"), F.lower("_prefix").alias("prefix"), "p1", "p2", F.lower(suffix).alias("suffix"), "nx"))
+    return out.select(*more, F.length("_prefix").alias("before"), F.length("_value").alias("long"), "w")
 
 
 def inside(found: DataFrame, known: DataFrame, *more: str) -> DataFrame:
-    """Occurrences of tokens in known patterns (pattern, p1, and prefix of a K pattern): more, before, long, w, pattern."""
+    """Occurrences of tokens in known patterns (pattern, p1, p2, nx, prefix): more, before, long, w, pattern.
+
+    Hashes of the words of a context rule nearly all tokens out, before any expression is matched.
+    """
     known = materialise(known, "known")
-    words = known.where("pattern not like 'K %'").select(F.col("p1").alias("_p")).distinct()
-    keys = known.where("pattern like 'K %'").select(F.col("prefix").alias("_k")).distinct()
+    kind = F.substring("pattern", 1, 1)
+    sets = {"L": F.xxhash64("p2", "p1"), "B": F.xxhash64("p1", "nx"), "S": F.xxhash64("p1"), "K": F.xxhash64("prefix")}
+    bare = known.where((kind == "S") & ~F.col("pattern").rlike("[9@]|hex")).limit(1).count() > 0  # a shape of letters only
+    likely = F.lit(True) if bare else F.col("token").rlike("[0-9@]")
     key = F.when(F.contains("token", F.lit("=")) | F.contains("token", F.lit(":")), F.lower(F.regexp_extract("token", AFFIX, 0)))
-    near = found.join(hinted(words, known), F.col("p1") == F.col("_p"), "left").join(hinted(keys, known), key == F.col("_k"), "left").where("_p is not null or _k is not null")
+    asked = {"L": F.xxhash64("p2", "p1"), "B": F.xxhash64("p1", "nx"), "S": F.when(likely, F.xxhash64("p1")), "K": F.when(key.isNotNull(), F.xxhash64(key))}
+    kinds = [r[0] for r in known.select(kind).distinct().collect()]  # L, B, S, K
+    near = found
+    for k in kinds:
+        near = near.join(hinted(known.where(kind == k).select(sets[k].alias(f"_{k}")).distinct(), known), asked[k] == F.col(f"_{k}"), "left")
+    if not kinds:
+        return occurrences(near, *more).select("*", F.lit("").alias("pattern")).limit(0)
+    hit = F.coalesce(*(F.col(f"_{k}") for k in kinds)).isNotNull()
+    # The token depends on the joins, so filters on its parts can't be pushed before them.
+    near = near.where(hit).withColumn("token", F.when(hit, F.col("token")))
     every = occurrences(near, *more).select("*", F.explode(patterns(F.col("w"))).alias("pattern"))
     return every.join(hinted(known.select("pattern").distinct(), known), "pattern")
 
@@ -170,12 +186,12 @@ def accepted(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, c
 
 
 def learned(docs: DataFrame, rows: DataFrame, cycles: int = CYCLES, support: float = SUPPORT, **options) -> DataFrame | None:
-    """Accepted patterns (pattern, p1, prefix, confidence) of docs, from the seeds of rows (as of scanned()); None where no seeds share one."""
+    """Accepted patterns (pattern, their words, confidence) of docs, from the seeds of rows (as of scanned()); None where no seeds share one."""
     seeds = rows.where(F.size("seeds") > 0).select(F.explode("seeds").alias("w")).distinct()
-    seeds = materialise(seeds.select(F.explode(patterns(F.col("w"))).alias("pattern"), "w.p1", "w.prefix", "w.value").distinct(), "seeds")
+    seeds = materialise(seeds.select(F.explode(patterns(F.col("w"))).alias("pattern"), *(F.col(f"w.{c}") for c in CONTEXT_OF), "w.value").distinct(), "seeds")
     out = None
     for cycle in range(cycles):
-        enough = seeds.groupBy("pattern").agg(F.countDistinct("value").alias("n"), F.min("p1").alias("p1"), F.min("prefix").alias("prefix")).where(F.col("n") >= support)
+        enough = seeds.groupBy("pattern").agg(F.countDistinct("value").alias("n"), *(F.min(c).alias(c) for c in CONTEXT_OF)).where(F.col("n") >= support)
         enough = materialise(enough.drop("n"), "enough")
         if not enough.take(1):
             return out
@@ -191,7 +207,7 @@ def learned(docs: DataFrame, rows: DataFrame, cycles: int = CYCLES, support: flo
         if cycle + 1 == cycles or not new.take(1):
             return out
         bare = tokens(docs, True).withColumn("value", F.lower(F.regexp_replace(F.btrim("token", F.lit("\"'()[]{}<>,.;!?")), "^.*[=:]", "")))
-        found = occurrences(bare.join(hinted(new), "value")).select(F.explode(patterns(F.col("w"))).alias("pattern"), "w.p1", "w.prefix", "w.value")
+        found = occurrences(bare.join(hinted(new), "value")).select(F.explode(patterns(F.col("w"))).alias("pattern"), *(F.col(f"w.{c}") for c in CONTEXT_OF), "w.value")
         seeds = materialise(seeds.unionByName(found.join(hinted(new), "value").select(*seeds.columns)).distinct(), "seeds")
     return out
 
@@ -202,7 +218,7 @@ def discovered(docs: DataFrame, rows: DataFrame, **options) -> DataFrame | None:
     good = learned(docs, rows, **options)
     if good is None or not good.take(1):
         return None
-    found = inside(tokens(docs, False), good.select("pattern", "p1", "prefix"), "doc_id", "tkey", "place").drop("w").distinct()
+    found = inside(tokens(docs, False), good.select("pattern", *CONTEXT_OF), "doc_id", "tkey", "place").drop("w").distinct()
     per = found.join(hinted(good.select("pattern", "confidence"), good), "pattern").groupBy("doc_id", "tkey", "place", "before", "long")
     sure = per.agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("chance")).where(F.col("chance") >= trust)
     places = materialise(sure.groupBy(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t")).agg(F.collect_list(F.struct("place", "before", "long")).alias("places")), "places")
