@@ -229,15 +229,15 @@ class Scorer:
         return out
 
 
-def predictor(docs: DataFrame, langs: list[str], probs: np.ndarray, vocabulary: str | None = None) -> Column:
-    """A function of a text column: struct of lang_pred and score."""
+def predictor(docs: DataFrame, langs: list[str], probs: np.ndarray, vocabulary: str | None = None, keep: bool = True) -> Column:
+    """A function of a text column: struct of lang_pred and score. keep: workers remember words between tasks (some 30 MB each)."""
     path = vocabulary or default_vocabulary()
     shared = docs.sparkSession.sparkContext.broadcast((langs, probs))  # MOST_LANGUAGES times the vocabulary at most
     key = uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        kept = per_process(("langid",), dict)  # one model a worker
+        kept = per_process(("langid",), dict) if keep else {}  # one model a worker
         if kept.get("key") != key:
             kept.clear()
             kept.update(key=key, scorer=Scorer(*shared.value, pieces(path)))
@@ -245,6 +245,7 @@ def predictor(docs: DataFrame, langs: list[str], probs: np.ndarray, vocabulary:
         for texts in parts:
             rows = [r for at in range(0, len(texts), 500) for r in scorer.predict(texts.iloc[at : at + 500].tolist())]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        del kept, scorer
         trim()
 
     return run.asNondeterministic()
@@ -267,5 +268,5 @@ def identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFram
     while mark in docs.columns:
         mark += "_"
     langs, probs = fit(docs.where(~held_out(F.col("doc_id"))), **options)
-    run = predictor(docs, langs, probs)
+    run = predictor(docs, langs, probs, keep=False)  # the next steps of a pipeline need the memory
     return docs.withColumn(mark, run("text")).where((F.col(mark)["lang_pred"] != UNKNOWN) & (F.col(mark)["score"] >= least_score)).drop(mark)
