@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction. DataFrame functions only.
 
 Base spans (email, ip, card, phone) come from regular expressions with checks. They are the seeds, together with secret-like
-strings (STRONG: long runs of letters and digits). Around each seed stand lexical patterns, compared without case:
+strings (RUN, STRONG: long runs of letters and digits). Around each seed stand lexical patterns, compared without case:
 
 * L: the two words before, * B: the word before and the word behind, * S: the word before and the value's shape,
 * K: what the value's own token has before it up to its last `=` or `:`.
@@ -36,8 +36,9 @@ IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A whole run of digits, single spaces and hyphens between them, of 14 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Secret-like strings: runs of letters, digits and underscores with three digits and a letter.
-STRONG = r"(?<![A-Za-z0-9_])(?=(?:[A-Za-z_]*[0-9]){3})(?=[0-9_]*[A-Za-z])[A-Za-z0-9_]{20,}+"
+#: Secret-like strings: whole runs of letters, digits and underscores, of them those with three digits and a letter.
+RUN = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+"
+STRONG = "^(?=(?:[A-Za-z_]*[0-9]){3})(?=[0-9_]*[A-Za-z])"
 #: What a token has before its value: up to the last = or :, and marks.
 AFFIX = r"^(?:.*[=:])?[^\p{L}\p{N}+]*"
 MARKS = r"[^\p{L}\p{N}]*$"
@@ -86,7 +87,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_phone", F.expr(f"filter(_phone, x -> length({DIGITS}) between 10 and 15)"))
     base = F.concat(*(F.expr(f"transform(_{k}, x -> named_struct('start', x.start, 'rank', {n}, 'end', x.end))") for n, k in enumerate(KINDS)))
     df = df.withColumn("base", F.array_sort(base))
-    df = located(df, "_strong", STRONG, F.col("_digit"))
+    df = located(df, "_strong", RUN, F.col("_digit"))
+    df = df.withColumn("_strong", F.expr(f"filter(_strong, x -> x.value rlike r'{STRONG}')"))
     around = F.expr(f"""
       transform(concat(transform(base, s -> named_struct('start', s.start, 'end', s.end)), transform(_strong, s -> named_struct('start', s.start, 'end', s.end))),
         s -> named_struct('value', lower(substring(_text, s.start + 1, s.end - s.start)),
@@ -119,21 +121,25 @@ def hinted(df: DataFrame, small: DataFrame | None = None) -> DataFrame:
     return F.broadcast(df) if (small or df).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def words_of(text: Column) -> Column:
-    """Tokens with their neighbours in lower case: an array of structs."""
-    t, low, none = F.split(text, r"\s", -1), F.split(F.lower(text), r"\s", -1), F.lit("")
-    both = F.arrays_zip(t.alias("token"), F.concat(F.array(none), low).alias("p1"), F.concat(F.array(none, none), low).alias("p2"), F.concat(F.slice(low, 2, 1 << 30), F.array(none)).alias("nx"))
-    return F.slice(both, 1, F.size(t))
-
-
 def tokens(docs: DataFrame, masked: bool) -> DataFrame:
-    """doc_id, tkey, place, token and neighbours in lower case. masked: without what spans of several tokens hold."""
+    """doc_id, tkey, place of each token, the word before, and the tokens of its text (_low: in lower case; _own: as they are, where lengths differ). masked: without what spans of several tokens hold."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tkey = F.xxhash64(text)
     if masked:
         text = F.when(text.rlike("[0-9][ )(-]+[0-9]"), F.regexp_replace(F.regexp_replace(text, PHONE, "\x01"), CARD, "\x01")).otherwise(text)
-    rows = docs.select("doc_id", tkey.alias("tkey"), F.posexplode(words_of(text)).alias("place", "w"))
-    return rows.select("doc_id", "tkey", "place", *(F.col(f"w.{c}").alias(c) for c in ("token", "p1", "p2", "nx"))).where("token <> ''")
+    for space in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))  # so that the split needs no expression
+    rows = docs.select("doc_id", tkey.alias("tkey"), text.alias("_text"), F.lower(text).alias("_lower"))
+    # Lower case never has fewer characters: where it has as many, it has them in the same places.
+    own = F.when(F.length("_text") != F.length("_lower"), F.split("_text", " ", -1))
+    rows = rows.select("doc_id", "tkey", own.alias("_own"), F.split("_lower", " ", -1).alias("_low"))
+    return rows.select("doc_id", "tkey", "_own", "_low", F.posexplode(F.concat(F.array(F.lit("")), "_low")).alias("place", "p1")).where(F.get("_low", F.col("place")) != "")
+
+
+def spelled(rows: DataFrame) -> DataFrame:
+    """doc_id, tkey, place, token and neighbours in lower case of rows of tokens(). The token is so, too, where that keeps its length."""
+    at = lambda tokens, ahead: F.coalesce(F.get(tokens, F.col("place") + ahead), F.lit(""))
+    return rows.select("doc_id", "tkey", "place", at(F.coalesce("_own", "_low"), 0).alias("token"), "p1", at("_low", -2).alias("p2"), at("_low", 1).alias("nx"))
 
 
 def occurrences(found: DataFrame, *more: str) -> DataFrame:
@@ -148,10 +154,11 @@ def occurrences(found: DataFrame, *more: str) -> DataFrame:
     return out.select(*more, F.length("_prefix").alias("before"), F.length("_value").alias("long"), "w")
 
 
-def inside(found: DataFrame, known: DataFrame, *more: str) -> DataFrame:
-    """Occurrences of tokens in known patterns (pattern, p1, p2, nx, prefix): more, before, long, w, pattern.
+def inside(rows: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """Occurrences of tokens (rows of tokens()) in known patterns (pattern, p1, p2, nx, prefix): more, before, long, w, pattern.
 
-    Hashes of the words of a context rule nearly all tokens out, before any expression is matched.
+    Hashes of the words of a context rule nearly all tokens out, before any expression is matched. While the known words are
+    few, the word before does so before a token becomes a row of its own; beyond that, token and neighbours are shuffled.
     """
     known = materialise(known, "known")
     kind = F.substring("pattern", 1, 1)
@@ -161,7 +168,12 @@ def inside(found: DataFrame, known: DataFrame, *more: str) -> DataFrame:
     key = F.when(F.contains("token", F.lit("=")) | F.contains("token", F.lit(":")), F.lower(F.regexp_extract("token", AFFIX, 0)))
     asked = {"L": F.xxhash64("p2", "p1"), "B": F.xxhash64("p1", "nx"), "S": F.when(likely, F.xxhash64("p1")), "K": F.when(key.isNotNull(), F.xxhash64(key))}
     kinds = [r[0] for r in known.select(kind).distinct().collect()]  # L, B, S, K
-    near = found
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        first = known.where(kind != "K").select(F.xxhash64("p1").alias("_first")).distinct()
+        near = rows.join(F.broadcast(first), F.xxhash64("p1") == F.col("_first"), "left")
+        keyed = F.contains(F.get("_low", F.col("place")), F.lit("=")) | F.contains(F.get("_low", F.col("place")), F.lit(":"))
+        rows = near.where(F.col("_first").isNotNull() | keyed if "K" in kinds else F.col("_first").isNotNull())
+    near = spelled(rows)
     for k in kinds:
         near = near.join(hinted(known.where(kind == k).select(sets[k].alias(f"_{k}")).distinct(), known), asked[k] == F.col(f"_{k}"), "left")
     if not kinds:
@@ -206,7 +218,8 @@ def learned(docs: DataFrame, rows: DataFrame, cycles: int = CYCLES, support: flo
         new = materialise(new, "new")
         if cycle + 1 == cycles or not new.take(1):
             return out
-        bare = tokens(docs, True).withColumn("value", F.lower(F.regexp_replace(F.btrim("token", F.lit("\"'()[]{}<>,.;!?")), "^.*[=:]", "")))
+        bare = spelled(tokens(docs, True)).withColumn("value", F.lower(F.btrim("token", F.lit("\"'()[]{}<>,.;!?"))))
+        bare = bare.withColumn("value", F.when(F.col("value").rlike("[=:]"), F.regexp_replace("value", "^.*[=:]", "")).otherwise(F.col("value")))
         found = occurrences(bare.join(hinted(new), "value")).select(F.explode(patterns(F.col("w"))).alias("pattern"), *(F.col(f"w.{c}") for c in CONTEXT_OF), "w.value")
         seeds = materialise(seeds.unionByName(found.join(hinted(new), "value").select(*seeds.columns)).distinct(), "seeds")
     return out
