@@ -121,6 +121,16 @@ def test_bootstrap_finds_what_no_base_pattern_does(spark):
     assert set(cut) == {*range(40), None, 100, 300, 301, 302}
 
 
+def test_tokens_and_neighbours(spark):
+    rows = spark.createDataFrame([(1, "A\tbc  D=1"), (2, "\u0130x Y"), (3, None), (4, "")], "doc_id long, text string")
+    out = pii.spelled(pii.tokens(rows, False)).select("doc_id", "place", "token", "p1", "p2", "nx").collect()
+    # Two white spaces in a row leave an empty word; a text whose length changes in lower case keeps its own tokens.
+    assert sorted(map(tuple, out)) == [
+        (1, 0, "a", "", "", "bc"), (1, 1, "bc", "a", "", ""), (1, 3, "d=1", "", "bc", ""),
+        (2, 0, "\u0130x", "", "", "y"), (2, 1, "Y", "i\u0307x", "", ""),
+    ]
+
+
 def test_letters_of_language_identification():
     known = langid.Scorer(["en"], np.full((2, 1), 0.5), ["a"])
     assert [known.predict([t])[0][0] for t in ("½", "²", "①", "Ⅷ", "12 _ -", "", None)] == ["und"] * 7
