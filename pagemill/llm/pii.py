@@ -7,7 +7,9 @@ strings (RUN, STRONG: long runs of letters and digits). Around each seed stand l
 * K: what the value's own token has before it up to its last `=` or `:`.
 
 Marks that touch the value (quotes, brackets) belong to its pattern. Patterns around SUPPORT different seeds are looked up in
-all tokens of all texts; any token there, whatever it looks like, is an instance. Patterns and instances (values) form a graph.
+all tokens of all texts; any token there, whatever it looks like, is an instance. Patterns of common words, whose counts over
+all texts prove that they can't be accepted, are left out first; should more values be trusted than the proof allows, they
+are looked up after all, so they change no result. Patterns and instances (values) form a graph.
 In each of ROUNDS rounds a pattern's confidence is the share of trusted values among its values (with one doubtful value
 added), patterns with enough support and confidence are accepted, and a value is trusted by the chance that not all of its
 accepted patterns err. Values that come to be trusted so are seeds of another cycle, up to CYCLES or until there is none. At
@@ -42,11 +44,14 @@ STRONG = "^(?=(?:[A-Za-z_]*[0-9]){3})(?=[0-9_]*[A-Za-z])"
 #: What a token has before its value: up to the last = or :, and marks.
 AFFIX = r"^(?:.*[=:])?[^\p{L}\p{N}+]*"
 MARKS = r"[^\p{L}\p{N}]*$"
+LETTERS = r"^\p{L}+$"
 CONTEXT, CYCLES = 200, 3
 #: The words and marks of a context; a pattern has one value of those that it is made of.
 CONTEXT_OF = ("p2", "p1", "nx", "prefix")
 
 ROUNDS, SUPPORT, CONFIDENCE, TRUST = 3, 5.0, 0.8, 0.9
+#: Values of letters only from which a pattern may be left out of a look-up, where its counts show that it can't be accepted.
+WIDE = 1000
 #: Rows (patterns, context words, values, documents with added spans; some 100 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -154,66 +159,110 @@ def occurrences(found: DataFrame, *more: str) -> DataFrame:
     return out.select(*more, F.length("_prefix").alias("before"), F.length("_value").alias("long"), "w")
 
 
-def inside(rows: DataFrame, known: DataFrame, *more: str) -> DataFrame:
-    """Occurrences of tokens (rows of tokens()) in known patterns (pattern, p1, p2, nx, prefix): more, before, long, w, pattern.
+def hits(rows: DataFrame, known: DataFrame, kinds: list[str]) -> DataFrame:
+    """Tokens and neighbours of those rows of tokens() that stand in contexts of known (materialised) patterns of kinds; hashes _L, _B, ... tell which.
 
     Hashes of the words of a context rule nearly all tokens out, before any expression is matched. While the known words are
     few, the word before does so before a token becomes a row of its own; beyond that, token and neighbours are shuffled.
     """
-    known = materialise(known, "known")
     kind = F.substring("pattern", 1, 1)
     sets = {"L": F.xxhash64("p2", "p1"), "B": F.xxhash64("p1", "nx"), "S": F.xxhash64("p1"), "K": F.xxhash64("prefix")}
-    bare = known.where((kind == "S") & ~F.col("pattern").rlike("[9@]|hex")).limit(1).count() > 0  # a shape of letters only
+    bare = "S" in kinds and known.where((kind == "S") & ~F.col("pattern").rlike("[9@]|hex")).limit(1).count() > 0  # a shape of letters only
     likely = F.lit(True) if bare else F.col("token").rlike("[0-9@]")
     key = F.when(F.contains("token", F.lit("=")) | F.contains("token", F.lit(":")), F.lower(F.regexp_extract("token", AFFIX, 0)))
     asked = {"L": F.xxhash64("p2", "p1"), "B": F.xxhash64("p1", "nx"), "S": F.when(likely, F.xxhash64("p1")), "K": F.when(key.isNotNull(), F.xxhash64(key))}
-    kinds = [r[0] for r in known.select(kind).distinct().collect()]  # L, B, S, K
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        first = known.where(kind != "K").select(F.xxhash64("p1").alias("_first")).distinct()
+        first = known.where(kind.isin(kinds) & (kind != "K")).select(F.xxhash64("p1").alias("_first")).distinct()
         near = rows.join(F.broadcast(first), F.xxhash64("p1") == F.col("_first"), "left")
         keyed = F.contains(F.get("_low", F.col("place")), F.lit("=")) | F.contains(F.get("_low", F.col("place")), F.lit(":"))
         rows = near.where(F.col("_first").isNotNull() | keyed if "K" in kinds else F.col("_first").isNotNull())
     near = spelled(rows)
     for k in kinds:
         near = near.join(hinted(known.where(kind == k).select(sets[k].alias(f"_{k}")).distinct(), known), asked[k] == F.col(f"_{k}"), "left")
-    if not kinds:
-        return occurrences(near, *more).select("*", F.lit("").alias("pattern")).limit(0)
     hit = F.coalesce(*(F.col(f"_{k}") for k in kinds)).isNotNull()
     # The token depends on the joins, so filters on its parts can't be pushed before them.
-    near = near.where(hit).withColumn("token", F.when(hit, F.col("token")))
-    every = occurrences(near, *more).select("*", F.explode(patterns(F.col("w"))).alias("pattern"))
+    return near.where(hit).withColumn("token", F.when(hit, F.col("token")))
+
+
+def inside(rows: DataFrame, known: DataFrame, *more: str) -> DataFrame:
+    """Occurrences of tokens (rows of tokens()) in known patterns (pattern, p1, p2, nx, prefix): more, before, long, w, pattern."""
+    known = materialise(known, "known")
+    kinds = [r[0] for r in known.select(F.substring("pattern", 1, 1)).distinct().collect()]  # L, B, S, K
+    if not kinds:
+        return occurrences(spelled(rows), *more).select("*", F.lit("").alias("pattern")).limit(0)
+    every = occurrences(hits(rows, known, kinds), *more).select("*", F.explode(patterns(F.col("w"))).alias("pattern"))
     return every.join(hinted(known.select("pattern").distinct(), known), "pattern")
 
 
-def accepted(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
-    """Accepted patterns (pattern, confidence), and trusted values that aren't seeds, from edges (pattern, value, seed), one row a pair."""
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
+def hopeless(docs: DataFrame, known: DataFrame, confidence: float = CONFIDENCE, least: int = WIDE) -> DataFrame:
+    """Those of known patterns (materialised, n: seeds) that can't be accepted, and spare: while no more values of letters only than that are trusted.
+
+    A pattern is accepted only if (1 - confidence) * trusted >= confidence * (doubtful + 1). Tokens of letters only are values
+    as they stand; a count of different ones bounds the doubtful values from below, a count of other tokens the trusted ones
+    from above. The counts are sketches, so no value is kept; each is taken as 1.25 times off, some five times its error.
+    """
+    bare = known.where((F.col("pattern") == F.concat_ws(" ", F.lit("L"), "p2", "p1", F.lit(""))) | (F.col("pattern") == F.concat_ws(" ", F.lit("B"), "p1", F.lit(""), F.lit("_"), F.lit(""), "nx")))
+    bare = materialise(bare, "bare")
+    kinds = [r[0] for r in bare.select(F.substring("pattern", 1, 1)).distinct().collect()]  # L, B
+    if not kinds:
+        return bare.select("pattern", F.lit(0.0).alias("spare")).limit(0)
+    near = hits(tokens(docs, True), bare, kinds)
+    letters = F.col("token").rlike(LETTERS)
+    near = near.select(*(f"_{k}" for k in kinds), F.when(letters, F.lower("token")).alias("word"), F.when(~letters, F.lower("token")).alias("other"))
+    sums = near.groupingSets([[F.col(f"_{k}")] for k in kinds], *(F.col(f"_{k}") for k in kinds)).agg(F.approx_count_distinct("word", 0.05).alias("words"), F.approx_count_distinct("other", 0.05).alias("others"))
+    sums = materialise(sums, "counts")
+    words = {"L": ("p2", "p1"), "B": ("p1", "nx")}
+    out = None
+    for k in kinds:
+        counts = sums.where(F.col(f"_{k}").isNotNull()).select(F.col(f"_{k}").alias("_k"), (F.col("words") / 1.25).alias("doubtful"), (F.col("others") * 1.25).alias("others"))
+        one = bare.where(F.substring("pattern", 1, 1) == k).withColumn("_k", F.xxhash64(*words[k])).join(counts, "_k")
+        one = one.withColumn("spare", F.col("doubtful") / 4)
+        one = one.where((F.col("doubtful") >= least) & ((1 - confidence) * (F.col("others") + F.col("n") + F.col("spare")) < confidence * (F.col("doubtful") - F.col("spare"))))
+        one = one.select("pattern", "spare")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def accepted(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE, trust: float = TRUST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted patterns (pattern, confidence), trusted values that aren't seeds, and all values trusted in any round, from edges (pattern, value, seed), one row a pair."""
+    scored, ever = edges.withColumn("score", F.col("seed").cast("double")), None
     for _ in range(rounds):
         sums = scored.groupBy("pattern").agg(F.sum("score").alias("trusted"), F.count("*").alias("n"))
         good = materialise(sums.withColumn("confidence", F.col("trusted") / (F.col("n") + 1)).where((F.col("trusted") >= support) & (F.col("confidence") >= confidence)).select("pattern", "confidence"), "patterns")
         chances = edges.join(hinted(good), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("chance"))
         score = F.when(F.col("seed"), 1.0).when(F.col("chance") >= trust, F.col("chance")).otherwise(0.0)
         scored = edges.join(chances, "value", "left").withColumn("score", score).drop("chance")
-    return good, chances.where(F.col("chance") >= trust).select("value").join(edges.where("seed").select("value").distinct(), "value", "left_anti")
+        sure = chances.where(F.col("chance") >= trust).select("value")
+        ever = sure if ever is None else ever.unionByName(sure)
+    return good, chances.where(F.col("chance") >= trust).select("value").join(edges.where("seed").select("value").distinct(), "value", "left_anti"), ever.distinct()
 
 
-def learned(docs: DataFrame, rows: DataFrame, cycles: int = CYCLES, support: float = SUPPORT, **options) -> DataFrame | None:
+def learned(docs: DataFrame, rows: DataFrame, cycles: int = CYCLES, support: float = SUPPORT, wide: int = WIDE, **options) -> DataFrame | None:
     """Accepted patterns (pattern, their words, confidence) of docs, from the seeds of rows (as of scanned()); None where no seeds share one."""
     seeds = rows.where(F.size("seeds") > 0).select(F.explode("seeds").alias("w")).distinct()
     seeds = materialise(seeds.select(F.explode(patterns(F.col("w"))).alias("pattern"), *(F.col(f"w.{c}") for c in CONTEXT_OF), "w.value").distinct(), "seeds")
     out = None
     for cycle in range(cycles):
         enough = seeds.groupBy("pattern").agg(F.countDistinct("value").alias("n"), *(F.min(c).alias(c) for c in CONTEXT_OF)).where(F.col("n") >= support)
-        enough = materialise(enough.drop("n"), "enough")
+        enough = materialise(enough, "enough")
         if not enough.take(1):
             return out
-        seen = inside(tokens(docs, True), enough).select("pattern", F.col("w.value").alias("value"), F.lit(False).alias("seed"))
-        edges = seen.unionByName(seeds.join(hinted(enough.select("pattern")), "pattern").select("pattern", "value", F.lit(True).alias("seed")))
-        edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
         # A value that is a seed anywhere is one in all its patterns.
         sure = seeds.select("value").distinct().withColumn("sure", F.lit(True))
-        edges = materialise(edges.join(hinted(sure, seeds), "value", "left").select("pattern", "value", (F.col("seed") | F.coalesce("sure", F.lit(False))).alias("seed")), "edges")
-        good, new = accepted(edges, support=support, **options)
+        vain = materialise(hopeless(docs, enough, options.get("confidence", CONFIDENCE), wide), "hopeless")
+        while True:
+            asked = enough.join(hinted(vain.select("pattern"), vain), "pattern", "left_anti")
+            seen = inside(tokens(docs, True), asked).select("pattern", F.col("w.value").alias("value"), F.lit(False).alias("seed"))
+            edges = seen.unionByName(seeds.join(hinted(asked.select("pattern"), enough), "pattern").select("pattern", "value", F.lit(True).alias("seed")))
+            edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+            edges = materialise(edges.join(hinted(sure, seeds), "value", "left").select("pattern", "value", (F.col("seed") | F.coalesce("sure", F.lit(False))).alias("seed")), "edges")
+            good, new, ever = accepted(edges, support=support, **options)
+            if not vain.take(1):
+                break
+            trusted = ever.unionByName(sure.select("value")).where(F.col("value").rlike(LETTERS)).distinct().count()
+            if not vain.where(F.col("spare") < trusted).take(1):
+                break
+            vain = materialise(vain.where(F.col("spare") >= trusted), "hopeless")
         out = materialise(good.join(enough, "pattern"), "accepted")
         new = materialise(new, "new")
         if cycle + 1 == cycles or not new.take(1):
@@ -252,7 +301,7 @@ def written_out(spans: Column) -> Column:
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """For each row of docs: doc_id, tkey (hash of its text), base (spans: start, rank of kind, end) and added spans.
 
-    options: rounds, cycles, support, confidence and trust of the bootstrap.
+    options: rounds, cycles, support, confidence and trust of the bootstrap; wide changes its plan only.
     """
     docs = docs.select("doc_id", "text")
     rows = materialise(scanned(docs), "scanned")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import decontaminate, langid, pii, rans, tokens
 
@@ -121,6 +122,24 @@ def test_bootstrap_finds_what_no_base_pattern_does(spark):
     assert set(cut) == {*range(40), None, 100, 300, 301, 302}
 
 
+def test_patterns_left_out_of_look_ups_change_nothing(spark):
+    """A wide context that other patterns' values save, and one that nothing saves, with and without the counts."""
+    rng = np.random.default_rng(6)
+    names = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(60)]
+    key = lambda: rng.bytes(16).hex()
+    rows = [(i, f'a token = "{key()}" end') for i in range(320)] + [(400 + i, f'a token = "{n}" end') for i, n in enumerate(names)]
+    rows += [(500 + i, f"please give {n} now") for i, n in enumerate([*names, *(key() for _ in range(8)), "zebra"])]
+    rows += [(600 + i, f"of the {w} we") for i, w in enumerate([*(key() for _ in range(8)), *("".join(rng.choice(list("klmnop"), 6)) for _ in range(90))])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = pii.scanned(docs)
+    spans = lambda **o: sorted((r.doc_id, [(s.start, s.end) for s in r.added]) for r in pii.personal_data(docs, **o).collect())
+    found, plain = spans(wide=20), spans(wide=1 << 40)
+    assert found == plain and dict(found)[568] == [(12, 17)] and not any(dict(found)[600 + i] for i in range(8, 98))
+    seeds = known.select(F.explode("seeds").alias("w")).select(F.explode(pii.patterns(F.col("w"))).alias("pattern"), *(F.col(f"w.{c}") for c in pii.CONTEXT_OF), "w.value")
+    enough = seeds.groupBy("pattern").agg(F.countDistinct("value").alias("n"), *(F.min(c).alias(c) for c in pii.CONTEXT_OF)).where("n >= 5")
+    assert {r.pattern for r in pii.hopeless(docs, enough, least=20).collect()} == {"L please give ", "B give  _  now", "L of the ", "B the  _  we"}
+
+
 def test_tokens_and_neighbours(spark):
     rows = spark.createDataFrame([(1, "A\tbc  D=1"), (2, "\u0130x Y"), (3, None), (4, "")], "doc_id long, text string")
     out = pii.spelled(pii.tokens(rows, False)).select("doc_id", "place", "token", "p1", "p2", "nx").collect()
