@@ -8,8 +8,8 @@ strings (RUN, STRONG: long runs of letters and digits). Around each seed stand l
 
 Marks that touch the value (quotes, brackets) belong to its pattern. Patterns around SUPPORT different seeds are looked up in
 all tokens of all texts; any token there, whatever it looks like, is an instance. Patterns of common words, whose counts over
-all texts prove that they can't be accepted, are left out first; should more values be trusted than the proof allows, they
-are looked up after all, so they change no result. Patterns and instances (values) form a graph.
+all texts (sketches of 5 % error, with a margin) show that they can't be accepted, are left out first; should more values be
+trusted than that allows, they are looked up after all, so that results stay as they were without this step. Patterns and instances (values) form a graph.
 In each of ROUNDS rounds a pattern's confidence is the share of trusted values among its values (with one doubtful value
 added), patterns with enough support and confidence are accepted, and a value is trusted by the chance that not all of its
 accepted patterns err. Values that come to be trusted so are seeds of another cycle, up to CYCLES or until there is none. At
