@@ -41,17 +41,17 @@ from pagemill.llm.words import hashed, numbered, texts_of
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Documents of a shard, and postings (some 30 bytes each when searched) at which it ends before.
+#: Documents of a shard, and postings (some 22 bytes each when searched) at which it ends before.
 SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 8_000_000
 #: A small table is cut into as many shards as there are cores, if they have so many documents.
 LEAST_DOCS = 1 << 11
 #: Queries of a batch, and terms of all of them at which it ends before.
 BATCH, BATCH_TERMS = 512, 1_000_000
-BLOCK, PIVOTAL = 64, 3.0
+BLOCK, PIVOTAL = 64, 1.5
 #: Terms that are rows of a matrix; of single precision, so its sums are off by at most SLACK of themselves.
 COMMON, MOST_COMMON, SLACK = 0.08, 1024, 5e-5
 #: Numbers of a matrix at most; lists that are gathered for all queries at once; share of the floor under which terms of long lists must stay.
-DENSE, SHORT, FAR = 12_000_000, 32, 0.6
+DENSE, SHORT, FAR = 12_000_000, 96, 0.6
 #: Each round takes so many times the shards of all rounds before it.
 GROWTH = 16
 
@@ -65,6 +65,8 @@ BAG_NAMES = ["part", "digest", "ids", "n", "size", "term", "tf"]
 BAG_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 MANIFEST = "path string, label bigint, docs bigint, words bigint"
 PACK = "batch bigint, query binary, asks binary, starts binary, term binary, terms binary"
+#: One number of 8 bytes, so that lists are gathered by one copy; impacts are of single precision, and bounds made of them are widened by NEAR.
+POSTING, NEAR = np.dtype([("doc", "<i4"), ("impact", "<f4")]), 1 + 1e-6
 FOUND = np.dtype([("q", "<i4"), ("doc", "<i8"), ("score", "<f8")])
 
 
@@ -383,13 +385,15 @@ class Index:
         self.last = np.cumsum(self.df)
         self.first = self.last - self.df
         self.length = K1 * (1 - B + B * sizes / mean)
-        self.impact = tf * (K1 + 1) / (tf + self.length[doc])
-        self.most = np.maximum.reduceat(self.impact, self.first)
+        self.postings = np.empty(len(doc), POSTING)
+        self.doc, self.impact, self.lists = self.postings["doc"], self.postings["impact"], self.postings.view(np.int64)
+        self.doc[:] = doc
+        self.impact[:] = tf * (K1 + 1) / (tf + self.length[doc])
+        self.most = np.maximum.reduceat(self.impact, self.first).astype(float)
         by_doc = np.argsort(doc, kind="stable")
-        self.doc = doc.astype(np.int64)
         self.doc_term = np.repeat(np.arange(len(terms), dtype=np.int32), df)[by_doc]
         self.doc_tf = tf[by_doc]
-        self.doc_last = np.cumsum(np.bincount(self.doc, minlength=self.n))
+        self.doc_last = np.cumsum(np.bincount(doc, minlength=self.n))
         self.doc_first = np.append(0, self.doc_last[:-1])
         self.weights, self.idf, self.own = np.zeros(len(terms)), np.zeros(len(terms)), np.zeros(self.n)
         common = np.flatnonzero(df >= max(2, COMMON * self.n))
@@ -401,7 +405,7 @@ class Index:
             some = slice(self.first[t], self.last[t])
             self.dense[r, self.doc[some]] = self.impact[some]
         self.blocks: tuple | None = None
-        self.room = np.empty(1 << 16, np.int64), np.empty(1 << 16)
+        self.room = np.empty(1 << 16, np.int64)
 
     def weigh(self, term: np.ndarray, idf: np.ndarray) -> None:
         """Multiply what the terms have by their idf, if that is new."""
@@ -425,11 +429,11 @@ class Index:
             key = np.repeat(np.arange(len(self.terms)), self.df) * count + self.doc // BLOCK
             starts = runs(np.diff(key) != 0)[:-1]
             first = np.searchsorted(key[starts], np.arange(len(self.terms) + 1) * count)
-            most = np.maximum.reduceat(self.impact, starts) / np.where(self.idf > 0, self.idf, 1)[key[starts] // count]
+            most = np.maximum.reduceat(self.impact, starts).astype(float) / np.where(self.idf > 0, self.idf, 1)[key[starts] // count]
             self.blocks = key[starts] % count, most, first
         block, most, first = self.blocks
         where, which = ranges(first[term], first[term + 1])
-        return np.flatnonzero(np.bincount(block[where], most[where] * idf[which], count) * (1 + 1e-9) >= floor - 1e-6)
+        return np.flatnonzero(np.bincount(block[where], most[where] * idf[which], count) * NEAR >= floor - 1e-6)
 
     def exact(self, docs: np.ndarray, term: np.ndarray, idf: np.ndarray) -> np.ndarray:
         """Scores of documents; sums run in order of the terms' hashes."""
@@ -452,7 +456,7 @@ class Index:
             some = df >= least
             may = np.bincount(query, most * some, n)
             short = np.bincount(query, df * ~some, n)
-            now = (long < 0) & (floor > 0) & (may * (1 + 1e-9) < FAR * floor) & (32 * short <= self.n)
+            now = (long < 0) & (floor > 0) & (may * NEAR < FAR * floor) & (32 * short <= self.n)
             long[now], rest[now], work[now] = least, may[now], short[now]
         some = np.flatnonzero(df < long[query])
         where, which = ranges(self.first[term[some]], self.last[term[some]])
@@ -463,7 +467,7 @@ class Index:
         if len(key):
             starts = runs(np.diff(key) != 0)[:-1]
             q, doc = np.divmod(key[starts], self.n)
-            reach = (np.add.reduceat(self.impact[where][order], starts) + rest[q]) * (1 + 1e-9) >= floor[q] - 1e-6
+            reach = (np.add.reduceat(self.impact[where][order], starts, dtype=float) + rest[q]) * NEAR >= floor[q] - 1e-6
             q, doc = q[reach], doc[reach]
             ends = runs(np.diff(q) != 0) if len(q) else [0]
             out |= {int(q[a]): doc[a:b] for a, b in zip(ends, ends[1:], strict=False)}
@@ -477,7 +481,7 @@ class Index:
         at = at[pack.term]
         query, there = np.repeat(np.arange(pack.n), np.diff(pack.starts)), at >= 0
         query, at, idf = query[there], at[there], pack.idf[pack.term[there]]
-        bound = np.minimum(np.bincount(query, self.most[at], pack.n), self.own.max()) * (1 + 1e-9)
+        bound = np.minimum(np.bincount(query, self.most[at], pack.n), self.own.max()) * NEAR
         alive = (bound > 0) & (bound >= pack.floor - 1e-6)
         if not alive.any():
             return np.zeros(0, FOUND)
@@ -508,24 +512,24 @@ class Index:
             # Short lists of all queries are gathered at once, long ones taken as they lie.
             few = np.flatnonzero((row < 0) & (line[query] >= 0) & (self.df[at] < SHORT))
             where, which = ranges(self.first[at[few]], self.last[at[few]])
-            doc, impact, cut = self.doc[where], self.impact[where], np.searchsorted(query[few][which], np.arange(pack.n + 1))
+            short, cut = self.lists[where], np.searchsorted(query[few][which], np.arange(pack.n + 1))
             long = np.flatnonzero((row < 0) & (line[query] >= 0) & (self.df[at] >= SHORT))
             first, last, upto = self.first[at[long]].tolist(), self.last[at[long]].tolist(), np.searchsorted(query[long], np.arange(pack.n + 1))
             for r, q in enumerate(rest):
-                lists = [slice(a, b) for a, b in zip(first[upto[q] : upto[q + 1]], last[upto[q] : upto[q + 1]], strict=True)]
-                own = slice(cut[q], cut[q + 1])
-                docs = self.candidates(dense[r], [*map(self.doc.__getitem__, lists), doc[own]], [*map(self.impact.__getitem__, lists), impact[own]], pack.floor[q], top)
+                lists = [self.lists[a:b] for a, b in zip(first[upto[q] : upto[q + 1]], last[upto[q] : upto[q + 1]], strict=True)]
+                docs = self.candidates(dense[r], [*lists, short[cut[q] : cut[q + 1]]], pack.floor[q], top)
                 if len(docs):
                     some = slice(ends[q], ends[q + 1])
                     out.append(self.best(q, docs, at[some], idf[some], pack.floor[q], top))
         return np.concatenate(out) if out else np.zeros(0, FOUND)
 
-    def candidates(self, dense: np.ndarray, docs: list[np.ndarray], impacts: list[np.ndarray], floor: float, top: int) -> np.ndarray:
+    def candidates(self, dense: np.ndarray, lists: list[np.ndarray], floor: float, top: int) -> np.ndarray:
         """Documents that may be among the best, from the scores of common terms and the postings of the others."""
-        n = sum(map(len, docs))
-        if n > len(self.room[0]):
-            self.room = np.empty(2 * n, np.int64), np.empty(2 * n)
-        scores = np.bincount(np.concatenate(docs, out=self.room[0][:n]), np.concatenate(impacts, out=self.room[1][:n]), self.n) + dense
+        n = sum(map(len, lists))
+        if n > len(self.room):
+            self.room = np.empty(2 * n, np.int64)
+        found = np.concatenate(lists, out=self.room[:n]).view(POSTING)
+        scores = np.bincount(found["doc"], found["impact"], self.n) + dense
         docs = np.flatnonzero(scores >= max(floor * (1 - SLACK) - 1e-6, 1e-12))
         if len(docs) > top:
             least = np.partition(scores[docs], len(docs) - top)[len(docs) - top]

@@ -256,6 +256,33 @@ def test_search(spark, docs, texts, monkeypatch):
     assert search.search(docs, docs.limit(0)).count() == 0 and search.search(docs.limit(0), docs).count() == 0
 
 
+def test_postings_of_single_precision_lose_no_hit():
+    """A shard keeps 8 bytes a posting, and what just reaches the floor stays among the best, with its score in double precision."""
+    rng = np.random.default_rng(5)
+    bags = [np.unique((2000 * rng.random(int(n)) ** 3).astype(np.int64)) for n in rng.integers(1, 400, 600)]
+    doc, term = np.repeat(np.arange(600), [len(b) for b in bags]), np.concatenate(bags)
+    tf, sizes = rng.integers(1, 5, len(term)).astype(np.int32), rng.integers(1, 3000, 600)
+    order = np.argsort(term, kind="stable")
+    terms, df = np.unique(term, return_counts=True)
+    index = search.Index(700.0, terms, df.astype(np.uint32), df, doc[order].astype(np.uint16), tf[order], np.arange(600), np.ones(600, int), sizes)
+    assert index.postings.nbytes == 8 * len(term) and np.shares_memory(index.impact, index.postings)
+    idf = np.log(1 + (600 - df + 0.5) / (df + 0.5))
+    weight = np.zeros((600, 2000))
+    weight[doc, term] = idf[np.searchsorted(terms, term)] * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[doc] / 700)))
+    asked = bags[:80]
+    scores = np.round(np.array([weight[:, b].sum(axis=1) for b in asked]), 6)
+    floor = np.sort(scores, axis=1)[:, -10]
+    starts = np.append(0, np.cumsum([len(b) for b in asked]))
+    place = np.searchsorted(terms, np.concatenate(asked))
+    for some in (np.zeros(80), floor):
+        values = {"batch": 0, "starts": starts.astype("<i8").tobytes(), "term": place.astype("<i4").tobytes(), "terms": terms.tobytes(), "idf": idf.tobytes(), "floor": some.tobytes()}
+        found = index.search(search.Pack(values), 10)
+        for q in range(80):
+            best = [d for d in np.lexsort((np.arange(600), -scores[q]))[:10] if scores[q][d] > 0]
+            own = found[found["q"] == q]
+            assert own["doc"].tolist() == best and np.allclose(own["score"], scores[q][best], rtol=0, atol=2e-6)
+
+
 def test_scratch_tables_are_in_the_shared_folder(spark):
     path = scratch_path(spark, "x")
     assert path.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
